@@ -1,3 +1,56 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_curriculum_mix"] = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM sized GROUP BY source),
+lev AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(CAST(sum(3 * source_size) OVER w AS DOUBLE), 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level,
+    CAST(3 * source_size AS DOUBLE) / CAST(weight AS DOUBLE) AS ratio
+  FROM per WINDOW w AS (ORDER BY CAST(3 * source_size AS DOUBLE) / CAST(weight AS DOUBLE), source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tgt AS (
+  SELECT source, weight, source_size, CASE WHEN ratio <= level THEN CAST(3 * source_size AS DOUBLE)
+    ELSE CAST(weight AS DOUBLE) * (SELECT arg_min(level, ratio) FROM lev WHERE ratio > level) END AS target FROM lev),
+placed AS (
+  SELECT d.*, t.weight, t.source_size, t.target,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
+cop AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / CAST(source_size AS DOUBLE)) AS BIGINT) ELSE 0 END AS f FROM placed),
+fin AS (
+  SELECT *, f + CASE WHEN size > 0 AND f < 3 AND CAST(before AS DOUBLE) + CAST(size AS DOUBLE) / 2 <= target - f * source_size THEN 1 ELSE 0 END AS copies,
+    least(CAST(before AS DOUBLE) / greatest(target, 1.0), 1.0) AS share FROM cop)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN round(CASE weight WHEN 1 THEN (sqrt(1.5 * 1.5 + share * -2.0) - 1.5) / -1.0 + 0.0 WHEN 2 THEN share ELSE (sqrt(0.5 * 0.5 + share * 2.0) - 0.5) / 1.0 END, 9) END AS position
+FROM fin
+"""
+
+ORACLES["op1_warc_revisits"] = """
+WITH p AS (SELECT page_id AS id, url, md5(coalesce(html, '')) AS digest FROM pages),
+r AS (
+  SELECT id * 4 AS record_id, url AS uri, id * 10 AS ts, 'response' AS kind, id, digest FROM p
+  UNION ALL SELECT id * 4 + 1, regexp_replace(url, '^(https?)://([^/?#]*)', 'https://www.\\2:443') || '#top', id * 10 + 5, 'revisit', id, digest FROM p
+  UNION ALL SELECT id * 4 + 2, url, id * 10 - 3, 'revisit', id, digest FROM p WHERE id % 3 = 0),
+b AS (SELECT *, regexp_replace(regexp_replace(uri, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^www\\.', ''), ':(80|443)$', '') AS host,
+  CASE WHEN regexp_extract(bare, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(bare, '^[^/?]*([^?]*)', 1) END AS path,
+  list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS args FROM b),
+k AS (SELECT record_id, ts, kind, id, digest, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key FROM c),
+s AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN id END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pid FROM k),
+j AS (
+  SELECT s.record_id, s.url_key, s.ts, s.id, s.pid, q.digest AS pdigest,
+    CASE s.id % 5 WHEN 0 THEN 'W/"' || substr(s.digest, 1, 12) || '"' WHEN 2 THEN '"changed"' WHEN 4 THEN '"' || substr(s.digest, 1, 12) || '"' END AS tag,
+    '"' || substr(q.digest, 1, 12) || '"' AS ptag, CASE WHEN s.id % 5 IN (1, 4) THEN 'day ' || (s.id % 1000) END AS lm, 'day ' || (s.pid % 1000) AS plm
+  FROM s LEFT JOIN p q ON s.pid = q.id WHERE s.kind = 'revisit'),
+o AS (
+  SELECT *, CASE WHEN pid IS NULL THEN 'no_prior' WHEN tag IS NOT NULL THEN CASE WHEN regexp_replace(tag, '^W/', '') = ptag THEN 'resolved' ELSE 'mismatch' END
+    WHEN lm IS NOT NULL THEN CASE WHEN lm = plm THEN 'resolved' ELSE 'mismatch' END ELSE 'no_validator' END AS outcome FROM j)
+SELECT record_id, url_key, ts, outcome, pid * 4 AS response_id,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: t' || (id * 10 + 5) || chr(10) || 'etag: ' || coalesce(tag, ptag)
+    || chr(10) || 'last-modified: ' || coalesce(lm, plm) || chr(10) || 'server: a' END AS headers,
+  CASE WHEN outcome = 'resolved' THEN pdigest END AS digest
+FROM o
+"""

@@ -5,16 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import ngram_join
+from textloom.llm import licenses, mixing, ngram_join, warc
 from textloom.llm._spark import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of a crawl over all pages, resolved; merged headers as name: value lines."""
+    out = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return out.select("record_id", "url_key", "ts", "outcome", "response_id", lines.alias("headers"), "digest")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 0.85, over all documents."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("hits")
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by weights 1, 2, 3, with each one's first training position."""
+    mixed = mixing.positions(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_license_scan": op5_license_scan,
+    "op8_curriculum_mix": op8_curriculum_mix,
 }
