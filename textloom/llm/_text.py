@@ -8,7 +8,7 @@ works on the UTF-8 bytes of an Arrow column, chunk by chunk, so that memory foll
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # hi - lo + 1 entries
+    prefix: dict = field(default_factory=dict)  # length: (word indexes, hashes)
 
 
 def _buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +58,12 @@ def _buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def words(arr: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Words of a string column, some texts at a time. Null and empty texts have none."""
+def words(arr: pa.Array, chunk: int = CHUNK_BYTES, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
+    """Words of a string column, some texts at a time. Null and empty texts have none.
+
+    space: which bytes part words. prefixes: lengths in bytes; each word longer than that also gets
+    the hash of its prefix, which is that of the same bytes as a word.
+    """
     n = len(arr)
     if not n:
         return
@@ -67,18 +72,18 @@ def words(arr: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + chunk, "right")) - 1)
         hi = min(hi, n)
-        yield _chunk(raw, off, lo, hi)
+        yield _chunk(raw, off, lo, hi, space, prefixes)
         lo = hi
 
 
-def _chunk(raw: np.ndarray, off: np.ndarray, lo: int, hi: int) -> Words:
+def _chunk(raw: np.ndarray, off: np.ndarray, lo: int, hi: int, space: np.ndarray, prefixes: tuple[int, ...]) -> Words:
     base = int(off[lo])
     data = raw[base : int(off[hi])]
     bounds = off[lo : hi + 1] - base
     if not len(data):
         z = np.zeros(0, np.int64)
         return Words(lo, hi, data, z, z, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     before = np.empty(len(data), bool)
     before[0] = False
     before[1:] = solid[:-1]
@@ -98,8 +103,14 @@ def _chunk(raw: np.ndarray, off: np.ndarray, lo: int, hi: int) -> Words:
     powers = np.ones(int(size.max()), np.uint64)
     powers[1:] = _BASE
     powers = np.cumprod(powers, dtype=np.uint64)
-    h = np.add.reduceat(_BYTE[data[where]] * powers[place], begins)
-    return Words(lo, hi, data, start, end, mix(h + size.astype(np.uint64)), first)
+    parts = _BYTE[data[where]] * powers[place]
+    h = np.add.reduceat(parts, begins)
+    out = Words(lo, hi, data, start, end, mix(h + size.astype(np.uint64)), first)
+    for p in prefixes:
+        long = size > p
+        h = np.add.reduceat(np.where(place < p, parts, np.uint64(0)), begins)
+        out.prefix[p] = (np.flatnonzero(long), mix(h[long] + np.uint64(p)))
+    return out
 
 
 def hash_word(word: str) -> np.uint64:
