@@ -1,11 +1,56 @@
-"""The corpus pipeline: each stage calls one operator of textloom.llm."""
+"""The corpus pipeline: five stages over documents, each calling one operator of textloom.llm.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
+return the columns of documents. What the learned stages decide cannot be written in SQL, so there is
+no oracle; tests/llm/test_pipeline.py holds run() against a plain version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm import decontam, mixing, ngram_join, pii, toxicity
+from textloom.llm._spark import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of 5-word Jaccard 0.8 stays."""
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or edited, go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents in the order of training."""
+    return mixing.training_order(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("pii", redact_pii),
+    ("mixing", mix_sources),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents in turn."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
