@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import licenses, mixing, ngram_join, warc
+from textloom.llm import attn_lm, decontam, embed_dedup, html_crf, licenses, mixing, ngram_join, pii, toxicity, warc
 from textloom.llm._spark import table
 
 
@@ -18,6 +18,16 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "url_key", "ts", "outcome", "response_id", lines.alias("headers"), "digest")
 
 
+def op2_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, as counts and digests of spans."""
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, links at cosine 0.95."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 0.85, over all documents."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -28,15 +38,36 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("hits")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents."""
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention-model scores of all documents."""
+    return attn_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 1, 2, 3, with each one's first training position."""
     mixed = mixing.positions(mixing.mix(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of four folds of five."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc_revisits": op1_warc_revisits,
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-    "op5_license_scan": op5_license_scan,
-    "op8_curriculum_mix": op8_curriculum_mix,
-}
+    f.__name__: f
+    for f in (
+        op1_warc_revisits, op2_pii_semi_crf, op3_embedding_dedup, op4_ngram_jaccard_join, op5_license_scan, op6_decontamination,
+        op7_attention_lm, op8_curriculum_mix, op9_toxicity, op10_html_extraction,
+    )
+}
