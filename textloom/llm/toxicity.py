@@ -396,7 +396,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     telling = counts.where("kind = 1 and pos >= 3").withColumn("odds", odds).where("odds > 2")
     telling = telling.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "key").limit(MAX_FEATURES).collect()
     features = np.sort(np.array([r.key for r in telling], np.int64).view(np.uint64)) if telling else np.zeros(0, np.uint64)
-    rows = [(r.label, r.has) for r in d.mapInArrow(_present(features, label), "label long, has array<long>").orderBy("label", "has").collect()]
+    rows = sorted((r.label, r.has) for r in d.mapInArrow(_present(features, label), "label long, has array<long>").collect())  # at most MAX_LABELLED
     weights, bias = fit_logistic(rows, len(features))
     return ToxicityModel(CharModel(trigrams), Classifier(features, weights, bias), frozenset())
 
