@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm._spark import checkpoint
+
 SLICES = 64
 #: Header names a 304 answer may update; fixed values.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -56,6 +58,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         F.coalesce("headers", none).alias("headers"), "digest", canonical_url(F.col("uri")).alias("url_key"),
     )
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("url_key").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    r = checkpoint(r)  # small next to the payloads, and read four times below
     cuts = r.select(F.percentile_approx("ts", [i / slices for i in range(1, slices)], 10000)).first()[0] or []
     cuts = sorted(set(cuts))
     part = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda x: x <= F.col("ts")))
