@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches held to this many rows: texts are long, and a batch is held
+    several times over in the JVM and in Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialize df in the shared folder of spark.checkpoint.dir and cut its lineage.
 

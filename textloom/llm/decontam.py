@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._spark import checkpoint
+from textloom.llm._spark import checkpoint, small_batches
 from textloom.llm._text import distinct_sets, shingles, words
 
 N = 3
@@ -179,7 +179,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = THR
     of a perfect alignment. Null and empty texts, and items of fewer than N words, match nothing; rows with
     a null doc_id or item_id are dropped; repeated items each get their rows. Other columns are ignored.
     """
-    d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     b = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = b.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(chars / SLICE_CHARS))

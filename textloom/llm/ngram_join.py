@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._spark import checkpoint, components
+from textloom.llm._spark import checkpoint, components, small_batches
 from textloom.llm._text import distinct_sets, minima, mix, shingles, sums, words
 
 BANDS, ROWS = 32, 4
@@ -191,7 +191,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     set and link with nothing; shorter texts than k words have one shingle. Other columns are ignored.
     Rows with a null doc_id are dropped. An empty table gives an empty result.
     """
-    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = checkpoint(base.mapInArrow(_signer(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
     some = signed.where("n_shingles > 0")
     classes = checkpoint(some.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))

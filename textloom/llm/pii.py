@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._spark import small_batches
 from textloom.llm._text import Words, words
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -434,7 +435,7 @@ def scan(docs: DataFrame) -> DataFrame:
     columns are ignored. Spans are ordered by kind (KIND_ORDER), then start.
     """
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(_scanner(trained()), f"doc_id long, base {span}, spans {span}")
 
 
@@ -468,7 +469,7 @@ def _redactor(crf: SemiCRF, at: int):
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets; n_chars, where there is one, follows the text."""
-    out = docs.mapInArrow(_redactor(trained(), docs.columns.index("text")), docs.schema)
+    out = small_batches(docs).mapInArrow(_redactor(trained(), docs.columns.index("text")), docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._spark import checkpoint
+from textloom.llm._spark import checkpoint, small_batches
 from textloom.llm._text import words
 
 #: Bound on the labelled rows the classifier learns from (those of smallest hash of doc_id).
@@ -383,7 +383,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     labels: doc_id, toxic 0/1; held-out ids, null ids and null labels are left out; an id with both labels counts as toxic.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     label = {r.doc_id: r.toxic for r in known.collect()}
