@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.sources import formats
+from textloom.sources import feeds, formats, office  # noqa: F401  (feeds and office register their readers)
 
 SCHEMA = "path string, name string, size long, markdown string, title string, success boolean, error string"
 

@@ -132,11 +132,11 @@ def parse_html(text: str) -> Node:
     return tree.root
 
 
-def find(node: Node, tag: str) -> Node | None:
+def find(node: Node, tag: str, test=lambda n: True) -> Node | None:
     stack = [node]
     while stack:
         n = stack.pop()
-        if n.tag == tag:
+        if n.tag == tag and test(n):
             return n
         stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
     return None
@@ -306,10 +306,28 @@ READERS = {
     ".csv": [read_csv], ".html": [read_html], ".htm": [read_html], ".ipynb": [read_notebook, read_text], ".zip": [read_zip],
     **{e: [read_text] for e in (".txt", ".text", ".md", ".markdown", ".json", ".jsonl")},
 }
+
+
+def register(extensions: list[str], *readers) -> None:
+    """Readers for extensions, tried before those known already."""
+    for e in extensions:
+        READERS[e] = [*readers, *READERS.get(e, [])]
+
+
 #: the first bytes of files without a known extension
 MAGIC = [(b"PK\x03\x04", ".zip"), (b"<!DOCTYPE html", ".html"), (b"<html", ".html")]
 
 
+def read_wiki(data: bytes, **options) -> tuple[str, str | None]:
+    """The content block of an encyclopedia page under its title; the whole page where there is none."""
+    root = parse_html(decode(data))
+    seek = lambda tag, key, value: find(root, tag, lambda n: value in n.attrs.get(key, "").split())
+    body, head, title = seek("div", "id", "mw-content-text"), seek("span", "class", "mw-page-title-main"), find(root, "title")
+    name = (plain(head) if body and head else plain(title) if title else "").strip() or None
+    text = Writer(options.get("keep_data_uris", False)).flow(body or root).strip()
+    return (f"# {name}\n\n" if body and name else "") + text, name
+
+
 def convert(data: bytes, name: str, **options) -> tuple[str, str | None]:
     """(Markdown, title) by the first reader that succeeds; raises Unsupported, or ValueError with all failures."""
     ext = os.path.splitext(name)[1].lower()
