@@ -72,3 +72,20 @@ def token_estimate(word_count: Column) -> Column:
 def drop_cid_lines(c: Column) -> Column:
     """Lines with more than one cid:n mark go."""
     return F.array_join(F.filter(F.split(c, "\n", -1), lambda x: F.regexp_count(x, F.lit("(?i)\\(?cid:[0-9]+\\)?")) <= 1), "\n")
+
+
+MATH = "\\$\\$[^$]+\\$\\$|\\$[^$\\n]+\\$"
+
+
+def line_ending(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("\r\n")), "CRLF").when(F.contains(c, F.lit("\r")), "CR").otherwise("LF")
+
+
+def indent(c: Column) -> Column:
+    """tab, space or none, by how lines begin."""
+    return F.when(c.rlike("(^|\\n)\\t"), "tab").when(c.rlike("(^|\\n)  "), "space").otherwise("none")
+
+
+def slides(c: Column) -> Column:
+    """Pieces with text between rule lines."""
+    return F.filter(F.split(c, "\\n(?:-{3,}|\\*{3,}|_{3,})[ \\t]*\\n", -1), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))

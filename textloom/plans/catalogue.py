@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,27 +9,12 @@ from pyspark.sql import functions as F
 from textloom import streaming
 from textloom.functions import bengali, text
 from textloom.operators import layout, memory
+from textloom.plans import language  # noqa: F401  (registers its queries)
+from textloom.plans._registry import ORACLES, QUERIES, query, table  # noqa: F401
 from textloom.sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "page_markdown_stats"
-
-
-def query(oracle: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame function under its own name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_t = table
 
 
 _WORDS = "len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))"
