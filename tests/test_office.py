@@ -100,3 +100,4 @@ def test_docx():
 def test_wiki():
     page = b'<title>T - W</title><span class="mw-page-title-main"> Cats </span><div id="mw-content-text"><p>body</p></div><p>menu</p>'
     assert formats.read_wiki(page) == ("# Cats\n\nbody", "Cats")
+    assert formats.convert(page, "p.html", url="https://en.wikipedia.org/wiki/Cat")[0] == "# Cats\n\nbody" != formats.convert(page, "p.html")[0]

@@ -318,6 +318,10 @@ def register(extensions: list[str], *readers) -> None:
 MAGIC = [(b"PK\x03\x04", ".zip"), (b"<!DOCTYPE html", ".html"), (b"<html", ".html")]
 
 
+#: addresses of encyclopedia pages; a fixed value
+WIKI = re.compile(r"https?://[a-zA-Z]{2,3}\.wikipedia.org/")
+
+
 def read_wiki(data: bytes, **options) -> tuple[str, str | None]:
     """The content block of an encyclopedia page under its title; the whole page where there is none."""
     root = parse_html(decode(data))
@@ -329,11 +333,13 @@ def read_wiki(data: bytes, **options) -> tuple[str, str | None]:
 
 
 def convert(data: bytes, name: str, **options) -> tuple[str, str | None]:
-    """(Markdown, title) by the first reader that succeeds; raises Unsupported, or ValueError with all failures."""
+    """(Markdown, title) by the first reader that succeeds (option url: the address of the file); raises Unsupported, or ValueError with all failures."""
     ext = os.path.splitext(name)[1].lower()
     readers = READERS.get(ext) or next((READERS[e] for magic, e in MAGIC if data[: len(magic)].lower() == magic.lower()), None)
     if not readers:
         raise Unsupported(name)
+    if read_html in readers and WIKI.match(options.get("url") or ""):
+        readers = [read_wiki, *readers]
     failed = []
     for read in readers:
         try:
