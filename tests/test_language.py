@@ -78,3 +78,12 @@ def test_translate(spark):
     got = {r.doc_id: r for r in translate.translate(docs, "bn", memory, lambda ts: [f"<{t}>" for t in ts], [("bye", "TATA")]).collect()}
     assert got[1].text.startswith("# ") and "হ্যালো। <TATA> `x` <now.>" in got[1].text and (got[1].translated, got[1].from_memory) == (4, 1)
     assert got[2].text == "আমি যাই।" and (got[2].translated, got[3].text, got[3].segments) == (0, "", 0)
+
+
+def test_next_filled_line(spark, tmp_path):
+    from textloom.plans import language
+
+    docs = spark.createDataFrame([(1, "a\n\n \nb\nc\n\n"), (2, ""), (3, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = language.next_filled_line(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.line, r.next_line) for r in got) == [(1, 1, 4), (1, 2, 4)]
