@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import chrf, script, segment, templates, text
+from textloom.functions import bengali, chrf, legacy, script, segment, templates, text
 from textloom.operators import translate
 from textloom.plans._registry import query, table
 
@@ -125,3 +125,22 @@ def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of each column of a made-up table, and whether at most 30 % of its cells are long."""
     n = F.length(F.col("l_partkey").cast("string"))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("col")).agg(F.greatest(F.lit(3), F.max(n)).cast("long").alias("width"), (F.avg(F.when(n > 3, 1.0).otherwise(0.0)) <= 0.3).alias("short_cells"))
+
+
+@query(
+    f"""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS legacy, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '{bengali.DIGITS}') AS back, TRUE AS words_back FROM orders"""
+)
+def legacy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in digits and words, written in the legacy encoding and read again."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", bengali.number_words(F.col("o_orderkey")).alias("w"), bengali.to_bengali_digits(F.col("o_orderkey").cast("string")).alias("d"))
+    o = o.withColumn("legacy", legacy.to_legacy_column("d"))
+    again = legacy.read_column(legacy.to_legacy_column(F.col("w")))
+    return o.select("o_orderkey", "legacy", legacy.read_column("legacy").alias("back"), (again == script.nfc(F.col("w"))).alias("words_back"))
+
+
+@query()
+def encoding_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that hold text, with the verdict on their encoding and the text in Unicode."""
+    p = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("n", "text")).where(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    out = p.withColumn("v", legacy.verdict_column(F.col("text"), F.lit(None).cast("string"))).withColumn("converted", legacy.to_unicode_column()("text"))
+    return out.select("doc_id", F.col("n").cast("long").alias("paragraph"), "v.label", "v.confidence", (F.col("text") == F.col("converted")).alias("kept"))
