@@ -152,7 +152,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, probes: int = P
     classes = checkpoint(good.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "unit"))
     per_dim = {r.d: r.c for r in classes.groupBy((F.length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(16).collect()}
     total = max(1, sum(per_dim.values()))
-    sample = [bytes(r.unit) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").collect()] if per_dim else []
+    # only classes below a hash that about twice SAMPLE of them pass are sorted, else every task would send the driver its own SAMPLE
+    h, share = F.xxhash64("rep"), 2 * SAMPLE / total
+    some = classes.where(h < int((share - 0.5) * 2**64)) if share < 1 else classes
+    sample = [bytes(r.unit) for r in some.orderBy(h, "rep").limit(SAMPLE).select("unit").collect()] if per_dim else []
     centroids = {}
     for dim, c in per_dim.items():
         rows = [u for u in sample if len(u) == 8 * dim]
