@@ -79,3 +79,18 @@ def test_empty(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contamination(d, b).collect() == []
     assert D.find_contamination(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), b).collect() == []
+
+
+def test_hot_items_are_found_at_any_share(spark):
+    """Short and edited items that a half or all of the documents hold, and one of two."""
+    r = random.Random(8)
+    items = [(0, "k1 k2 k3"), (1, "m1 m2 m3 m4 m5"), (2, " ".join(f"p{i}" for i in range(15)))]
+    edited = items[2][1].split()
+    for i in (2, 6, 9, 12):
+        edited[i] = "zz"
+    say = lambda n: [f"v{r.randrange(500)}" for _ in range(n)]
+    for n, every in ((60, 1), (60, 2), (60, 3), (2, 2), (1, 1)):
+        docs = [(i, " ".join(say(20) + ([*items[0][1].split(), *say(9), *items[1][1].split(), *say(30), *edited] if i % every == 0 else []) + say(20))) for i in range(n)]
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = {(x.doc_id, x.item_id) for x in D.find_contamination(d, b).collect()}
+        assert got == brute(items, docs) and len(got) == 3 * -(-n // every)

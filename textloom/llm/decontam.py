@@ -4,8 +4,8 @@ Every 3-word shingle of the benchmark items is counted over all documents; a shi
 information, log(documents / documents that hold it). In a second pass the items' shingles seed
 matches in each document: the hits of one item that stand close together form a window, and a
 window whose distinct seeds weigh at least SEED_BITS goes to local alignment of words (match 2,
-mismatch -1, gap -1). A single rare seed is enough; common ones need company, so passages copied into a large
-share of the documents are still found. The score is the alignment's share of a perfect one.
+mismatch -1, gap -1). A lighter window goes there too unless it holds too few of the item's words for the
+threshold, so passages copied into any share of the documents are found. The score is the alignment's share of a perfect one.
 
 Items are the broadcast side. Their size is checked: beyond SLICE_CHARS they are dealt into
 slices, each matched against all documents in turn.
@@ -83,6 +83,15 @@ class _Items:
         self.seeds, self.item, self.place = self.seeds[order], self.item[order], self.place[order]
         self.uniq = np.unique(self.seeds)
         self.size = np.array([len(x) for x in self.words], np.int64)
+        self.sorted = [np.unique(x, return_counts=True) for x in self.words]
+
+    def most(self, i: int, text: np.ndarray) -> float:
+        """Bound on the share of a perfect alignment of item i that text can reach: its words that text holds, anywhere."""
+        own, n = self.sorted[i]
+        at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+        there = np.zeros(len(own), bool)
+        there[at[own[at] == text]] = True
+        return n[there].sum() / self.size[i]
 
 
 def _counter(items: _Items):
@@ -149,13 +158,15 @@ def _match_chunk(items, weight, starts, ends, w, threshold):
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(doc)) - 1
     found: dict[tuple[int, int], tuple] = {}
-    for g in np.flatnonzero(bits >= SEED_BITS).tolist():
+    for g, light in enumerate((bits < SEED_BITS).tolist()):
         d, i = int(doc[head[g]]), int(item[head[g]])
         lo, hi = int(w.first[d]), int(w.first[d + 1])
         slack = int(items.size[i]) // 2 + 4
         # hits far apart on one drifting chain of windows would make a long one; cut it into item-sized steps
         for s, e in _steps(int(begin[head[g]]), int(begin[tail[g]]), int(items.size[i])):
             a, b = max(lo, lo + s - slack), min(hi, lo + e + int(items.size[i]) + slack)
+            if light and items.most(i, w.hash[a:b]) < threshold:
+                continue
             score, x, y = align(items.words[i], w.hash[a:b])
             if score >= threshold and score > found.get((d, i), (0,))[0]:
                 found[d, i] = (score, int(n_seeds[g]), a - lo + x, a - lo + y)
@@ -191,8 +202,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = THR
         held = {r.seed: r.n for r in counted}
         total = max(1, held.get(-1, 1))
         weight = np.array([math.log2(total / max(1, held.get(i, 1))) if total > 1 else SEED_BITS for i in range(len(own.uniq))])
-        # a seed that is in most documents still says something; a floor lets whole copies through in any corpus
-        weight = np.maximum(weight, 0.5)
         part = d.mapInArrow(_matcher(own, weight, threshold), "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long")
         out = part if out is None else out.union(part)
     return out
