@@ -46,3 +46,18 @@ def test_rows(spark):
     clean = {r.doc_id: r.text for r in P.redact(df.where("doc_id in (2, 3)")).collect()}
     assert clean == {2: "clean words only, at the dot", 3: "mail <EMAIL> now"}
     assert P.scan(df.limit(0)).collect() == []
+
+
+def test_islands_hold_whole_written_out_addresses():
+    crf = P.trained()
+    filler = "clean words only and more of them "
+    for lead, address in (
+        ("write to ", "john at mail dot example dot com"), ("", "jane.7 at foo3 dot example dot com"), ("ask ", "john [at] mail [dot] example [dot] org"),
+        ("mail ", "john (at) mail (dot) example (dot) org"),
+    ):
+        text = filler + lead + address + " for " + filler
+        (a, b), = P._islands(text)
+        at = len(filler + lead)
+        assert a <= at and at + len(address) <= b
+        whole = sorted(P.island_spans(crf, text))
+        assert sorted(P.find_spans(crf, text)[1]) == whole and ("email", at, at + len(address)) in whole, (address, whole)

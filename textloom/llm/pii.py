@@ -272,7 +272,11 @@ def training_lines(seed: int = 11, n: int = 700) -> list[tuple[str, list[tuple[i
         host = f"{word()}{r.randrange(9)}.{r.choice(['example', 'mail'])}.{r.choice(['com', 'org', 'net'])}"
         if kind == "email":
             user = f"{word()}.{r.randrange(99)}"
-            return kind, r.choice([f"{user}@{host}", f"{user}@{host}", f"{user} at {host.replace('.', ' dot ')}", f"{user} [at] {word()} [dot] com", f"{user} (at) {host}"])
+            plain = ".".join([word(), *[r.choice(["mail", "example", word()]) for _ in range(r.randint(0, 1))], r.choice(["com", "org", "net"])])
+            spelled = [(f" {a} ", f" {d} ") for a, d in (("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)"))]
+            at, dot = r.choice(spelled)
+            written = r.choice([user, word()]) + at + r.choice([host, plain]).replace(".", dot)
+            return kind, r.choice([f"{user}@{host}", f"{user}@{host}", written, written, f"{user} (at) {host}"])
         if kind == "ip":
             return kind, ".".join(str(r.randrange(256)) for _ in range(4)) + r.choice(["", "", f":{r.randrange(9999)}"])
         if kind == "card":
@@ -348,7 +352,8 @@ def island_spans(crf: SemiCRF, text: str) -> list[tuple[str, int, int]]:
 
 _MARK = np.zeros(256, bool)
 _MARK[[*range(48, 58), 64]] = True
-_AT = re.compile(r"(?i)(?<=[\s(\[])(?:at)(?=[\s)\]]).{1,40}?[\s(\[]dot[\s)\]]", re.S)
+_AT = re.compile(r"(?i)(?<=[\s(\[])at(?=[\s)\]])")
+_DOT = re.compile(r"(?i)(?<=[\s(\[])dot(?=[\s)\]])")
 
 
 _DIGIT = re.compile(r"[0-9@]")
@@ -360,12 +365,22 @@ def _islands(text: str) -> list[tuple[int, int]]:
     bounds = _bounds(text)
     tell = {i for i, (s, e) in enumerate(bounds) if any("0" <= c <= "9" or c == "@" for c in text[s:e])}
     starts = None
-    for m in [*_KEY.finditer(text), *_AT.finditer(text)]:
+
+    def token(at: int) -> int:
+        nonlocal starts
         if starts is None:
             starts = np.array([s for s, _ in bounds])
-        a = int(np.searchsorted(starts, m.start(), "right")) - 1
-        b = int(np.searchsorted(starts, m.end() - 1, "right")) - 1
-        tell.update(range(max(0, a), b + 1))
+        return int(np.searchsorted(starts, at, "right")) - 1
+
+    for m in _KEY.finditer(text):
+        tell.update(range(max(0, token(m.start())), token(m.end() - 1) + 1))
+    dots = np.array([token(m.start()) for m in _DOT.finditer(text)], np.int64)
+    if len(dots):
+        for m in _AT.finditer(text):
+            a = token(m.start())  # up to the last dot that one segment with this at can hold
+            k = int(np.searchsorted(dots, a + MAX_TOKENS, "left")) - 1
+            if k >= 0 and dots[k] >= a and (dots[k] > a or _DOT.search(text, m.end(), bounds[a][1])):
+                tell.update(range(a, int(dots[k]) + 1))
     out: list[list[int]] = []
     for i in sorted(tell):
         lo, hi = max(0, i - CONTEXT), min(len(bounds) - 1, i + CONTEXT)
