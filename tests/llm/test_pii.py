@@ -61,3 +61,14 @@ def test_islands_hold_whole_written_out_addresses():
         assert a <= at and at + len(address) <= b
         whole = sorted(P.island_spans(crf, text))
         assert sorted(P.find_spans(crf, text)[1]) == whole and ("email", at, at + len(address)) in whole, (address, whole)
+
+
+def test_long_ibans_and_hosts():
+    crf = P.trained()
+    filler = "clean words only and more of them "
+    body = "MALT011000012345MTLCAST001S"
+    ibans = [next(x for n in range(100) if P._iban_ok(x := f"MT{n:02d}{body}")), next(x for n in range(100) if P._iban_ok(x := f"LC{n:02d}HEMM000100010012001200023015"))]
+    for kind, span in [("iban", " ".join(x[i : i + 4] for i in range(0, len(x), 4))) for x in ibans] + [("email", "john at b dot mail dot example dot com")]:
+        text = filler + span + " for " + filler
+        got = P.find_spans(crf, text)[1]
+        assert (kind, len(filler), len(filler) + len(span)) in got, (span, got)

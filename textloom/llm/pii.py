@@ -28,7 +28,7 @@ from textloom.llm._text import Words, words
 BASE_KINDS = ["email", "ip", "card", "phone"]
 MODEL_KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn"]
 KIND_ORDER = [*BASE_KINDS, "iban", "secret", "ssn"]
-MAX_TOKENS = 7
+MAX_TOKENS = 9  # an IBAN of 34 characters in fours, the longest form the features accept
 CONTEXT = 2
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -255,8 +255,10 @@ def _make_card(r: random.Random) -> str:
 
 
 def _make_iban(r: random.Random) -> str:
-    body = "".join(str(r.randrange(10)) for _ in range(18))
-    return next(f"DE{x:02d}{body}" for x in range(100) if _iban_ok(f"DE{x:02d}{body}"))
+    """German ones, and those of other lengths and of letters (country, bank's letters, all characters)."""
+    country, letters, size = r.choice([("DE", 0, 22), ("DE", 0, 22), ("NO", 0, 15), ("GB", 4, 22), ("BR", 0, 29), ("QA", 4, 29), ("JO", 4, 30), ("MT", 4, 31), ("LC", 4, 32)])
+    body = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(letters)) + "".join(str(r.randrange(10)) for _ in range(size - 4 - letters))
+    return next(f"{country}{x:02d}{body}" for x in range(100) if _iban_ok(f"{country}{x:02d}{body}"))
 
 
 def training_lines(seed: int = 11, n: int = 700) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -272,7 +274,7 @@ def training_lines(seed: int = 11, n: int = 700) -> list[tuple[str, list[tuple[i
         host = f"{word()}{r.randrange(9)}.{r.choice(['example', 'mail'])}.{r.choice(['com', 'org', 'net'])}"
         if kind == "email":
             user = f"{word()}.{r.randrange(99)}"
-            plain = ".".join([word(), *[r.choice(["mail", "example", word()]) for _ in range(r.randint(0, 1))], r.choice(["com", "org", "net"])])
+            plain = ".".join([word(), *[r.choice(["mail", "example", word()]) for _ in range(r.choice([0, 0, 1, 1, 2]))], r.choice(["com", "org", "net"])])
             spelled = [(f" {a} ", f" {d} ") for a, d in (("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)"))]
             at, dot = r.choice(spelled)
             written = r.choice([user, word()]) + at + r.choice([host, plain]).replace(".", dot)
