@@ -42,3 +42,38 @@ def test_equals_brute_force(spark):
 def test_rules_are_many_and_gated():
     assert len(L.rules()) > 300
     assert all(any(r in kw or r in rx for r in L.ROOTS) for *_, kw, rx in L.rules())
+
+
+def spellings(parsed):
+    """Strings a pattern accepts; a repeat is taken at its least and at its most, or once."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "BRANCH":
+            own = [x for part in arg[1] for x in spellings(part)]
+        elif name == "SUBPATTERN":
+            own = spellings(arg[3])
+        elif name == "MAX_REPEAT":
+            lo, hi, part = arg
+            own = [x * n for x in spellings(part) for n in {lo, max(1, hi if int(hi) < 9 else 1)}]
+        else:  # a set: its letters, or a digit (or sign) for a class
+            own = [chr(x[1]) if str(x[0]) == "LITERAL" else "0" for x in arg]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_keywords_are_in_all_their_spellings():
+    for _, keyword, _, name in L.LICENSES:
+        for x in spellings(re._parser.parse(name)):
+            assert keyword in x and any(root in x for root in L.ROOTS) and re.fullmatch(name, x), (keyword, x)
+    for _, _, _, keyword, rx in L.OTHERS:
+        assert all(keyword in x for x in spellings(re._parser.parse(rx)))
+
+
+def test_non_commercial_and_open_data(spark):
+    texts = ["Licensed under Creative Commons Attribution-Non-Commercial-ShareAlike 4.0", "Attribution Non-Commercial 3.0", "under the Open Data Commons Database License"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in L.scan(df).orderBy("doc_id").collect()] == ["cc-by-nc-sa", "cc-by-nc", "odbl-1"]
+    assert [brute(t)[5] for t in texts] == ["cc-by-nc-sa", "cc-by-nc", "odbl-1"]

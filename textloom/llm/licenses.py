@@ -65,7 +65,7 @@ LICENSES = [
     ("ncsa", "ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? license"),
     ("ofl-1.1", "open font", "ofl 1 1", "(?:sil )?open font license"),
     ("upl-1", "universal permissive", "upl 1 0", "universal permissive license"),
-    ("odbl-1", "open database", "odbl 1 0", "open (?:data commons )?(?:open )?database license"),
+    ("odbl-1", "database license", "odbl 1 0", "open (?:data commons )?(?:open )?database license"),
     ("pddl-1", "public domain dedication and license", "pddl 1 0", "public domain dedication and license"),
     ("ms-pl", "microsoft public", "ms pl", "microsoft public license"),
     ("ms-rl", "microsoft reciprocal", "ms rl", "microsoft reciprocal license"),
@@ -79,8 +79,8 @@ LICENSES = [
     ("cc-by-nd", "cc by nd", "cc by nd 4 0", "cc by nd(?: \\d 0)?"),
     ("cc-by-sa", "cc by sa", "cc by sa 4 0", "cc by sa(?: \\d 0)?"),
     ("cc-by", "cc by", "cc by 4 0", "cc by(?: \\d 0)?"),
-    ("cc-by-nc-sa", "noncommercial share", "cc by nc sa 3 0", "(?:creative commons )?attribution non ?commercial share ?alike(?: \\d 0)?"),
-    ("cc-by-nc", "noncommercial", "cc by nc 3 0", "(?:creative commons )?attribution noncommercial(?: \\d 0)?"),
+    ("cc-by-nc-sa", "commercial share", "cc by nc sa 3 0", "(?:creative commons )?attribution non ?commercial share ?alike(?: \\d 0)?"),
+    ("cc-by-nc", "attribution non", "cc by nc 3 0", "(?:creative commons )?attribution non ?commercial(?: \\d 0)?"),
     ("cc-by-sa", "attribution share", "cc by sa 3 0", "(?:creative commons )?attribution share ?alike(?: \\d 0)?"),
     ("cc-by", "creative commons attribution", "cc by 3 0", "creative commons attribution(?: \\d 0)?"),
     ("proprietary", "proprietary", "licenseref proprietary", "proprietary (?:and confidential|license|software)"),
