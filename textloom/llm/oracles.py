@@ -20,9 +20,44 @@ placed AS (
   FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
 cop AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / CAST(source_size AS DOUBLE)) AS BIGINT) ELSE 0 END AS f FROM placed),
+fit AS (
+  SELECT *, target - f * source_size AS rest, size > 0 AND f < 3 AND before + size <= target - f * source_size AS inside FROM cop),
+gap0 AS (SELECT source, any_value(rest) AS rest, any_value(rest) - sum(CASE WHEN inside THEN size ELSE 0 END) AS gap FROM fit WHERE size > 0 AND f < 3 GROUP BY source),
+cand AS (
+  SELECT source, doc_id, size, key FROM fit WHERE size > 0 AND f < 3 AND NOT inside
+  QUALIFY row_number() OVER (PARTITION BY source, floor(ln(size) * 11.541560327111707 + 1e-6) ORDER BY size, key) = 1),
+r1 AS (
+  SELECT c.source, c.doc_id, c.size, g.gap FROM cand c JOIN gap0 g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE abs(g.gap - c.size) < g.gap
+  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(g.gap - c.size), c.size, c.key) = 1),
+gap1 AS (SELECT g.source, g.rest, g.gap - coalesce(r.size, 0) AS gap FROM gap0 g LEFT JOIN r1 r ON g.source IS NOT DISTINCT FROM r.source),
+r2 AS (
+  SELECT c.source, c.doc_id, c.size, g.gap FROM cand c JOIN gap1 g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE abs(g.gap - c.size) < g.gap AND c.doc_id NOT IN (SELECT doc_id FROM r1)
+  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(g.gap - c.size), c.size, c.key) = 1),
+gap2 AS (SELECT g.source, g.rest, g.gap - coalesce(r.size, 0) AS gap FROM gap1 g LEFT JOIN r2 r ON g.source IS NOT DISTINCT FROM r.source),
+r3 AS (
+  SELECT c.source, c.doc_id, c.size, g.gap FROM cand c JOIN gap2 g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE abs(g.gap - c.size) < g.gap AND c.doc_id NOT IN (SELECT doc_id FROM r1) AND c.doc_id NOT IN (SELECT doc_id FROM r2)
+  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(g.gap - c.size), c.size, c.key) = 1),
+gap3 AS (SELECT g.source, g.rest, g.gap - coalesce(r.size, 0) AS gap FROM gap2 g LEFT JOIN r3 r ON g.source IS NOT DISTINCT FROM r.source),
+r4 AS (
+  SELECT c.source, c.doc_id, c.size, g.gap FROM cand c JOIN gap3 g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE abs(g.gap - c.size) < g.gap AND c.doc_id NOT IN (SELECT doc_id FROM r1) AND c.doc_id NOT IN (SELECT doc_id FROM r2) AND c.doc_id NOT IN (SELECT doc_id FROM r3)
+  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(g.gap - c.size), c.size, c.key) = 1),
+gap4 AS (SELECT g.source, g.rest, g.gap - coalesce(r.size, 0) AS gap FROM gap3 g LEFT JOIN r4 r ON g.source IS NOT DISTINCT FROM r.source),
+r5 AS (
+  SELECT c.source, c.doc_id, c.size, g.gap FROM cand c JOIN gap4 g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE abs(g.gap - c.size) < g.gap AND c.doc_id NOT IN (SELECT doc_id FROM r1) AND c.doc_id NOT IN (SELECT doc_id FROM r2) AND c.doc_id NOT IN (SELECT doc_id FROM r3) AND c.doc_id NOT IN (SELECT doc_id FROM r4)
+  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(g.gap - c.size), c.size, c.key) = 1),
+gap5 AS (SELECT g.source, g.rest, g.gap - coalesce(r.size, 0) AS gap FROM gap4 g LEFT JOIN r5 r ON g.source IS NOT DISTINCT FROM r.source),
+picks AS (
+  SELECT p.doc_id, g.rest - p.gap AS late FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5) p
+  JOIN gap0 g ON p.source IS NOT DISTINCT FROM g.source),
 fin AS (
-  SELECT *, f + CASE WHEN size > 0 AND f < 3 AND CAST(before AS DOUBLE) + CAST(size AS DOUBLE) / 2 <= target - f * source_size THEN 1 ELSE 0 END AS copies,
-    least(CAST(before AS DOUBLE) / greatest(target, 1.0), 1.0) AS share FROM cop)
+  SELECT t.*, CASE WHEN size > 0 THEN f + CASE WHEN inside OR late IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS copies,
+    least(CASE WHEN f > 0 THEN CAST(before AS DOUBLE) ELSE f * source_size + CASE WHEN inside THEN CAST(before AS DOUBLE) ELSE late END END / greatest(target, 1.0), 1.0) AS share
+  FROM fit t LEFT JOIN picks k USING (doc_id))
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
   CASE WHEN copies > 0 THEN round(CASE weight WHEN 1 THEN (sqrt(1.5 * 1.5 + share * -2.0) - 1.5) / -1.0 + 0.0 WHEN 2 THEN share ELSE (sqrt(0.5 * 0.5 + share * 2.0) - 0.5) / 1.0 END, 9) END AS position
 FROM fin
