@@ -88,3 +88,33 @@ def test_skip_join_random():
                 x, y = find(got, a), find(got, b)
                 got[max(x, y)] = min(x, y)
             assert [find(got, i) for i in range(30)] == [find(want, i) for i in range(30)]
+
+
+def test_blocks_are_skipped_and_answers_derived():
+    """Near copies of several bases in sizes that mostly cannot link: most entries are skipped, most answers derived."""
+    r = np.random.default_rng(3)
+    sets = []
+    common = r.integers(0, 2**60, 30).astype(np.uint64)  # passages that all share
+    for n in (40, 80, 160, 320):
+        for _ in range(4):
+            base = np.concatenate([common, r.integers(0, 2**60, n).astype(np.uint64)])
+            for _ in range(8):
+                s = base.copy()
+                s[r.integers(0, len(s), 2)] = r.integers(0, 2**60, 2).astype(np.uint64)
+                sets.append(np.unique(s))
+    stats = {}
+    links = J.skip_join(sets, None, 85, 100, stats)
+    assert len(links) == 16 * 7  # a spanning tree of each base's copies
+    assert stats["skipped"] > 3 * stats["read"] > 0
+    assert stats["derived"] > 4 * stats["counted"] > 0
+
+
+def test_ties_repeats_and_long_texts(spark):
+    """Equal texts in any case, clashing columns, one text of 300,000 words."""
+    long = " ".join(f"w{i % 7919}" for i in range(300_000))
+    rows = [(3, long, 1, "x"), (1, long.upper(), 2, "y"), (2, "a b c d e", 3, None), (9, "A b C d E ", 4, None), (7, None, 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id long, rep string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, 4, 85, 100).collect()}
+    assert got == brute([(i, t) for i, t, *_ in rows], 4, 85, 100)
+    kept = J.keep_one(df, 4, 85, 100)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7] and kept.columns == df.columns

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SALTS = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read through Spark's own file systems."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, with the session's Arrow batches held to this many rows: texts are long, and a batch is held
-    several times over in the JVM and in Python."""
+    several times over in the JVM and in Python. Spark has this setting for a session only; it is lowered, never raised."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
@@ -27,11 +30,15 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialize df in the shared folder of spark.checkpoint.dir and cut its lineage.
 
-    The folder is the session's; one is made only where the setting is absent (local tests).
+    The folder is the session's. One is made only where the setting is absent and driver and executors are one
+    process; on a cluster without the setting this raises, as a folder of one machine would lose the rows.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-ckpt-"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-ckpt-"))
     return df.checkpoint()
 
 
@@ -82,11 +89,18 @@ def local_forest(batches, chunk: int = 1_000_000):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def beside_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of low (u, m): an inner join that deals a node's edges to SALTS tasks, so that no hub meets in one."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return left.join(low.withColumn("salt", salts), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of long columns (a, b): node, component (the smallest node reachable).
 
     Alternating large-star and small-star rounds, each a group-by-min and a join, so no
-    neighbourhood is gathered in one task and nothing but one count a round reaches the driver.
+    neighbourhood is gathered in one task and nothing but one count a round reaches the driver. The joins are salted.
     Partitions first replace their edges by a spanning forest. Nodes without an edge to another
     node are absent. Nulls on either side are dropped. Raises if max_rounds do not settle it.
     """
@@ -95,10 +109,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = checkpoint(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top")).where("top > u").drop("top")
+        large = beside_minimum(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = beside_minimum(large, low).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         ).select("x.u", "x.v").where("u != v").distinct()
         nxt = checkpoint(small)

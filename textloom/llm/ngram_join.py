@@ -10,8 +10,8 @@ Three steps, exact sets throughout:
 3. Inside a cluster the join is exact. Clusters over BLOCK classes are cut by size (a pair whose
    sizes differ by more than the threshold allows is skipped unseen) and then by hash, and pairs of
    blocks are joined as separate groups, so that no group exceeds two blocks. `skip_join` indexes
-   each block's sets, skips index blocks by size and position, and derives a set's overlaps
-   incrementally from those of a highly similar set that was answered before.
+   each block's sets, skips blocks of the index lists by size and position, and derives a set's answer
+   incrementally from that of a highly similar set that was answered before.
 
 Each group returns spanning links only, never all pairs of a group of copies.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._spark import checkpoint, components, small_batches
+from textloom.llm._spark import beside_minimum, checkpoint, components, small_batches
 from textloom.llm._text import distinct_sets, minima, mix, shingles, sums, words
 
 BANDS, ROWS = 32, 4
@@ -63,41 +63,115 @@ def _signer(k: int):
     return sign
 
 
-def skip_join(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
+class SkipIndex:
+    """Index lists of a block of sets, cut into blocks by size and read by position.
+
+    Sets are numbered by size; an element's position in a set counts the set's rarer elements. The list of
+    an element holds (size, position, set) in that order, so its entries of one size are a block that is skipped whole if the
+    size cannot link, and read only up to the last position from which the overlap can still be reached.
+    A second order of the same lists, by set alone, serves to count overlaps inside a range of sets.
+    read and skipped count the entries of the lists that were looked at.
+    """
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        m = len(sets)
+        self.num, self.den = num, den
+        self.size = np.array([len(s) for s in sets])
+        _, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m), self.size)
+        rank = np.empty(len(df), np.int64)  # rarest first
+        rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+        element = rank[inv]
+        by_set = np.lexsort((element, owner))
+        owner, element = owner[by_set], element[by_set]
+        position = np.arange(len(owner)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        shared = np.sort(df)[element] > 1  # elements of one set only meet no list
+        owner, element, position = owner[shared], element[shared], position[shared]
+        self.at = np.searchsorted(owner, np.arange(m + 1))
+        lists, self.element = np.unique(element, return_inverse=True)
+        self.place = position
+        self.sizes = np.unique(self.size)
+        kind = np.searchsorted(self.sizes, self.size)[owner]
+        self.m, self.kinds, self.top = m, len(self.sizes), int(self.size.max()) + 1
+        block = (self.element * self.kinds + kind) * self.top + position
+        order = np.argsort(block, kind="stable")
+        self.block, self.holder = block[order], owner[order]
+        self.by_owner = np.sort(self.element * m + owner)
+        self.held = np.zeros(len(lists), bool)
+        self.read = self.skipped = 0
+
+    def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least overlap of linked sets of these sizes."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
+    def of(self, x: int) -> np.ndarray:
+        return self.element[self.at[x] : self.at[x + 1]]
+
+    def candidates(self, x: int, low: int) -> np.ndarray:
+        """How often sets low..x-1 stand in the blocks of x's prefix that size and position do not rule out."""
+        mine, place = self.of(x), self.place[self.at[x] : self.at[x + 1]]
+        first, last = np.searchsorted(self.sizes, [self.size[low], self.size[x] + 1])
+        kinds = np.arange(first, last)
+        need = self.need(self.size[x], self.sizes[kinds])
+        i, k = np.nonzero(place[:, None] <= (self.size[x] - need)[None, :])  # x's own position leaves enough
+        if not len(i):
+            return np.zeros(self.m, np.int64)
+        base = (mine[i] * self.kinds + kinds[k]) * self.top
+        begin = np.searchsorted(self.block, base)
+        end = np.searchsorted(self.block, base + (self.sizes[kinds] - need)[k] + 1)
+        total = int((np.searchsorted(self.block, (mine + 1) * self.kinds * self.top) - np.searchsorted(self.block, mine * self.kinds * self.top)).sum())
+        out = np.bincount(self.holder[_spots(begin, end)], minlength=self.m)
+        self.read += int((end - begin).sum())
+        self.skipped += total - int((end - begin).sum())
+        out[:low] = 0
+        out[x:] = 0
+        return out
+
+    def overlaps(self, elements: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How often each of the sets low..high-1 is in these elements' lists; the lists before and after are skipped."""
+        begin = np.searchsorted(self.by_owner, elements * self.m + low)
+        end = np.searchsorted(self.by_owner, elements * self.m + high)
+        return np.bincount(self.by_owner[_spots(begin, end)] % self.m - low, minlength=high - low)
+
+    def difference(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shared elements that only x holds, and those that only y holds."""
+        a, b = self.of(x), self.of(y)
+        self.held[a] = True
+        only_b = b[~self.held[b]]
+        self.held[a] = False
+        self.held[b] = True
+        only_a = a[~self.held[a]]
+        self.held[b] = False
+        return only_a, only_b
+
+
+def _spots(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The indexes begin[0]..end[0]-1, begin[1]..end[1]-1 and so on."""
+    n = end - begin
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+
+
+def skip_join(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int, stats: dict | None = None) -> list[tuple[int, int]]:
     """Links that span the components of {(i, j): den * |i & j| >= num * |i | j|}.
 
-    sets: sorted distinct hashes. side: if given, only pairs on different sides are asked for (others
+    sets: sorted distinct hashes, none empty. side: if given, only pairs on different sides are asked for (others
     are answered in other groups); links inside a component found here already are left out.
 
-    Sets are taken by size. The index has for each element the earlier sets that hold it, in size
-    order, so those too small for the set at hand form one block that is skipped by position. A set's overlaps with all
-    earlier sets come from the closest earlier set's by adding and subtracting the lists of the few
-    elements in which the two differ, or else from the set's own lists.
+    Sets are taken by size. A set with a candidate in the index blocks that are not skipped gets an answer: its
+    overlaps with all sets in the range of sizes that could link, earlier and later. The closest answered candidate's
+    answer gives it incrementally, by adding and subtracting the lists of the elements in which the two differ; without one, or
+    if they differ in more elements than the set has, its own lists are counted. stats receives how many entries were
+    read and skipped, and how many answers were derived and counted.
     """
     m = len(sets)
     if m < 2:
         return []
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    sets = [sets[i] for i in order]
-    size = size[order]
+    order = np.argsort([len(s) for s in sets], kind="stable")
     side = None if side is None else side[order]
-    flat = np.concatenate(sets)
-    _, inv, df = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), size)
-    shared = df[inv] > 1
-    # elements held by one set only never meet an index list; the rest are numbered rarest first
-    rank = np.empty(len(df), np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-    owner, element = owner[shared], rank[inv[shared]]
-    by_set = np.lexsort((element, owner))
-    owner, element = owner[by_set], element[by_set]
-    at = np.searchsorted(owner, np.arange(m + 1))
-    by_element = np.lexsort((owner, element))
-    lists = owner[by_element]
-    uniq, start = np.unique(element[by_element], return_index=True)
-    start = np.append(start, len(lists))
-    element = np.searchsorted(uniq, element)  # dense, still rarest first
+    index = SkipIndex([sets[i] for i in order], num, den)
+    size = index.size
+    low = np.searchsorted(size, -(-num * size // den))  # first set that is large enough
+    high = np.searchsorted(size, den * size // num, "right")  # past the last that is small enough
     parent = list(range(m))
 
     def find(x: int) -> int:
@@ -106,48 +180,35 @@ def skip_join(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: in
             x = parent[x]
         return x
 
-    low = np.searchsorted(size, -(-num * size // den))  # first earlier set that is large enough
-    answers: dict[int, np.ndarray] = {}
-    held = np.zeros(len(uniq), bool)
+    answers: dict[int, np.ndarray] = {}  # over the sets low[x]..high[x]-1
+    is_answered = np.zeros(m, bool)
     out: list[tuple[int, int]] = []
-
-    def gather(elements: np.ndarray, x: int) -> np.ndarray:
-        """How often each earlier set is in the index lists of these elements."""
-        if not len(elements):
-            return np.zeros(m, np.int64)
-        lens = start[elements + 1] - start[elements]
-        spots = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(start[elements], lens)
-        hit = lists[spots]
-        return np.bincount(hit, minlength=m)
-
+    derived = counted = 0
     for x in range(m):
-        mine = element[at[x] : at[x + 1]]
-        need = -(-num * size[x] // den)  # smallest overlap with any earlier set that is large enough
-        if len(mine) < need:
+        if low[x] == x:
             continue
-        # prefix: a set linked to x shares one of x's rarest elements; unshared ones come first
-        prefix = mine[: max(0, len(mine) - need + 1)]
-        near = gather(prefix, x)
-        near[:low[x]] = 0  # position skip: the block of sets that are too small
-        near[x] = 0
+        near = index.candidates(x, int(low[x]))
         if not near.any():
             continue
-        best = int(near.argmax())
-        overlap = None
-        if best in answers:
-            held[mine] = True
-            theirs = element[at[best] : at[best + 1]]
-            gone = theirs[~held[theirs]]
-            held[mine] = False
-            held[theirs] = True
-            new = mine[~held[mine]]
-            held[theirs] = False
-            if len(gone) + len(new) < len(mine):
-                overlap = answers[best] - gather(gone, x) + gather(new, x)
-        if overlap is None:
-            overlap = gather(mine, x)
-        answers[x] = overlap
-        y = np.flatnonzero((den + num) * overlap[low[x] : x] >= num * (size[x] + size[low[x] : x])) + low[x]
+        lo, hi = int(low[x]), int(high[x])
+        known = np.where(is_answered, near, 0)
+        best = int(known.argmax())
+        answer = None
+        if known[best]:
+            new, gone = index.difference(x, best)
+            if len(new) + len(gone) < len(index.of(x)):
+                # low and high rise with size, so the answer of a smaller set covers lo..high[best]; the rest is counted
+                mid = min(hi, int(high[best]))
+                answer = np.concatenate([
+                    answers[best][lo - int(low[best]) : mid - int(low[best])] + index.overlaps(new, lo, mid) - index.overlaps(gone, lo, mid),
+                    index.overlaps(index.of(x), mid, hi) if mid < hi else np.zeros(0, np.int64),
+                ])
+                derived += 1
+        if answer is None:
+            answer = index.overlaps(index.of(x), lo, hi)
+            counted += 1
+        answers[x], is_answered[x] = answer, True
+        y = np.flatnonzero((den + num) * answer[: x - lo] >= num * (size[x] + size[lo:x])) + lo
         if side is not None:
             y = y[side[y] != side[x]]
         for other in y.tolist():
@@ -155,6 +216,8 @@ def skip_join(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: in
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((int(order[x]), int(order[other])))
+    if stats is not None:
+        stats.update(read=index.read, skipped=index.skipped, derived=derived, counted=counted)
     return out
 
 
@@ -178,8 +241,9 @@ def _joiner(k: int, num: int, den: int):
 def _clusters(classes: DataFrame) -> DataFrame:
     """rep, cluster of every class that shares a signature with another one."""
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    low = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    edges = keyed.join(low, "key").where("a != rep").select("a", F.col("rep").alias("b"))
+    keyed = keyed.select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    low = keyed.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
+    edges = beside_minimum(keyed, low).where("m != v").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
 
