@@ -57,8 +57,8 @@ def brute(items, docs):
     return {
         (d, i)
         for k, d in hashed if k == "d"
-        for q, i in hashed if q == "i" and len(hashed["i", i]) >= D.N
-        if D.smith_waterman(hashed["i", i], hashed["d", d])[0] / (2 * len(hashed["i", i])) >= D.THRESHOLD
+        for q, i in hashed if q == "i" and len(hashed["i", i])
+        if D.smith_waterman(hashed["i", i], hashed["d", d])[0] / (2 * len(hashed["i", i])) >= (D.THRESHOLD if len(hashed["i", i]) >= D.N else 1)
     }
 
 
@@ -94,3 +94,31 @@ def test_hot_items_are_found_at_any_share(spark):
         d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
         got = {(x.doc_id, x.item_id) for x in D.find_contamination(d, b).collect()}
         assert got == brute(items, docs) and len(got) == 3 * -(-n // every)
+
+
+def test_short_items_whole_copies_and_few_documents(spark, monkeypatch):
+    """Items of one to eight words that stand whole in one of one, two or three documents, or in all of a hundred."""
+    items = [(1, "Zork"), (2, "quux zork"), (4, "k1 k2 k3 k4"), (8, "e1 e2 e3 e4 e5 e6 e7 e8"), (9, "e1 e2 e3 e4 e5 e6 e7 e8"), (5, " \t ")]
+    whole = "x zork y quux  ZORK k1 k2 k3 k4 z e1 e2 e3 e4 e5 e6 e7 e8 end zork"
+    for n, every in ((1, 1), (2, 2), (3, 3), (100, 1)):
+        docs = [(i, whole if i % every == 0 else f"quux a b c d{i}", "t") for i in range(n)] + [(n, "zor k quux"), ]
+        docs = [(*d, "t")[:3] for d in docs]
+        d, b = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(items, "item_id long, text string")
+        got = {(x.doc_id, x.item_id): x for x in D.find_contamination(d, b).collect()}
+        assert set(got) == {(i, k) for i in range(0, n, every) for k in (1, 2, 4, 8, 9)}
+        assert {got[0, k].score for k in (1, 2, 4, 8, 9)} == {1.0}
+        assert (got[0, 1].start_word, got[0, 1].end_word) == (1, 2) and (got[0, 2].start_word, got[0, 2].end_word) == (3, 5)
+
+
+def test_seeds_shared_by_many_items(spark, monkeypatch):
+    """Memory is cut by ranges of items without a change of result; repeated documents each give rows."""
+    r = random.Random(4)
+    items = [(i, "what is the answer to " + " ".join(f"v{r.randrange(60)}" for _ in range(r.choice([3, 9])))) for i in range(80)]
+    docs = [(i // 2, " ".join([*(f"v{r.randrange(60)}" for _ in range(30)), *items[i][1].split()])) for i in range(40)] + [(99, "what is the answer " * 3000)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, D.find_contamination(d, b).collect()))
+    monkeypatch.setattr(D, "SPREAD", 50)
+    w = next(words(pa.array([t for _, t in docs])))
+    own = D._Items(items)
+    got = sorted((docs[x][0], own.ids[i], *v) for x, i, *v in D._match_chunk(own, np.ones(len(own.uniq)), w, D.THRESHOLD))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len(want) >= 40

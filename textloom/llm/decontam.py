@@ -7,8 +7,11 @@ window whose distinct seeds weigh at least SEED_BITS goes to local alignment of
 mismatch -1, gap -1). A lighter window goes there too unless it holds too few of the item's words for the
 threshold, so passages copied into any share of the documents are found. The score is the alignment's share of a perfect one.
 
+Items of fewer than N words have no seeds; they match where all their words stand consecutively.
+
 Items are the broadcast side. Their size is checked: beyond SLICE_CHARS they are dealt into
-slices, each matched against all documents in turn.
+slices, each matched against all documents in turn. Seeds that many items share are expanded for a range of items at a
+time, so memory is bounded whatever their number.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._spark import checkpoint, small_batches
-from textloom.llm._text import distinct_sets, shingles, words
+from textloom.llm._text import Words, shingles, words
 
 N = 3
 SEED_BITS = 4.0
 THRESHOLD = 0.5
 SLICE_CHARS = 8 << 20
+SPREAD = 2 << 20  # places of seeds in items held at once for a chunk of text
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -81,10 +85,22 @@ class _Items:
         self.seeds, self.item, self.place = cat(seeds, np.uint64), cat(item, np.int64), cat(place, np.int64)
         order = np.lexsort((self.place, self.item, self.seeds))
         self.seeds, self.item, self.place = self.seeds[order], self.item[order], self.place[order]
-        self.uniq = np.unique(self.seeds)
+        self.uniq, which = np.unique(self.seeds, return_inverse=True)
+        self.order = which * max(1, len(self.words)) + self.item  # rises: places of a seed in a range of items are a slice
+        self.short = {k: self._whole(k) for k in range(1, N)}
         self.size = np.array([len(x) for x in self.words], np.int64)
         self.sorted = [np.unique(x, return_counts=True) for x in self.words]
 
+    def _whole(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the items of k words, sorted, and their numbers."""
+        own = [i for i, x in enumerate(self.words) if len(x) == k]
+        if not own:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        line = np.concatenate([self.words[i] for i in own])
+        h, _ = shingles(Words(0, len(own), line[:0].view(np.uint8), line, line, line, np.arange(len(own) + 1) * k), k)
+        order = np.argsort(h, kind="stable")
+        return h[order], np.array(own)[order]
+
     def most(self, i: int, text: np.ndarray) -> float:
         """Bound on the share of a perfect alignment of item i that text can reach: its words that text holds, anywhere."""
         own, n = self.sorted[i]
@@ -114,14 +130,11 @@ def _counter(items: _Items):
 
 
 def _matcher(items: _Items, weight: np.ndarray, threshold: float):
-    starts = np.searchsorted(items.seeds, items.uniq)
-    ends = np.searchsorted(items.seeds, items.uniq, "right")
-
     def match(batches):
         for batch in batches:
             ids = batch.column(0)
             for w in words(batch.column(1)):
-                out = _match_chunk(items, weight, starts, ends, w, threshold)
+                out = _match_chunk(items, weight, w, threshold)
                 if out:
                     doc, item, score, n, lo, hi = zip(*out)
                     yield pa.RecordBatch.from_arrays(
@@ -132,19 +145,53 @@ def _matcher(items: _Items, weight: np.ndarray, threshold: float):
     return match
 
 
-def _match_chunk(items, weight, starts, ends, w, threshold):
+def _match_short(items, w):
+    """Places where an item of fewer than N words stands whole: the first of each document and item."""
+    out = []
+    for k, (own, number) in items.short.items():
+        if not len(own):
+            continue
+        h, first = shingles(w, k)
+        lo, hi = np.searchsorted(own, h), np.searchsorted(own, h, "right")
+        owner = np.searchsorted(first, np.arange(len(h)), "right") - 1
+        seen = set()
+        for at in np.flatnonzero((hi > lo) & (np.diff(w.first)[owner] >= k)).tolist():
+            d = int(owner[at])
+            place = int(at - first[d])
+            for i in number[lo[at] : hi[at]].tolist():
+                if (d, i) not in seen:
+                    seen.add((d, i))
+                    out.append((d, i, 1.0, 1, place, place + k))
+    return out
+
+
+def _match_chunk(items, weight, w, threshold):
+    out = _match_short(items, w)
     if not len(items.uniq):
-        return []
+        return out
     h, first = shingles(w, N)
     hit = np.minimum(np.searchsorted(items.uniq, h), len(items.uniq) - 1)
     at = np.flatnonzero(items.uniq[hit] == h)
     if not len(at):
-        return []
+        return out
+    ranges = [(0, len(items.words))]
+    while ranges:
+        lo, hi = ranges.pop()
+        begin = np.searchsorted(items.order, hit[at] * len(items.words) + lo)
+        many = np.searchsorted(items.order, hit[at] * len(items.words) + hi) - begin
+        total = int(many.sum())
+        if total > SPREAD and hi - lo > 1:
+            ranges += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+        elif total:
+            out += _match_range(items, weight, w, threshold, first, at, hit[at], begin, many)
+    return out
+
+
+def _match_range(items, weight, w, threshold, first, at, seed, begin, many):
+    """Matches of the items in whose places (begin, many) the seeds found at `at` are looked up."""
     doc = np.searchsorted(first, at, "right") - 1
-    seed = hit[at]
     pos = at - first[doc]
-    many = ends[seed] - starts[seed]  # places of the seed in items
-    spot = np.repeat(starts[seed], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    spot = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     doc, pos, seed = np.repeat(doc, many), np.repeat(pos, many), np.repeat(seed, many)
     item, begin = items.item[spot], pos - items.place[spot]  # begin: where the item would start
     order = np.lexsort((pos, begin, item, doc))
@@ -186,9 +233,11 @@ def _steps(first: int, last: int, size: int):
 def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, n_seeds, start_word, end_word of documents that hold an item, whole or edited.
 
-    One row per document and item: its best window, the first of equal ones. score, threshold to 1, is the share
-    of a perfect alignment. Null and empty texts, and items of fewer than N words, match nothing; rows with
-    a null doc_id or item_id are dropped; repeated items each get their rows. Other columns are ignored.
+    One row per row of docs and row of items: its best window, the first of equal ones; repeated documents and repeated items
+    each get their rows. score, threshold to 1, is the share of a perfect alignment. Items of fewer than N words match
+    only whole (score 1, the first place). Null texts and texts without words, on either side, match nothing; rows with
+    a null doc_id or item_id are dropped. Texts of any length are matched whole. Other columns are ignored; empty tables give no rows.
+    A window is aligned if it shares a seed with the item; an edit that leaves no N consecutive words of it is not found.
     """
     d = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     b = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -208,6 +257,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = THR
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no item; columns as given. Rows with a null doc_id stay."""
+    """The documents that hold no item; columns and rows as given, repeated ones included.
+
+    Rows with a null doc_id have no identity to be found by and stay; so do null and empty texts. Every row of a doc_id goes if one does.
+    """
     found = checkpoint(find_contamination(docs, items, threshold).select(F.col("doc_id").alias("__drop")).distinct())
     return docs.join(found, docs["doc_id"] == found["__drop"], "left_anti")
