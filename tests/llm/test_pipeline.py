@@ -15,7 +15,7 @@ def test_stages_equal_a_plain_version(spark, tmp_path):
     out = [r.asDict() for r in C.run(spark, sf).collect()]
     model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     ids = sorted(docs)
-    scores = model.score_column(pa.array([docs[i].text for i in ids], pa.string()), toxicity.Reader(model.lm))
+    scores = model.score_column(pa.array([docs[i].text for i in ids], pa.string()), model.reader())
     left = [i for i, s in zip(ids, np.asarray(scores)) if s < 0.5]
     groups = groups_by_pairs([(i, docs[i].text) for i in left], 5, 80, 100)
     left = [i for i in left if groups[i][1] == i]

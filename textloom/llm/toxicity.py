@@ -29,6 +29,8 @@ MAX_LABELLED = 20_000
 MAX_FEATURES = 4_000
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
+#: Features stand in at least MIN_ROWS labelled rows, and have log-odds of a toxic row over TOXIC_ODDS or under CLEAN_ODDS.
+MIN_ROWS, TOXIC_ODDS, CLEAN_ODDS, PRIOR = 3, 3.0, -3.0, 0.2
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -42,7 +44,8 @@ SIGNS = {
 }
 _GAPS = set(".-_*~'^,/ ")
 _SIGN_COST, _GAP_COST, _REPEAT_COST, _SAME_COST, _DOUBT_COST = 1.0, 0.4, 0.3, 0.05, 2.0
-_PIECE = 64
+#: Paths kept in a state, and readings taken of a disguised token.
+KEPT, N_BEST = 3, 8
 
 
 # ---- language model ---------------------------------------------------------------------------
@@ -86,77 +89,84 @@ class CharModel:
         return ord(ch) - 96 if "a" <= ch <= "z" else 27
 
 
-def restore(lm: CharModel, token: str, lexicon: frozenset[str] = frozenset()) -> str:
-    """Most likely letters behind a disguised token, by Viterbi over its lattice of last two letters.
+def readings(lm: CharModel, token: str, n: int = 1) -> list[str]:
+    """The n most likely letters behind a disguised token, best first: Viterbi over its lattice, whose states are the last two letters.
 
-    Tokens over 64 signs are restored piece by piece. lexicon: telling words; of the best
-    readings that ends in one of them it is preferred within a small margin (their LM odds are low).
+    Each state keeps its KEPT best paths (or 1, if one reading is asked for), so the first reading is exact and the others are its
+    neighbours. Letters stand for themselves, a sign for each of its letters or for nothing, a repeat may be dropped. Linear in the token.
     """
-    if len(token) > _PIECE:
-        return "".join(restore(lm, token[i : i + _PIECE], lexicon) for i in range(0, len(token), _PIECE))
-    log = lm.log
-    # state: last two codes and the last letter -> (score, letters)
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    log, kept = lm.log, 1 if n == 1 else KEPT
+    # state: last two codes -> best (score, path), path: (path before, letter)
+    beam: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(0, 0): [(0.0, None)]}
     for ch in token.lower():
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        if ch.isalpha():
-            reads = [(ch, _SAME_COST)]
-        else:
-            reads = [(x, _SIGN_COST) for x in SIGNS.get(ch, "")]
-        for (a, b), (score, letters) in beam.items():
+        nxt: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
+        letter = ch.isalpha()
+        reads = [(ch, _SAME_COST)] if letter else [(x, _SIGN_COST) for x in SIGNS.get(ch, "")]
+        skip = 0.0 if letter else _GAP_COST if ch in _GAPS or ch not in SIGNS else _DOUBT_COST
+        for (a, b), paths in beam.items():
             row = log[a][b]
-            for x, cost in reads:
-                c = CharModel.code(x)
-                s = score - cost + row[c]
-                if (b, c) not in nxt or s > nxt[b, c][0]:
-                    nxt[b, c] = (s, letters + x)
-            if letters and any(x == letters[-1] for x, _ in reads):  # a repeat that adds nothing
-                s = score - _REPEAT_COST
-                if (a, b) not in nxt or s > nxt[a, b][0]:
-                    nxt[a, b] = (s, letters)
-            if not ch.isalpha():
-                s = score - (_GAP_COST if ch in _GAPS or ch not in SIGNS else _DOUBT_COST)
-                if (a, b) not in nxt or s > nxt[a, b][0]:
-                    nxt[a, b] = (s, letters)
-        beam = nxt or beam
-    ends = sorted(((s + log[a][b][0], t) for (a, b), (s, t) in beam.items()), reverse=True)
-    best = ends[0][0]
-    for s, t in ends:
-        if t in lexicon and s > best - 12.0:
-            return t
-    return ends[0][1]
-
-
-def readings(token: str) -> list[str]:
-    """Plain variants of a disguised token that the lattice holds whatever its letters' odds: repeats collapsed to one or two."""
-    flat = re.sub(r"[^a-z]", "", "".join(SIGNS.get(c, c)[0] if c in SIGNS and c not in "*#" else c for c in token.lower()))
-    return list({re.sub(r"(.)\1+", r"\1", flat), re.sub(r"(.)\1{2,}", r"\1\1", flat), re.sub(r"(.)\1{2,}", r"\1", flat)})
-
-
-_EDGE = ".,;:?!\"')*%&^~#$"
-_SIGN_IN = re.compile(r"(?=.*[A-Za-z])(?:.*[A-Za-z])?[0134567@$!|+(<€£*89#][A-Za-z0-9@$!|+(<€£*#]*|[A-Za-z](?:[.\-_*~'^/][A-Za-z0-9@$!|]){2,}")
+            for score, path in paths:
+                for x, cost in reads:
+                    c = CharModel.code(x)
+                    nxt.setdefault((b, c), []).append((score - cost + row[c], (path, x)))
+                if path and any(x == path[1] for x, _ in reads):  # a repeat that adds nothing
+                    nxt.setdefault((a, b), []).append((score - _REPEAT_COST, path))
+                if not letter:
+                    nxt.setdefault((a, b), []).append((score - skip, path))
+        if nxt:
+            beam = {k: v if len(v) <= kept else sorted(v, key=_first, reverse=True)[:kept] for k, v in nxt.items()}
+    ends = sorted(((s + log[a][b][0], path) for (a, b), paths in beam.items() for s, path in paths), key=_first, reverse=True)
+    out: list[str] = []
+    for _, path in ends:
+        letters = []
+        while path:
+            path, x = path
+            letters.append(x)
+        word = "".join(reversed(letters))
+        if word not in out:
+            out.append(word)
+            if len(out) == n:
+                break
+    return out
+
+
+def _first(x: tuple) -> float:
+    return x[0]
+
+
+def restore(lm: CharModel, token: str) -> str:
+    """The most likely letters behind a disguised token."""
+    return readings(lm, token)[0]
+
+
+_SIGN_IN = re.compile(r"[A-Za-z](?:[.\-_*~'^/][A-Za-z0-9@$!|]){2,}|[0134567@$!|+(<€£*89#]")
 _REPEAT = re.compile(r"([A-Za-z])\1\1")
+_SOFT = re.compile(r"([A-Za-z])\1|[A-Za-z][.\-_*~'^/][A-Za-z]", re.I)
 
 
 def disguised(token: str) -> str:
-    """The part of a token that may hide a word, or an empty string: signs among letters, or a letter three times running."""
-    core = token.strip("\"'.,;:?()[]{}")
-    while core and core[-1] in _EDGE and core[-1] not in "$" :
-        core = core[:-1]
-    tail = re.sub(r"[!$*%&]{2,}$", "", core)
-    core = tail if tail else core
+    """The part of a token that hides letters behind signs, sets them apart or repeats them three times or more; or an empty string."""
+    core = token.strip("\"'.,;:?()[]{}").rstrip("!#%&")
     if len(core) < 3 or not any(c.isascii() and c.isalpha() for c in core) or "://" in core or core.count("@") == 1 and "." in core.split("@")[1]:
         return ""
-    if core.isascii() and core.isalpha():
-        return core if _REPEAT.search(core) else ""
-    return core if _SIGN_IN.search(core) or _REPEAT.search(core) else ""
+    return core if _REPEAT.search(core) or not (core.isascii() and core.isalpha()) and _SIGN_IN.search(core) else ""
+
+
+def doubtful(token: str) -> str:
+    """The part of a token with a doubled letter or one separator inside, which plain words have as well; or an empty string."""
+    core = token.strip("\"'.,;:?!()[]{}#%&")
+    return core if len(core) > 3 and _SOFT.search(core) else ""
 
 
 # ---- features ---------------------------------------------------------------------------------
 
 
+_READS = np.zeros(256, bool)
+_READS[[ord(c) for c in SIGNS if ord(c) < 128 and c != "!"]] = True
+
+
 def _strange(w) -> np.ndarray:
-    """Indexes of white-space words that need a closer look: a sign or digit before or among ASCII letters, a triple letter, or a run of single letters."""
+    """Indexes of white-space words that need a closer look: a sign or digit before an ASCII letter, one that may be a letter after one, or a doubled letter."""
     data = w.data
     if not len(w.start):
         return np.zeros(0, np.int64)
@@ -164,10 +174,10 @@ def _strange(w) -> np.ndarray:
     alpha = (low >= 97) & (low <= 122)
     odd = np.zeros(len(data), bool)
     other = ~alpha & (data < 128) & ~_SPACE[data]
-    odd[:-1] = other[:-1] & alpha[1:]  # a sign with a letter after it
-    same = np.zeros(len(data), bool)
-    same[2:] = alpha[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    flag = np.concatenate([[0], np.cumsum(odd | same)])
+    odd[:-1] = other[:-1] & alpha[1:]
+    odd[1:] |= _READS[data[1:]] & (alpha[:-1] | _READS[data[:-1]])
+    odd[1:] |= alpha[1:] & (low[1:] == low[:-1])
+    flag = np.concatenate([[0], np.cumsum(odd)])
     hit = flag[w.end] > flag[w.start]
     euro = (data[w.start] == 0xE2) | (data[w.start] == 0xC2)
     return np.flatnonzero(hit | euro)
@@ -188,10 +198,6 @@ def _spaced(w) -> list[tuple[int, int, int]]:
     return runs
 
 
-def _plain_features(arr) -> list[np.ndarray]:
-    return [_of_letters(w)[0] for w in words(arr, space=_NOT_LETTER, prefixes=PREFIXES)]
-
-
 def _of_letters(w) -> tuple[np.ndarray, np.ndarray]:
     """(feature hashes, text indexes) of the letter words and their prefixes."""
     owner = np.searchsorted(w.first, np.arange(len(w.hash)), "right") - 1
@@ -203,37 +209,73 @@ def _of_letters(w) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Reader:
-    """Features of texts: plain ones by vector code, restored ones through the lattice, remembered per token."""
+    """Telling features of disguised words, found by decoding their lattices; remembered per word.
+
+    Words of signs or long repeats give their N_BEST readings. Words with just a doubled letter or one separator are as
+    often plain, so they are decoded only if without those they would be a telling word, and give the best reading alone.
+    """
 
-    def __init__(self, lm: CharModel, lexicon: frozenset[str] = frozenset()):
-        self.lm, self.lexicon, self.known = lm, lexicon, {}
+    def __init__(self, lm: CharModel, classifier: Classifier):
+        self.lm, self.classifier = lm, classifier
+        self.known: dict[int, tuple[int, ...]] = {}
 
     def look(self, token: str) -> list[str]:
-        """Words behind a token; empty for an undisguised one."""
-        if token not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            core = disguised(token)
-            self.known[token] = [restore(self.lm, core, self.lexicon), *(x for x in readings(core) if len(x) > 2)] if core else []
-        return self.known[token]
-
-    def restored(self, arr) -> list[tuple[int, str]]:
-        """(text index, restored word) of all disguised words of a column."""
-        out = []
+        """Readings of a token; empty for an undisguised one."""
+        core = disguised(token)
+        if core:
+            return readings(self.lm, core, N_BEST)
+        core = doubtful(token)
+        if core:
+            plain = re.sub(r"[^a-z]", "", core.lower())
+            if any(self._hits([re.sub(r"(.)\1", r"\1", plain), *(plain[: m.start()] + plain[m.start() + 1 :] for m in re.finditer(r"(.)\1", plain)), *([plain] if len(plain) < len(core) else [])])):
+                return readings(self.lm, core)
+        return []
+
+    def _hits(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The telling features of each word."""
+        out: list[list[int]] = [[] for _ in texts]
+        for w in words(pa.array(texts, pa.string()), space=_NOT_LETTER, prefixes=PREFIXES):
+            h, owner = _of_letters(w)
+            hit = self.classifier.hits(h)
+            for o, x in zip((owner[hit >= 0] + w.lo).tolist(), hit[hit >= 0].tolist()):
+                out[o].append(x)
+        return [tuple(sorted(set(x))) for x in out]
+
+    def _learn(self, fresh: dict[int, str]) -> None:
+        """Remember the features of these words, by hash."""
+        if len(self.known) > 400_000:
+            self.known.clear()
+        read = [(h, x) for h, token in fresh.items() for x in self.look(token)]
+        self.known.update(dict.fromkeys(fresh, ()))
+        for (h, _), hits in zip(read, self._hits([x for _, x in read]) if read else ()):
+            if hits:
+                self.known[h] = tuple(sorted({*self.known[h], *hits}))
+
+    def restored(self, arr) -> tuple[np.ndarray, np.ndarray]:
+        """(text indexes, features) of all disguised words of a column."""
+        owners, hits = [], []
         for w in words(arr):
             strange = _strange(w)
-            owner = np.searchsorted(w.first, strange, "right") - 1
-            for i, o in zip(strange.tolist(), owner.tolist()):
-                token = bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace")
-                out += [(w.lo + o, x) for x in self.look(token)]
+            uniq, first, inv = np.unique(w.hash[strange], return_index=True, return_inverse=True)
+            fresh = {h: bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace") for h, i in zip(uniq.tolist(), strange[first].tolist()) if h not in self.known}
+            self._learn(fresh)
+            telling = [self.known.get(h, ()) for h in uniq.tolist()]
+            some = np.array([bool(x) for x in telling], bool)
+            if some.any():
+                owner = np.searchsorted(w.first, strange, "right") - 1 + w.lo
+                for k in np.flatnonzero(some[inv]).tolist():
+                    for x in telling[inv[k]]:
+                        owners.append(int(owner[k]))
+                        hits.append(x)
             for o, a, b in _spaced(w):
                 token = bytes(w.data[w.start[a:b]]).decode("ascii", "replace")
                 if sum(c.isalpha() for c in token) >= 3:
-                    every = {restore(self.lm, token, self.lexicon), *readings(token), token.lower()}
                     # a one-letter word of the sentence may stand before or after the spaced word
-                    every |= {token.lower()[1:], token.lower()[:-1]} | set(readings(token[1:])) | set(readings(token[:-1]))
-                    out += [(w.lo + o, x) for x in every if len(x) > 2]
-        return out
+                    every = [x for t in (token, token[1:], token[:-1]) for x in readings(self.lm, t, N_BEST) if len(x) > 2]
+                    for x in sorted({x for own in self._hits(every) for x in own}):
+                        owners.append(w.lo + o)
+                        hits.append(x)
+        return np.array(owners, np.int64), np.array(hits, np.int64)
 
 
 def _gatherer(lm_only_labels: dict[int, int]):
@@ -294,7 +336,7 @@ class Classifier:
 
 
 def _present(features: np.ndarray, labels: dict[int, int]):
-    """Second pass: (label, features) of each training row."""
+    """Second pass: (doc_id, label, features) of each training row."""
     probe = Classifier(features, np.zeros(len(features)), 0.0)
 
     def present(batches):
@@ -312,13 +354,13 @@ def _present(features: np.ndarray, labels: dict[int, int]):
                 for p in pair.tolist():
                     rows[p // len(features)].append(p % len(features))
                 keep = np.flatnonzero(label >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(label[keep]), pa.array([rows[i] for i in keep], pa.list_(pa.int64()))], names=["label", "has"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[w.lo + i] for i in keep], pa.int64()), pa.array(label[keep]), pa.array([rows[i] for i in keep], pa.list_(pa.int64()))], names=["doc_id", "label", "has"])
 
     return present
 
 
 def fit_logistic(rows: list[tuple[int, list[int]]], width: int, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient steps with momentum; L2 penalty 1e-4."""
+    """Weights and bias by full-batch gradient steps with momentum, each weight at the pace of its count; a normal prior of variance 1 / PRIOR."""
     y = np.array([r[0] for r in rows], float)
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]).astype(np.int64)
     col = np.array([x for r in rows for x in r[1]], np.int64)
@@ -330,7 +372,7 @@ def fit_logistic(rows: list[tuple[int, list[int]]], width: int, rounds: int = 30
     for _ in range(rounds):
         z = b + np.bincount(owner, weights=w[col], minlength=len(rows))
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, weights=e[owner], minlength=width) / count + 1e-4 * w
+        g = np.bincount(col, weights=e[owner], minlength=width) / count + PRIOR * w / count
         v = 0.9 * v - 0.3 * g
         w += v
         vb = 0.9 * vb - 0.3 * e.mean()
@@ -339,32 +381,30 @@ def fit_logistic(rows: list[tuple[int, list[int]]], width: int, rounds: int = 30
 
 
 class ToxicityModel:
-    def __init__(self, lm: CharModel, classifier: Classifier, lexicon: frozenset[str]):
-        self.lm, self.classifier, self.lexicon = lm, classifier, lexicon
+    def __init__(self, lm: CharModel, classifier: Classifier):
+        self.lm, self.classifier = lm, classifier
+
+    def reader(self) -> Reader:
+        return Reader(self.lm, self.classifier)
 
     def score_column(self, arr, reader: Reader) -> np.ndarray:
-        n = len(arr)
+        """Scores of a column of texts, from their plain words and what the reader restores."""
         owners, hits = [], []
         for w in words(arr, space=_NOT_LETTER, prefixes=PREFIXES):
             h, owner = _of_letters(w)
             hit = self.classifier.hits(h)
             owners.append(owner[hit >= 0] + w.lo)
             hits.append(hit[hit >= 0])
-        more = reader.restored(arr)
-        if more:
-            texts = pa.array([x for _, x in more])
-            at = np.array([o for o, _ in more])
-            for w in words(texts, space=_NOT_LETTER, prefixes=PREFIXES):
-                h, owner = _of_letters(w)
-                hit = self.classifier.hits(h)
-                owners.append(at[owner[hit >= 0] + w.lo])
-                hits.append(hit[hit >= 0])
+        if len(self.classifier.features):
+            more, which = reader.restored(arr)
+            owners.append(more)
+            hits.append(which)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return self.classifier.score(n, cat(owners), cat(hits))
+        return self.classifier.score(len(arr), cat(owners), cat(hits))
 
     def scorer(self):
         def score(batches):
-            reader = Reader(self.lm, self.lexicon)
+            reader = self.reader()
             for batch in batches:
                 if batch.num_rows:
                     s = self.score_column(batch.column(1), reader)
@@ -393,19 +433,21 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         trigrams[r.key] = r.pos
     toxic, rest = sum(label.values()), len(label) - sum(label.values())
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("neg") + 0.5) / (rest + 1.0))
-    telling = counts.where("kind = 1 and pos >= 3").withColumn("odds", odds).where("odds > 2")
-    telling = telling.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "key").limit(MAX_FEATURES).collect()
+    telling = counts.where(f"kind = 1 and pos + neg >= {MIN_ROWS}").withColumn("odds", odds).where(f"odds > {TOXIC_ODDS} or odds < {CLEAN_ODDS}")
+    telling = telling.orderBy(F.desc(F.abs("odds") * F.sqrt(F.greatest("pos", F.col("neg") * (toxic + 1.0) / (rest + 1.0)))), "key").limit(MAX_FEATURES).collect()
     features = np.sort(np.array([r.key for r in telling], np.int64).view(np.uint64)) if telling else np.zeros(0, np.uint64)
-    rows = sorted((r.label, r.has) for r in d.mapInArrow(_present(features, label), "label long, has array<long>").collect())  # at most MAX_LABELLED
+    has = d.mapInArrow(_present(features, label), "doc_id long, label long, has array<long>").groupBy("doc_id").agg(F.first("label").alias("label"), F.max("has").alias("has"))
+    rows = sorted((r.label, r.has) for r in has.collect())  # at most MAX_LABELLED: of a repeated id, one row
     weights, bias = fit_logistic(rows, len(features))
-    return ToxicityModel(CharModel(trigrams), Classifier(features, weights, bias), frozenset())
+    return ToxicityModel(CharModel(trigrams), Classifier(features, weights, bias))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; score never sees labels, language, source or id.
 
     Null and empty texts have no feature and get the base rate. Every row gives one row, repeated and
-    null ids included (a null id counts as not held out). Other columns are ignored.
+    null ids included (a null id counts as not held out). Texts and words of any length are read whole. Other columns are
+    ignored; an empty table gives no rows, and without labels all scores are equal.
     """
     model = train(docs, labels)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -414,12 +456,16 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under 0.5; columns as given."""
+    """The documents whose score is under 0.5; columns as given, whatever their names.
+
+    Null and empty texts have the base rate and stay (it is under 0.5 unless most labelled rows are toxic). Every row is judged
+    by its own text, repeated and null ids included; without labels all stay.
+    """
     model = train(docs, labels)
     at = docs.columns.index("text")
 
     def keep(batches):
-        reader = Reader(model.lm, model.lexicon)
+        reader = model.reader()
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(model.score_column(batch.column(at).cast(pa.string()), reader) < 0.5))
