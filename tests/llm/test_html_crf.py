@@ -52,3 +52,27 @@ def test_rows(spark):
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in H.extract(df).collect()))
     assert got == [(0, "", 0), (1, "T é\nOne two.\nSh.", 16), (1, "T é\nOne two.\nSh.", 16), (2, "", 0), (3, "", 0)]
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_article_text_is_kept_whole():
+    """Formulas, fallbacks of objects and canvases, and text for readers without scripts belong to the article."""
+    crf = H.trained()
+    page = "<body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>On values</h1><p>The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is given here.</p><p>See <object data=a>the drawing</object> and <canvas>its outline</canvas> below.</p><noscript><p>The table is printed at the end.</p></noscript><script>var x</script><style>p{}</style></article><footer>&copy; 2020</footer>"
+    assert H.main_text(crf, page).split("\n") == ["On values", "The value x = 2 is given here.".replace("x = 2", "x=2"), "See the drawing and its outline below.", "The table is printed at the end."]
+
+
+def test_deep_pages_keep_their_paths():
+    """End tags close their own elements at any depth."""
+    deep = "<div>" * 450
+    page = f"<nav>{deep}<nav>inner</nav>{'</div>' * 450}still a menu</nav><article><p>text</p></article>"
+    blocks = {b.text: b.path for b in H.leaf_blocks(page)}
+    assert blocks["still a menu"] == ("<nav",) and blocks["text"] == ("<article", "<p") and blocks["inner"][0] == "<nav"
+    many = H.leaf_blocks("<p>" + "<i>" * 20000 + "x" + "</i>" * 20000 + "</p><p>y")
+    assert [b.text for b in many] == ["x", "y"] and many[1].path == ("<p",)
+
+
+def test_very_long_page(spark):
+    body = "".join(f"<p>Sentence number {i} of a very long article.</p>" for i in range(30_000))
+    df = spark.createDataFrame([(1, "u", f"<html><body><nav><a href=x>Home</a></nav><article>{body}</article></body></html>", "z")], "page_id long, url string, html string, n_chars string")
+    text = H.extract(df).first().text
+    assert text.count("\n") == 29_999 and "Home" not in text

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from textloom.llm import pii as P
 
 
@@ -72,3 +74,57 @@ def test_long_ibans_and_hosts():
         text = filler + span + " for " + filler
         got = P.find_spans(crf, text)[1]
         assert (kind, len(filler), len(filler) + len(span)) in got, (span, got)
+
+
+def _segmentations(n, cands, kinds):
+    """All ways to cut n tokens into single tokens outside and candidate segments of each kind."""
+
+    def go(i):
+        if i == n:
+            yield ()
+            return
+        for rest in go(i + 1):
+            yield ((i, i + 1, 0), *rest)
+        for a, b in cands:
+            if a == i:
+                for rest in go(b):
+                    for k in range(1, kinds):
+                        yield ((a, b, k), *rest)
+
+    return list(go(0))
+
+
+def _score(crf, cands, segments):
+    total, before = 0.0, 0
+    for i, j, k in segments:
+        total += crf.edge(before, k) + (crf.scores(cands[i, j][2])[k - 1] if k else 0.0)
+        before = k
+    return total
+
+
+def test_decode_and_gradient_equal_enumeration():
+    crf = P.trained()
+    for text in ("call (212) 555-0100 now", "ssn 123-45-6789, or", "mail a at b dot org", "key 12 3", "x 1.2.3.4"):
+        bounds = P._bounds(text)
+        cands = P._candidates(text, bounds)
+        n = len(bounds)
+        every = _segmentations(n, cands, len(crf.kinds))
+        totals = np.array([_score(crf, cands, s) for s in every])
+        best = every[int(totals.argmax())]
+        assert crf.decode(n, cands) == [s for s in best if s[2]], text
+        p = np.exp(totals - totals.max())
+        p /= p.sum()
+        gold = [s for s in every[len(every) // 2] if s[2]]
+        g = crf.gradient(n, cands, gold)
+        for (i, j), c in cands.items():
+            f = c[2][0]
+            for k in range(1, len(crf.kinds)):
+                own = lambda segs: sum(f in cands[a, b][2] for a, b, kk in segs if kk == k)  # noqa: B023, E731
+                assert abs(g.get((k, f), 0.0) - (own(gold) - sum(x * own(s) for x, s in zip(p, every)))) < 1e-4
+
+
+def test_long_kinds():
+    crf = P.trained()
+    for text, want in (("to MT84 MALT 0110 0001 2345 MTLC AST0 01S today", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"), ("write to john at mail dot example dot com for it", "john at mail dot example dot com")):
+        spans = [text[s:e] for _, s, e in P.find_spans(crf, text)[1]]
+        assert want in spans, (text, spans)

@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._spark import small_batches
+
 #: Elements whose content is never text of the page, elements that break a block, and elements without content; fixed values.
-_RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title|head"
-_SKIP = frozenset(["script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "title"])
+_SKIP = frozenset(["script", "style", "template", "textarea", "select", "svg", "iframe", "title"])
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul button".split()
 )
+#: Beyond so many marks above a block, an element adds only marks that no element above it has: a path's length is bounded by distinct marks.
+MARKS = 64
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: start tag: open elements that it ends
 _ENDS = {
@@ -35,7 +38,7 @@ _ENDS = {
 _FENCE = frozenset("ul ol dl table body html article section div nav aside header footer main form td th blockquote".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|select|svg|iframe|title)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
@@ -93,7 +96,7 @@ def leaf_blocks(page: str) -> list[Block]:
         tok = m[0]
         if tok[0] != "<" or tok == "<":
             if not parts:
-                home = tuple(x for x in stack[-1][1])
+                home = stack[-1][1]
             parts.append(tok)
             if stack[-1][2]:
                 linked += len(tok.strip())
@@ -137,8 +140,12 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
         if attrs.rstrip().endswith("/") and not block:
             continue
-        if len(stack) < 400:  # deeper nesting keeps the marks it has
-            stack.append((tag, stack[-1][1] + _marks(tag, attrs), stack[-1][2] or tag == "a"))
+        above = stack[-1][1]
+        # every element is pushed, so that end tags find their own; beyond MARKS marks, only new ones are added
+        marks = _marks(tag, attrs)
+        if len(above) >= MARKS:
+            marks = tuple(x for x in marks if x not in above)
+        stack.append((tag, above + marks if marks else above, stack[-1][2] or tag == "a"))
     flush()
     return out
 
@@ -375,8 +382,9 @@ def _extractor(crf: ChainCRF):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of pages; text is empty for null or empty html.
 
-    Repeated rows each give a row; null ids and urls pass through. Other columns are ignored.
+    Repeated rows each give a row; null ids and urls pass through. Pages of any length and depth are read whole; equal scores keep
+    the block dropped. Other columns are ignored; an empty table gives no rows.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     out = p.mapInArrow(_extractor(trained()), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
