@@ -58,18 +58,60 @@ def spellings(parsed):
         elif name == "MAX_REPEAT":
             lo, hi, part = arg
             own = [x * n for x in spellings(part) for n in {lo, max(1, hi if int(hi) < 9 else 1)}]
+        elif name == "ASSERT_NOT":
+            own = [""]
+        elif name == "NOT_LITERAL" or name == "IN" and str(arg[0][0]) == "CATEGORY":
+            own = ["0"]
         else:  # a set: its letters, or a digit (or sign) for a class
             own = [chr(x[1]) if str(x[0]) == "LITERAL" else "0" for x in arg]
         out = [a + b for a in out for b in own]
     return out
 
 
-def test_keywords_are_in_all_their_spellings():
-    for _, keyword, _, name in L.LICENSES:
+def test_keywords_and_roots_are_in_all_spellings():
+    for _, keyword, spdx, name in L.LICENSES:
+        assert "licen" in f"spdx license identifier {spdx}"
         for x in spellings(re._parser.parse(name)):
-            assert keyword in x and any(root in x for root in L.ROOTS) and re.fullmatch(name, x), (keyword, x)
-    for _, _, _, keyword, rx in L.OTHERS:
-        assert all(keyword in x for x in spellings(re._parser.parse(rx)))
+            assert keyword in x and any(root in f" {x} " for root in L.ROOTS) and re.fullmatch(name, x), (keyword, x)
+    for _, _, _, keyword, rx in L.OTHERS + L.SIGNATURES:
+        for x in spellings(re._parser.parse(rx)):
+            assert keyword in x and any(root in f" {x} " for root in L.ROOTS), (keyword, x)
+
+
+MIT = """The MIT License (MIT) Copyright (c) 2020 A. Person. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, subject to the following conditions: The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that: 1. Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer. 3. Neither the name of the University nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;
+either version 2 of the License, or (at your option) any later version. As a special exception, the copyright holders of this library give you permission to link this library
+with independent modules to produce an executable."""
+
+
+def test_whole_licences(spark):
+    """Bodies of licences: overlapping signatures are resolved by priority and containment, in agreement with brute force."""
+    texts = [MIT, BSD, GPL, MIT + " " + GPL, "Dual licensed under the MIT or GPL licenses", "https://creativecommons.org/licenses/by-nc-sa/4.0/ and https://creativecommons.org/licenses/by/4.0", "// SPDX-License-Identifier: MIT OR Apache-2.0", "For non-commercial use only. Unauthorised copying of this file is strictly prohibited."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = L.scan(df).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts):
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(t)
+        for h in r.hits:  # nothing that another hit of higher priority holds
+            assert not any(g != h and g.start <= h.start and g.end >= h.end and g.priority > h.priority for g in r.hits)
+    labels = [set(r.labels.split(",")) for r in rows]
+    assert "mit" in labels[0] and not labels[0] & {"isc", "ncsa", "gpl", "bsd"}
+    assert "bsd-3" in labels[1] and "mit" not in labels[1]
+    assert {"gpl-2", "classpath-exception"} <= labels[2] and "gpl" not in labels[2]
+    assert {"mit", "gpl-2", "classpath-exception"} <= labels[3]
+    assert "gpl-or-mit" in labels[4] and {"cc-by-nc-sa", "cc-by"} <= labels[5] and "mit-or-apache-2" in labels[6] and {"non-commercial", "proprietary"} <= labels[7]
+
+
+def test_repeats_ties_and_long_texts(spark):
+    rows = [(1, "MIT License", 1), (1, "MIT License", 2), (None, "MIT License", 3), (2, "x " * 400_000 + MIT, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hits int")
+    got = L.scan(df).collect()
+    assert len(got) == 4 and all("mit" in r.labels for r in got) and max(r.n_words for r in got) > 400_000
 
 
 def test_non_commercial_and_open_data(spark):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._spark import ascii_lower
+from textloom.llm.license_rules import SIGNATURES
 
 #: Base phrases and labels; fixed values.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -111,8 +112,12 @@ OTHERS = [
     ("proprietary", 60, 0.6, "no part of this", "no part of this \\S+ may be reproduced"),
 ]
 
-#: Every rule's keyword contains one of these; a text with none matches nothing.
-ROOTS = ["licen", "cc by", "cc0", "copyright", "rights reserved", "public domain", "permission is", "permission to", "redistribution and", "free software", "creative commons", "creativecommons", "gnu org", "apache org", "no part of", "bsd", "attribution", "noncommercial", "proprietary"]
+#: Every text that a rule matches contains one of these.
+ROOTS = [
+    "licen", "software", "copy", "except", "cc by", "cc0", "without", "domain", "distribut", "commercial", "reserved", "purpose", "proprietary", "permission", "bsd", "attribution", "creative",
+    "deriv", "org ", "executable", "namensnennung", "invariant sections", "reference library", "states government", "machine learning", "extent possible", "syscall", "trade secret",
+    "data mining", "gemma terms", "same terms", "in return", "do what the", "cddl 1", "mulan", "font name", "fonts and", "mit or apache", "2 0 or mit", "mpl 1 1", "cecill", "rail", "free ", "materials", "no part of", "usage of the", "package",
+]
 
 
 def rules() -> list[tuple[int, str, int, float, str, str]]:
@@ -121,7 +126,7 @@ def rules() -> list[tuple[int, str, int, float, str, str]]:
     for label, keyword, spdx, name in LICENSES:
         for _, priority, sure, own, form in FORMS:
             out.append((label, priority, sure, own or keyword, form.format(spdx=spdx, name=f"(?:{name})")))
-    out += OTHERS
+    out += [(*r[:4], f"(?:{r[4]})") for r in OTHERS + SIGNATURES]
     return [(i, *r[:4], f"(?<= ){r[4]}(?= )") for i, r in enumerate(out)]
 
 
