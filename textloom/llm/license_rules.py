@@ -78,14 +78,14 @@ SIGNATURES = [
     ("mulan-psl-2", 88, 0.9, "mulan", "mulan (?:psl|permissive software license)(?: v ?2| version 2)?"),
     ("blueoak-1", 88, 0.9, "blue oak", "blue oak model license(?: 1 0 0)?"),
     # bodies: copyleft
-    ("gpl-2", 92, 0.95, "either version 2 of the license", "gnu general public license as published by the free software foundation either version 2 of the license"),
-    ("gpl-3", 92, 0.95, "either version 3 of the license", "gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("gpl-2", 93, 0.95, "free software foundation version 2", "gnu general public license (?:version 2 )?as published by the free software foundation version 2(?! or)"),
-    ("gpl-1", 92, 0.9, "either version 1 or at your option", "gnu general public license as published by the free software foundation either version 1 or at your option any later version"),
-    ("lgpl-2.1", 93, 0.95, "either version 2 1 of the license", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
-    ("lgpl-3", 93, 0.95, "gnu lesser general public license as published", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
-    ("lgpl-2", 93, 0.95, "gnu library general public license as", "gnu library general public license as published by the free software foundation either version 2 of the license"),
-    ("agpl-3", 93, 0.95, "gnu affero general public license as published", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2", 92, 0.95, "either version 2 of the license", "(?:under the terms of the )?gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", 92, 0.95, "either version 3 of the license", "(?:under the terms of the )?gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2", 93, 0.95, "free software foundation version 2", "(?:under the terms of the )?gnu general public license (?:version 2 )?as published by the free software foundation version 2(?! or)"),
+    ("gpl-1", 92, 0.9, "either version 1 or at your option", "(?:under the terms of the )?gnu general public license as published by the free software foundation either version 1 or at your option any later version"),
+    ("lgpl-2.1", 93, 0.95, "either version 2 1 of the license", "(?:under the terms of the )?gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", 93, 0.95, "gnu lesser general public license as published", "(?:under the terms of the )?gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2", 93, 0.95, "gnu library general public license as", "(?:under the terms of the )?gnu library general public license as published by the free software foundation either version 2 of the license"),
+    ("agpl-3", 93, 0.95, "gnu affero general public license as published", "(?:under the terms of the )?gnu affero general public license as published by the free software foundation either version 3 of the license"),
     ("gpl", 80, 0.85, "you should have received a copy of the gnu general", "you should have received a copy of the gnu general public license along with this"),
     ("lgpl", 82, 0.85, "you should have received a copy of the gnu lesser", "you should have received a copy of the gnu lesser general public license along with this"),
     ("agpl", 82, 0.85, "you should have received a copy of the gnu affero", "you should have received a copy of the gnu affero general public license along with this"),

@@ -116,7 +116,7 @@ OTHERS = [
 ROOTS = [
     "licen", "software", "copy", "except", "cc by", "cc0", "without", "domain", "distribut", "commercial", "reserved", "purpose", "proprietary", "permission", "bsd", "attribution", "creative",
     "deriv", "org ", "executable", "namensnennung", "invariant sections", "reference library", "states government", "machine learning", "extent possible", "syscall", "trade secret",
-    "data mining", "gemma terms", "same terms", "in return", "do what the", "cddl 1", "mulan", "font name", "fonts and", "mit or apache", "2 0 or mit", "mpl 1 1", "cecill", "rail", "free ", "materials", "no part of", "usage of the", "package",
+    "data mining", "gemma terms", "same terms", "in return", "do what the", "cddl 1", "mulan", "font name", "fonts and", "mit or apache", "2 0 or mit", "mpl 1 1", "cecill", "rail", "free ", "materials", "no part of", "usage of the", "package", "openssl",
 ]
 
 
