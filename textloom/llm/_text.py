@@ -113,6 +113,20 @@ def _chunk(raw: np.ndarray, off: np.ndarray, lo: int, hi: int, space: np.ndarray
     return out
 
 
+def hash_pieces(data: np.ndarray, owner: np.ndarray, n: int, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Hashes of n words given as bytes with their (rising) word number; and for each prefix length the longer words and their prefixes' hashes."""
+    size = np.bincount(owner, minlength=n)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(data)) - begin[owner]
+    powers = np.ones(int(size.max()) if n else 1, np.uint64)
+    powers[1:] = _BASE
+    parts = _BYTE[data] * np.cumprod(powers, dtype=np.uint64)[place] if len(data) else np.zeros(0, np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts, dtype=np.uint64)])
+    out = mix(total[begin + size] - total[begin] + size.astype(np.uint64))
+    long = [np.flatnonzero(size > p) for p in prefixes]
+    return out, long, [mix(total[begin[at] + p] - total[begin[at]] + np.uint64(p)) for at, p in zip(long, prefixes)]
+
+
 def hash_word(word: str) -> np.uint64:
     """The hash that words() gives to this word."""
     return next(words(pa.array([word]))).hash[0]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._spark import checkpoint, small_batches
-from textloom.llm._text import words
+from textloom.llm._text import hash_pieces, words
 
 #: Bound on the labelled rows the classifier learns from (those of smallest hash of doc_id).
 MAX_LABELLED = 20_000
@@ -161,26 +161,61 @@ def doubtful(token: str) -> str:
 # ---- features ---------------------------------------------------------------------------------
 
 
-_READS = np.zeros(256, bool)
-_READS[[ord(c) for c in SIGNS if ord(c) < 128 and c != "!"]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in SIGNS if ord(c) < 128]] = True
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[ord(c) for c in ".-_*~'^/"]] = True
 
 
-def _strange(w) -> np.ndarray:
-    """Indexes of white-space words that need a closer look: a sign or digit before an ASCII letter, one that may be a letter after one, or a doubled letter."""
+def _strange(w) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of white-space words to look at closely: those with signs or long repeats, and those with just a doubled letter or one separator.
+
+    Signs count next to a letter (an exclamation mark only before one), repeats from three, separators from two between letters.
+    """
     data = w.data
     if not len(w.start):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = data | 0x20
     alpha = (low >= 97) & (low <= 122)
-    odd = np.zeros(len(data), bool)
-    other = ~alpha & (data < 128) & ~_SPACE[data]
-    odd[:-1] = other[:-1] & alpha[1:]
-    odd[1:] |= _READS[data[1:]] & (alpha[:-1] | _READS[data[:-1]])
-    odd[1:] |= alpha[1:] & (low[1:] == low[:-1])
-    flag = np.concatenate([[0], np.cumsum(odd)])
-    hit = flag[w.end] > flag[w.start]
-    euro = (data[w.start] == 0xE2) | (data[w.start] == 0xC2)
-    return np.flatnonzero(hit | euro)
+    sign = _SIGN[data]
+    hard = np.zeros(len(data), bool)
+    hard[:-1] = sign[:-1] & alpha[1:]
+    hard[1:] |= sign[1:] & (data[1:] != 33) & (alpha[:-1] | sign[:-1])
+    same = np.zeros(len(data), bool)
+    same[1:] = alpha[1:] & (low[1:] == low[:-1])
+    hard[1:] |= same[1:] & same[:-1]
+    between = np.zeros(len(data), bool)
+    between[1:-1] = _SEPARATOR[data[1:-1]] & alpha[:-2] & (alpha[2:] | sign[2:])
+    count = lambda mask: (t := np.concatenate([[0], np.cumsum(mask)]))[w.end] - t[w.start]
+    apart = count(between)
+    high = (data[w.start] == 0xE2) | (data[w.start] == 0xC2)
+    strong = (count(hard) > 0) | (apart > 1) | high
+    soft = ~strong & ((apart == 1) | (count(same) > 0)) & (w.end - w.start > 3)
+    return np.flatnonzero(strong), np.flatnonzero(soft)
+
+
+def _plain_hits(w, idx: np.ndarray, classifier: Classifier) -> np.ndarray:
+    """Which of the words idx would be telling words, or start like one, as letters alone: as they are, or without all, the first or the last of their doubled letters."""
+    size = w.end[idx] - w.start[idx]
+    begin = np.cumsum(size) - size
+    flat = np.repeat(w.start[idx] - begin, size) + np.arange(int(size.sum()))
+    owner = np.repeat(np.arange(len(idx)), size)
+    byte = w.data[flat]
+    letter = ~_NOT_LETTER[byte]
+    low = byte | 0x20
+    twice = np.zeros(len(flat), bool)
+    twice[1:] = letter[1:] & (byte[1:] < 128) & (low[1:] == low[:-1]) & (owner[1:] == owner[:-1])
+    nth = np.cumsum(twice)
+    before = np.concatenate([[0], nth])[begin]
+    nth = nth - before[owner]
+    many = np.bincount(owner, weights=twice, minlength=len(idx)).astype(np.int64)
+    out = np.zeros(len(idx), bool)
+    for kept in (letter, letter & ~twice, letter & ~(twice & (nth == 1)), letter & ~(twice & (nth == many[owner]))):
+        h, long, prefixes = hash_pieces(byte[kept], owner[kept], len(idx), PREFIXES)
+        out |= classifier.hits(h) >= 0
+        for at, x in zip(long, prefixes):
+            out[at[classifier.hits(x) >= 0]] = True
+    return out
 
 
 def _spaced(w) -> list[tuple[int, int, int]]:
@@ -220,16 +255,12 @@ class Reader:
         self.known: dict[int, tuple[int, ...]] = {}
 
     def look(self, token: str) -> list[str]:
-        """Readings of a token; empty for an undisguised one."""
+        """Readings of a word that needs a closer look; empty for an undisguised one."""
         core = disguised(token)
         if core:
             return readings(self.lm, core, N_BEST)
         core = doubtful(token)
-        if core:
-            plain = re.sub(r"[^a-z]", "", core.lower())
-            if any(self._hits([re.sub(r"(.)\1", r"\1", plain), *(plain[: m.start()] + plain[m.start() + 1 :] for m in re.finditer(r"(.)\1", plain)), *([plain] if len(plain) < len(core) else [])])):
-                return readings(self.lm, core)
-        return []
+        return readings(self.lm, core) if core else []
 
     def _hits(self, texts: list[str]) -> list[tuple[int, ...]]:
         """The telling features of each word."""
@@ -255,26 +286,29 @@ class Reader:
         """(text indexes, features) of all disguised words of a column."""
         owners, hits = [], []
         for w in words(arr):
-            strange = _strange(w)
-            uniq, first, inv = np.unique(w.hash[strange], return_index=True, return_inverse=True)
-            fresh = {h: bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace") for h, i in zip(uniq.tolist(), strange[first].tolist()) if h not in self.known}
+            strong, soft = _strange(w)
+            if len(soft):
+                strong = np.concatenate([strong, soft[_plain_hits(w, soft, self.classifier)]])
+            uniq, first, inv = np.unique(w.hash[strong], return_index=True, return_inverse=True)
+            fresh = {h: bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace") for h, i in zip(uniq.tolist(), strong[first].tolist()) if h not in self.known}
             self._learn(fresh)
             telling = [self.known.get(h, ()) for h in uniq.tolist()]
             some = np.array([bool(x) for x in telling], bool)
             if some.any():
-                owner = np.searchsorted(w.first, strange, "right") - 1 + w.lo
+                owner = np.searchsorted(w.first, strong, "right") - 1 + w.lo
                 for k in np.flatnonzero(some[inv]).tolist():
                     for x in telling[inv[k]]:
                         owners.append(int(owner[k]))
                         hits.append(x)
+            spaced = []
             for o, a, b in _spaced(w):
                 token = bytes(w.data[w.start[a:b]]).decode("ascii", "replace")
                 if sum(c.isalpha() for c in token) >= 3:
                     # a one-letter word of the sentence may stand before or after the spaced word
-                    every = [x for t in (token, token[1:], token[:-1]) for x in readings(self.lm, t, N_BEST) if len(x) > 2]
-                    for x in sorted({x for own in self._hits(every) for x in own}):
-                        owners.append(w.lo + o)
-                        hits.append(x)
+                    spaced += [(w.lo + o, x) for t in (token, token[1:], token[:-1]) for x in readings(self.lm, t, N_BEST) if len(x) > 2]
+            for (o, _), own in zip(spaced, self._hits([x for _, x in spaced]) if spaced else ()):
+                owners += [o] * len(own)
+                hits += own
         return np.array(owners, np.int64), np.array(hits, np.int64)
 
 
