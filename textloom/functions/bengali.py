@@ -84,26 +84,31 @@ def number_words(n: Column) -> Column:
     return F.when(n == 0, F.lit(NUMBERS[0])).when((n > 0) & (n < 10**14), F.concat_ws(" ", head, rest)).otherwise(F.lit(""))
 
 
+_W = "[^ \\t\\n\\x0B\\f\\r]"
+
+
+def bind(c: Column, f) -> Column:
+    """f of a column that is evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def script_counts(c: Column) -> Column:
-    """struct(bn, en, other) of words: a word of both scripts counts half for each."""
-    tokens = F.filter(F.split(c, "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
-    has = lambda x, rx: F.when(x.rlike(rx), 1.0).otherwise(0.0)
-    pair = F.transform(tokens, lambda x: F.struct(has(x, "[\\u0980-\\u09FF]").alias("b"), has(x, "[A-Za-z]").alias("e")))
-    total = lambda f: F.aggregate(pair, F.lit(0.0), lambda a, p: a + f(p))
-    return F.struct(
-        total(lambda p: p["b"] * (1 - p["e"] / 2)).alias("bn"), total(lambda p: p["e"] * (1 - p["b"] / 2)).alias("en"),
-        total(lambda p: (1 - p["b"]) * (1 - p["e"])).alias("other"),
-    )
+    """struct(bn, en, other) of words: a word of both scripts counts half for each. Four counts over the whole text."""
+    n = lambda rx: F.coalesce(F.regexp_count(c, F.lit(rx)), F.lit(0)).cast("double")
+    bn, en = "[\\u0980-\\u09FF]", "[A-Za-z]"
+    raw = F.struct(n(f"{_W}++").alias("n"), n(f"{_W}*{bn}{_W}*+").alias("b"), n(f"{_W}*{en}{_W}*+").alias("e"), F.when(c.rlike(bn), n(f"(?={_W}*{bn}){_W}*{en}{_W}*+")).otherwise(0.0).alias("m"))
+    return bind(raw, lambda r: F.struct((r["b"] - r["m"] / 2).alias("bn"), (r["e"] - r["m"] / 2).alias("en"), (r["n"] - r["b"] - r["e"] + r["m"]).alias("other")))
 
 
 def ratio(counts: Column) -> Column:
     """struct(bn, en, other): bn and en as shares of words with a script, other of all words; text without a word is other."""
-    script = counts["bn"] + counts["en"]
-    every = script + counts["other"]
     share = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    return F.struct(share(counts["bn"], script).alias("bn"), share(counts["en"], script).alias("en"), F.when(every > 0, counts["other"] / every).otherwise(1.0).alias("other"))
+    return bind(counts, lambda r: F.struct(
+        share(r["bn"], r["bn"] + r["en"]).alias("bn"), share(r["en"], r["bn"] + r["en"]).alias("en"),
+        F.when(r["bn"] + r["en"] + r["other"] > 0, r["other"] / (r["bn"] + r["en"] + r["other"])).otherwise(1.0).alias("other"),
+    ))
 
 
 def sentence_class(r: Column) -> Column:
     """en for a neutral text, bn or en from 0.8 up, else mixed."""
-    return F.when((r["bn"] == 0) & (r["en"] == 0), "en").when(r["bn"] >= 0.8, "bn").when(r["en"] >= 0.8, "en").otherwise("mixed")
+    return bind(r, lambda x: F.when((x["bn"] == 0) & (x["en"] == 0), "en").when(x["bn"] >= 0.8, "bn").when(x["en"] >= 0.8, "en").otherwise("mixed"))

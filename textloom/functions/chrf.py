@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import string
 from collections import Counter
@@ -32,15 +33,20 @@ def _grams(seq, n: int) -> Counter:
     return Counter(tuple(seq[i : i + n]) for i in range(len(seq) - n + 1))
 
 
+def _chrf_grams(text: str) -> list[Counter]:
+    """Counts of character n-grams (white space left out) for orders 1 to 6, then of word n-grams for 1 and 2."""
+    chars, tokens = "".join(text.split()), _tokens(text)
+    return [Counter(chars[i : i + n] for i in range(len(chars) - n + 1)) for n in range(1, CHARS + 1)] + [_grams(tokens, n) for n in range(1, WORDS + 1)]
+
+
+_reference_grams = functools.lru_cache(32)(_chrf_grams)  # references repeat from row to row
+
+
 def chrf_counts(hyp: str, ref: str) -> list[int]:
     """(n-grams of hyp, of ref, shared) for each order: characters 1 to 6, then words 1 and 2."""
     out = []
-    hc, rc = "".join(hyp.split()), "".join(ref.split())
-    hw, rw = _tokens(hyp), _tokens(ref)
-    for a, b, top in ((hc, rc, CHARS), (hw, rw, WORDS)):
-        for n in range(1, top + 1):
-            x, y = _grams(a, n), _grams(b, n)
-            out += [x.total() if y else 0, y.total(), (x & y).total()]
+    for x, y in zip(_chrf_grams(hyp), _reference_grams(ref)):
+        out += [x.total() if y else 0, y.total(), sum(min(c, y[g]) for g, c in x.items() if g in y)]
     return out
 
 
@@ -80,14 +86,21 @@ def drift(original: Column, back: Column, floor: float = 40.0) -> Column:
 
 def bleu_counts(hyp: str, ref: str) -> list[int]:
     """Lengths of hyp and ref, then (shared, all) n-grams of hyp for orders 1 to 4, over white-space tokens."""
-    a, b = hyp.split(), ref.split()
-    out = [len(a), len(b)]
-    for n in range(1, 5):
+    a = hyp.split()
+    size, grams = _reference_words(ref)
+    out = [len(a), size]
+    for n, y in enumerate(grams, 1):
         x = _grams(a, n)
-        out += [(x & _grams(b, n)).total(), x.total()]
+        out += [sum(min(c, y[g]) for g, c in x.items() if g in y), x.total()]
     return out
 
 
+@functools.lru_cache(32)
+def _reference_words(ref: str) -> tuple[int, list[Counter]]:
+    b = ref.split()
+    return len(b), [_grams(b, n) for n in range(1, 5)]
+
+
 def bleu_score(counts) -> float:
     """Geometric mean of the four precisions (an order without a match halves 1/n each time) with the brevity penalty, in percent."""
     hyp, ref, logs, halves = counts[0], counts[1], 0.0, 1.0

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.sources import feeds, formats, office  # noqa: F401  (feeds and office register their readers)
+from textloom.sources import formats, info, registry
 
 SCHEMA = "path string, name string, size long, markdown string, title string, success boolean, error string"
 
@@ -16,34 +16,42 @@ def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content", "length")
 
 
-def convert(files: DataFrame, **options) -> DataFrame:
-    """One row a file (path, content, length): Markdown and title, or success = false and the error. Never raises for a file."""
+def convert(files: DataFrame, readers: registry.Registry | None = None, **options) -> DataFrame:
+    """One row a file (path, content, length; where present also url, mimetype, charset): Markdown and title, or success = false and the error.
+
+    Readers are tried in rank over the guesses of what the file is. Never raises for a file; a null content is empty.
+    """
+    use = readers or registry.default()
+    facts = [c for c in ("url", "mimetype", "charset") if c in files.columns]
 
     def run(batches):
         for pdf in batches:
             out = []
-            for path, content, length in pdf[["path", "content", "length"]].itertuples(index=False):
+            for row in pdf.to_dict("records"):
+                path = row["path"]
                 name = path.rsplit("/", 1)[-1]
+                known = info.of_path(name).merge(info.Info(**{k: v for k in facts if isinstance(v := row[k], str)}))
                 try:
-                    text, title = formats.convert(bytes(content), name, **options)
-                    out.append((path, name, length, text, title, True, None))
+                    text, title, _ = use.convert(bytes(row["content"] or b""), known, **options)
+                    out.append((path, name, row["length"], text, title, True, None))
                 except ValueError as e:
                     kind = "unsupported" if isinstance(e, formats.Unsupported) else "failed"
-                    out.append((path, name, length, None, None, False, f"{kind}: {e}"))
+                    out.append((path, name, row["length"], None, None, False, f"{kind}: {e}"))
             yield pd.DataFrame(out, columns=["path", "name", "size", "markdown", "title", "success", "error"])
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content", "length", *facts).mapInPandas(run, SCHEMA)
 
 
 def html_to_markdown(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages with markdown and title of an HTML column; null stays null."""
+    """pages with markdown and title of an HTML column; null stays null. Columns of these names are replaced."""
+    own = [f for f in pages.schema if f.name.lower() not in ("markdown", "title")]
 
     def run(batches):
         for pdf in batches:
             got = [(None, None) if h is None else formats.read_html(h.encode()) for h in pdf[column]]
-            yield pdf.assign(markdown=[formats.normalize(m) if m is not None else None for m, _ in got], title=[t for _, t in got])
+            yield pdf[[f.name for f in own]].assign(markdown=[formats.normalize(m) if m is not None else None for m, _ in got], title=[t for _, t in got])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", markdown string, title string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", markdown string, title string"
     return pages.mapInPandas(run, schema)
 
 

@@ -52,12 +52,12 @@ def markdown_table(rows: list[list[str]]) -> str:
     return "\n".join([line(keep[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, keep[1:])])
 
 
-def read_csv(data: bytes, **_) -> tuple[str, str | None]:
-    return markdown_table(list(csv.reader(io.StringIO(decode(data).lstrip("﻿"), newline="")))), None
+def read_csv(data: bytes, charset: str | None = None, **_) -> tuple[str, str | None]:
+    return markdown_table(list(csv.reader(io.StringIO(decode(data, charset).lstrip("﻿"), newline="")))), None
 
 
-def read_text(data: bytes, **_) -> tuple[str, str | None]:
-    return decode(data), None
+def read_text(data: bytes, charset: str | None = None, **_) -> tuple[str, str | None]:
+    return decode(data, charset), None
 
 
 def read_notebook(data: bytes, **_) -> tuple[str, str | None]:
@@ -278,11 +278,18 @@ class Writer:
         return before + core + after
 
 
-def read_html(data: bytes, keep_data_uris: bool = False, **_) -> tuple[str, str | None]:
-    """Markdown of the body (or of all), and the title."""
-    root = parse_html(decode(data))
+def read_html(data: bytes, keep_data_uris: bool = False, strict: bool = False, charset: str | None = None, **_) -> tuple[str, str | None]:
+    """Markdown of the body (or of all), and the title. A page too deep to lay out gives its plain text, unless strict."""
+    root = parse_html(decode(data, charset))
     title = find(root, "title")
-    return Writer(keep_data_uris).flow(find(root, "body") or root).strip(), plain(title).strip() if title else None
+    body = find(root, "body") or root
+    try:
+        text = Writer(keep_data_uris).flow(body).strip()
+    except RecursionError:
+        if strict:
+            raise
+        text = plain(body).strip()
+    return text, plain(title).strip() if title else None
 
 
 def read_zip(data: bytes, name: str = "(unknown)", depth: int = 3, **options) -> tuple[str, str | None]:
@@ -322,9 +329,9 @@ MAGIC = [(b"PK\x03\x04", ".zip"), (b"<!DOCTYPE html", ".html"), (b"<html", ".htm
 WIKI = re.compile(r"https?://[a-zA-Z]{2,3}\.wikipedia.org/")
 
 
-def read_wiki(data: bytes, **options) -> tuple[str, str | None]:
+def read_wiki(data: bytes, charset: str | None = None, **options) -> tuple[str, str | None]:
     """The content block of an encyclopedia page under its title; the whole page where there is none."""
-    root = parse_html(decode(data))
+    root = parse_html(decode(data, charset))
     seek = lambda tag, key, value: find(root, tag, lambda n: value in n.attrs.get(key, "").split())
     body, head, title = seek("div", "id", "mw-content-text"), seek("span", "class", "mw-page-title-main"), find(root, "title")
     name = (plain(head) if body and head else plain(title) if title else "").strip() or None

@@ -12,7 +12,7 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 
-from textloom.sources import formats
+from textloom.sources import equations, formats
 from textloom.sources.formats import Node, Writer
 
 # Namespaces of office files; fixed values.
@@ -265,6 +265,49 @@ def _on(props: ET.Element | None, *names: str) -> bool:
     return any(e is not None and e.get(W + "val", "1") not in ("0", "false", "none") for e in found)
 
 
+def _equation(e: ET.Element) -> str:
+    """An equation between dollar signs, two for one of its own paragraph; its plain text where a part has no LaTeX form."""
+    mark = "$$" if e.tag.endswith("oMathPara") else "$"
+    try:
+        return f"{mark}{equations.latex(e)}{mark}"
+    except ValueError:
+        return "".join(t.text or "" for t in e.iter(equations.M + "t"))
+
+
+def repair_docx(data: bytes) -> bytes:
+    """A document with its parts named as its directory names them and styles that have no type taken as paragraphs'; unreadable bytes as they are.
+
+    Members whose local header spells the name in another case are copied under the directory's name; styles without an id go.
+    """
+    try:
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as src, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as dst:
+            for entry in src.infolist():
+                at = entry.header_offset
+                size = int.from_bytes(data[at + 26 : at + 28], "little")
+                inside = data[at + 30 : at + 30 + size]
+                if inside.lower() == entry.orig_filename.encode().lower() and inside != entry.orig_filename.encode():
+                    # the reader compares both names: give it the local spelling and write the directory's
+                    entry.orig_filename = inside.decode()
+                body = src.read(entry)
+                if entry.filename == "word/styles.xml":
+                    body = _mended_styles(body)
+                dst.writestr(entry.filename, body)
+        return out.getvalue()
+    except (zipfile.BadZipFile, ValueError, ET.ParseError, KeyError):
+        return data
+
+
+def _mended_styles(body: bytes) -> bytes:
+    root = ET.fromstring(body)
+    for s in root.findall(W + "style"):
+        if s.get(W + "styleId") is None:
+            root.remove(s)
+        elif s.get(W + "type") is None:
+            s.set(W + "type", "paragraph")
+    return ET.tostring(root)
+
+
 class _Word:
     """A tree of HTML nodes from a document's paragraphs, lists and tables."""
 
@@ -311,6 +354,8 @@ class _Word:
                 node = Node("a", {"href": to})
                 node.kids = self.inline(e)
                 out.append(node)
+            elif e.tag in (equations.M + "oMath", equations.M + "oMathPara"):
+                out.append(_equation(e))
             elif e.tag in (W + "ins", W + "smartTag", W + "sdt", W + "sdtContent", W + "fldSimple"):
                 out += self.inline(e)
         merged: list = []
@@ -328,6 +373,11 @@ class _Word:
             if e.tag in (W + "sdt", W + "sdtContent", W + "ins"):
                 lists = []
                 out += self.blocks(e)
+            elif e.tag == equations.M + "oMathPara":
+                lists = []
+                node = Node("p")
+                node.kids = [_equation(e)]
+                out.append(node)
             elif e.tag == W + "tbl":
                 lists = []
                 out.append(self.table(e))
@@ -376,7 +426,7 @@ class _Word:
 
 def read_docx(data: bytes, **_) -> tuple[str, str | None]:
     """Headings, paragraphs, lists, tables, links and character styles of a document's body."""
-    parts = Parts(data)
+    parts = Parts(repair_docx(data))
     body = parts.xml("word/document.xml").find(W + "body")
     root = Node("")
     root.kids = list(_Word(parts).blocks(body))
