@@ -8,9 +8,10 @@ import zipfile
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 
-@udtf(returnType="line long, level long, title string, body string")
+@udtf(returnType=StructType().add("line", LongType()).add("level", LongType()).add("title", StringType()).add("body", StringType()))
 class Sections:
     """Sections of a Markdown text: its headings with the lines below them; text before the first has level 0."""
 
@@ -30,7 +31,7 @@ class Sections:
             yield at, level, title, "\n".join(body)
 
 
-@udtf(returnType="place long, name string, size long, content binary")
+@udtf(returnType=StructType().add("place", LongType()).add("name", StringType()).add("size", LongType()).add("content", BinaryType()))
 class Members:
     """Files of an archive in order; nothing for other bytes."""
 

@@ -89,3 +89,16 @@ def indent(c: Column) -> Column:
 def slides(c: Column) -> Column:
     """Pieces with text between rule lines."""
     return F.filter(F.split(c, "\\n(?:-{3,}|\\*{3,}|_{3,})[ \\t]*\\n", -1), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
+
+
+def fence_lines(c: Column) -> Column:
+    """Lines as structs (line, kind, open): kind is fence, code inside a fence, or text; open says whether a fence is open after the line."""
+    state = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<line:string,kind:string,open:boolean>>").alias("out"))
+
+    def step(a: Column, line: Column) -> Column:
+        fence = F.trim(line).startswith("```")
+        now = F.when(fence, ~a["open"]).otherwise(a["open"])
+        kind = F.when(fence, "fence").when(a["open"], "code").otherwise("text")
+        return F.struct(now.alias("open"), F.concat(a["out"], F.array(F.struct(line.alias("line"), kind.alias("kind"), now.alias("open")))).alias("out"))
+
+    return F.aggregate(F.split(c, "\n", -1), state, step, lambda a: a["out"])

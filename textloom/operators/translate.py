@@ -26,15 +26,19 @@ def pieces(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", F.inline(segment.segments(F.col("text"), keep)))
 
 
-def translate(docs: DataFrame, target: str, memory: DataFrame | None = None, engine: Engine = same, glossary: list[tuple[str, str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def translate(docs: DataFrame, target: str, memory: DataFrame | None = None, engine: Engine = same, glossary: list[tuple[str, str]] | None = None, keep: tuple[str, ...] = (), floor: float | None = 0.9) -> DataFrame:
     """docs (doc_id, text) as doc_id, text, segments, translated, from_memory.
 
-    A segment in the other language is looked up in memory (source_text, direction, target_text); a miss
+    A segment in the other language is looked up in memory (source_text, direction, target_text), first as it is, then among
+    texts of the direction that are similar from floor up (None: not); what is still missing
     goes through the engine once per distinct text, with glossary terms replaced before and after. All
-    other segments, and the order, stay. A document without such segments comes back as it was; null is
+    other segments, and the order, stay. A document without such segments comes back as it was, without a shuffle; null is
     empty. Memory must hold one row for a text and direction.
     """
-    segs = pieces(docs, keep).withColumn("todo", segment.translatable(F.struct("label"), target))
+    cut = docs.select("doc_id", "text", segment.segments(F.col("text"), keep).alias("parts"))
+    cut = cut.withColumn("work", F.coalesce(F.exists("parts", lambda p: segment.translatable(p, target)), F.lit(False)))
+    idle = cut.where(~F.col("work")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("segments"), F.lit(0).cast("long").alias("translated"), F.lit(0).cast("long").alias("from_memory"))
+    segs = cut.where("work").select("doc_id", F.inline("parts")).withColumn("todo", segment.translatable(F.struct("label"), target))
     words = segs.where("todo").select(F.trim("text").alias("source")).distinct().withColumn("direction", F.lit(f"to_{target}"))
     if memory is not None:
         found = tm.exact_lookup(words, memory)
@@ -46,7 +50,15 @@ def translate(docs: DataFrame, target: str, memory: DataFrame | None = None, eng
         return pd.Series(engine(list(texts)))
 
     fix = lambda c: tm.override_terms(c, glossary)[0] if glossary else c
-    missed = found.where(F.col("target_text").isNull()).select("source", fix(run(fix(F.col("source")))).alias("target_text"), F.lit(False).alias("hit"))
+    missed = found.where(F.col("target_text").isNull()).select("source")
+    if memory is not None and floor is not None:
+        own = memory.where(F.col("direction") == f"to_{target}").select(F.xxhash64("source_text").alias("mem_id"), F.col("source_text").alias("text"), "target_text")
+        near = tm.fuzzy_lookup(missed.select(F.xxhash64("source").alias("id"), "source"), own.select("mem_id", "text"), floor).join(own.select("mem_id", "target_text"), "mem_id")
+        missed = missed.withColumn("id", F.xxhash64("source")).join(near.select("id", F.col("target_text").alias("near")), "id", "left").select("source", "near")
+    else:
+        missed = missed.withColumn("near", F.lit(None).cast("string"))
+    made = missed.where("near is null").select("source", fix(run(fix(F.col("source")))).alias("target_text"), F.lit(False).alias("hit"))
+    missed = made.unionByName(missed.where("near is not null").select("source", F.col("near").alias("target_text"), F.lit(True).alias("hit")))
     known = found.where(F.col("target_text").isNotNull()).select("source", "target_text", F.lit(True).alias("hit")).unionByName(missed)
     rows = segs.join(known, (F.col("todo")) & (F.trim(segs["text"]) == known["source"]), "left")
     lead, tail = F.regexp_extract("text", "^( *)", 1), F.regexp_extract("text", "( *)$", 1)
@@ -55,5 +67,4 @@ def translate(docs: DataFrame, target: str, memory: DataFrame | None = None, eng
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))), lambda s: s["text"]), "").alias("text"),
         F.count("*").alias("segments"), F.count_if("todo").alias("translated"), F.count_if(F.coalesce("hit", F.lit(False))).alias("from_memory"),
     )
-    zero = {"text": "", "segments": 0, "translated": 0, "from_memory": 0}
-    return docs.select("doc_id").join(joined, "doc_id", "left").fillna(zero)
+    return joined.unionByName(idle)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textloom import streaming
 from textloom.functions import bengali, text
 from textloom.operators import layout, memory
-from textloom.plans import language  # noqa: F401  (registers its queries)
+from textloom.plans import conversion, language  # noqa: F401  (they register their queries)
 from textloom.plans._registry import ORACLES, QUERIES, query, table  # noqa: F401
 from textloom.sources import files
 
@@ -58,19 +58,25 @@ def markdown_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", text.fence_errors(F.col("text")).alias("errors"), text.empty_links(F.col("text")).alias("warnings"))
 
 
-_RATIO = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS t FROM documents),
-    c AS (SELECT doc_id, CAST(len(list_filter(t, lambda x: regexp_matches(x, '[A-Za-z]'))) AS DOUBLE) AS en, CAST(len(t) AS DOUBLE) AS n FROM w),
-    r AS (SELECT doc_id, 0.0::DOUBLE AS bn, CASE WHEN en > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS en, CASE WHEN n > 0 THEN (n - en) / n ELSE 1.0 END AS other FROM c)"""
+_RATIO = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'eo', 'এও'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS t FROM documents),
+    f AS (SELECT doc_id, unnest(t) AS x FROM w), p AS (SELECT doc_id, CASE WHEN regexp_matches(x, '[এও]') THEN 1 ELSE 0 END AS b, CASE WHEN regexp_matches(x, '[A-Za-z]') THEN 1 ELSE 0 END AS e FROM f),
+    c AS (SELECT d.doc_id, coalesce(sum(b - b * e / 2.0::DOUBLE), 0) AS bn, coalesce(sum(e - b * e / 2.0::DOUBLE), 0) AS en, coalesce(sum((1 - b) * (1 - e)), 0) AS ot FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id),
+    r AS (SELECT doc_id, CASE WHEN bn + en > 0 THEN bn / (bn + en) ELSE 0 END::DOUBLE AS bn, CASE WHEN bn + en > 0 THEN en / (bn + en) ELSE 0 END::DOUBLE AS en, CASE WHEN bn + en + ot > 0 THEN ot / (bn + en + ot) ELSE 1 END::DOUBLE AS other FROM c)"""
+
+
+def _mixed_text():
+    """Text in two scripts: two letters of every document made Bengali."""
+    return F.translate("text", "eo", "এও")
 
 
 @query(f"{_RATIO} SELECT * FROM r")
 def token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", bengali.ratio(bengali.script_counts(F.col("text"))).alias("r")).select("doc_id", "r.*")
+    return _t(spark, sf_dir, "documents").select("doc_id", bengali.ratio(bengali.script_counts(_mixed_text())).alias("r")).select("doc_id", "r.*")
 
 
-@query(f"{_RATIO} SELECT doc_id, CASE WHEN en >= 0.8 OR (bn = 0 AND en = 0) THEN 'en' ELSE 'mixed' END AS class FROM r")
+@query(f"{_RATIO} SELECT doc_id, CASE WHEN bn = 0 AND en = 0 THEN 'en' WHEN bn >= 0.8 THEN 'bn' WHEN en >= 0.8 THEN 'en' ELSE 'mixed' END AS class FROM r")
 def sentence_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", bengali.sentence_class(bengali.ratio(bengali.script_counts(F.col("text")))).alias("class"))
+    return _t(spark, sf_dir, "documents").select("doc_id", bengali.sentence_class(bengali.ratio(bengali.script_counts(_mixed_text()))).alias("class"))
 
 
 @query("SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS email FROM documents")
@@ -199,16 +205,6 @@ def tm_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.upsert(rows, ["user_id", "event_type"], [F.col("event_id")])
 
 
-@query(
-    """SELECT doc_id, md5(replace(replace(' ' || regexp_replace(text, '[ \\n]+', '  ', 'g') || ' ', ' the ', ' THE1 '), ' of ', ' OF1 ')) AS digest FROM documents"""
-)
-def glossary_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two case-bound terms between spaces; the general fold is override_terms()."""
-    padded = F.concat(F.lit(" "), F.regexp_replace("text", "[ \\n]+", "  "), F.lit(" "))
-    out = F.regexp_replace(F.regexp_replace(padded, "(?<= )the(?= )", "THE1"), "(?<= )of(?= )", "OF1")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(out.cast("binary")).alias("digest"))
-
-
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -231,7 +227,11 @@ def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.rows(_grid(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT doc, list_sort(list_distinct(list(x0))) AS xs FROM ({_GRID}) GROUP BY doc),
+    c AS (SELECT doc, list_reduce(list_transform(xs, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] > 50 THEN list_concat(a, x) ELSE a END) AS s FROM g)
+    SELECT doc, array_to_string(list_transform(s, lambda x: CAST(x AS VARCHAR)), ',') AS starts FROM c"""
+)
 def layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column starts of each page: clusters of x within 50."""
     return _grid(spark, sf_dir).groupBy("doc").agg(F.array_sort(F.collect_set("x0")).alias("xs")).select("doc", F.array_join(layout.clusters(F.col("xs"), 50.0).cast("array<string>"), ",").alias("starts"))
@@ -277,12 +277,6 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", text.token_estimate(text.words(F.col("text"))).alias("tokens"))
 
 
-@query("SELECT quality, toxic, count(*) AS n, CAST(count_if(n_chars > 1000) AS BIGINT) AS long_texts FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic")
-def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion counts of a rule against labels."""
-    return _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 1000).alias("long_texts"))
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.event_windows(_t(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
@@ -297,14 +291,6 @@ def ordered_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: F.concat(p["role"], F.lit(": "), p["text"])), "\n").alias("script"), F.count("*").alias("turns"))
 
 
-@query("SELECT doc_id, CAST(sum(CASE WHEN starts_with(l, 'I') OR starts_with(l, 'T') THEN 1 ELSE 0 END) % 2 AS BIGINT) AS inside FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")
-def fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document ends inside a fence, lines that start with I or T standing for fences."""
-    lines = F.split("text", "\n", -1)
-    n = F.size(F.filter(lines, lambda l: l.startswith("I") | l.startswith("T")))  # noqa: E741
-    return _t(spark, sf_dir, "documents").select("doc_id", (n % 2).cast("long").alias("inside"))
-
-
 @query(
     """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 4"""

@@ -56,10 +56,19 @@ def segment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with segments of the benchmark's texts as memory; other text stays."""
     memory = table(spark, sf_dir, "benchmark").groupBy(F.trim("text").alias("source_text")).agg(F.min("item_id").cast("string").alias("target_text")).withColumn("direction", F.lit("to_bn"))
-    out = translate.translate(table(spark, sf_dir, "documents").select("doc_id", "text"), "bn", memory)
+    out = translate.translate(table(spark, sf_dir, "documents").select("doc_id", "text"), "bn", memory, floor=None)
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "segments", "translated", "from_memory")
 
 
+@query()
+def similar_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Altered part names translated from a memory of the names: exact misses take the closest entry, the rest the engine."""
+    p = table(spark, sf_dir, "part")
+    memory = p.groupBy(F.trim("p_name").alias("source_text")).agg(F.min("p_partkey").cast("string").alias("target_text")).withColumn("direction", F.lit("to_bn"))
+    docs = p.select(F.col("p_partkey").alias("doc_id"), F.replace("p_name", F.lit("e"), F.lit("ee")).alias("text"))
+    return translate.translate(docs, "bn", memory)
+
+
 @query()
 def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the one before it in its conversation."""
@@ -82,13 +91,14 @@ def line_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    """WITH t AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || ' ' || chr(10)) AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM t),
     f AS (SELECT *, first(CASE WHEN regexp_matches(s, '[^ \\t\\n\\x0B\\f\\r]') THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM l)
     SELECT doc_id, CAST(n AS BIGINT) AS line, CAST(nx AS BIGINT) AS next_line FROM f WHERE nx > n + 1"""
 )
 def next_filled_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines followed by blank ones, with the next line that holds text; a fold from the last line, inside the row."""
-    filled = F.transform(F.split("text", "\n", -1), lambda s, i: F.struct((i + 1).cast("long").alias("line"), s.rlike("[^ \\t\\n\\x0B\\f\\r]").alias("full")))
+    blank = F.replace("text", F.lit(". "), F.lit(".\n \n"))  # sentences end in blank lines
+    filled = F.transform(F.split(blank, "\n", -1), lambda s, i: F.struct((i + 1).cast("long").alias("line"), s.rlike("[^ \\t\\n\\x0B\\f\\r]").alias("full")))
     empty = F.expr("cast(array() as array<struct<line: bigint, next_line: bigint>>)")
     start = F.struct(F.lit(None).cast("long").alias("next"), empty.alias("out"))
     step = lambda a, x: F.struct(F.when(x["full"], x["line"]).otherwise(a["next"]).alias("next"), F.when(a["next"] > x["line"] + 1, F.concat(a["out"], F.array(F.struct(x["line"].alias("line"), a["next"].alias("next_line"))))).otherwise(a["out"]).alias("out"))

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from textloom.sinks.html import blocks
 
@@ -100,7 +101,7 @@ def to_docx(text: str, font: str = "Kalpurush") -> bytes:
     return out.getvalue()
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def docx_column(texts: pd.Series) -> pd.Series:
     """Markdown columns as documents; null stays null."""
     return pd.Series([None if t is None else to_docx(t) for t in texts], dtype=object)
