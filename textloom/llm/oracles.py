@@ -89,3 +89,23 @@ SELECT record_id, url_key, ts, outcome, pid * 4 AS response_id,
   CASE WHEN outcome = 'resolved' THEN pdigest END AS digest
 FROM o
 """
+
+ORACLES["op3_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+c(vec_id, component) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, c.component FROM c JOIN l ON c.vec_id = l.a),
+m AS (SELECT vec_id, min(component) AS component_id FROM c GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES["op4_ngram_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w),
+f AS (SELECT doc_id, unnest(s) AS x FROM s), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+c(doc_id, component) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, c.component FROM c JOIN l ON c.doc_id = l.a),
+m AS (SELECT doc_id, min(component) AS component_id FROM c GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN m USING (doc_id)
+"""
