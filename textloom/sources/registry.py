@@ -79,7 +79,7 @@ def default() -> Registry:
     for ext, readers in formats.READERS.items():
         for r in readers:
             taken.setdefault(r, []).append(ext)
-    for read, extensions in taken.items():
+    for read, extensions in sorted(taken.items(), key=lambda x: x[0] is not formats.read_text):  # of equal priority, plain text is tried last
         if read is formats.read_text:
             out.register("read_text", lambda data, i, own=by_type(extensions, MIMES["read_text"]): own(data, i) or i.charset is not None, read, 10.0)
         elif read is formats.read_notebook:
