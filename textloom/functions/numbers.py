@@ -99,27 +99,27 @@ def _month_of_bangabda(name: Column) -> Column:
 def dates_to_bangabda(text: Column) -> Column:
     """Gregorian dates of a text (day, month name in either language, year) in the Bengali calendar; dates that do not exist stay."""
 
-    def change(m: Column) -> Column:
+    def parts(m: Column) -> Column:
         day, name, year = (F.regexp_extract(m, _GREGORIAN, g) for g in (1, 2, 3))
-        low = F.lower(name)
-        month = F.least(_first_of(GREGORIAN_EN, low), _first_of(GREGORIAN_BN, name))
-        when = F.try_to_date(F.format_string("%04d-%02d-%02d", bengali.to_ascii_digits(year).cast("int"), month, bengali.to_ascii_digits(day).cast("int")))
-        b = bengali.bangabda(when)
-        return F.when(when.isNotNull(), F.concat(bengali.to_bengali_digits(b["day"].cast("string")), F.lit(" "), b["month_name"], F.lit(" "), bengali.to_bengali_digits(b["year"].cast("string")), F.lit(" বঙ্গাব্দ")))
+        return F.struct(bengali.to_ascii_digits(day).alias("d"), F.least(_first_of(GREGORIAN_EN, F.lower(name)), _first_of(GREGORIAN_BN, name)).alias("m"), bengali.to_ascii_digits(year).alias("y"))
 
+    said = lambda b: F.concat(bengali.to_bengali_digits(b["day"].cast("string")), F.lit(" "), b["month_name"], F.lit(" "), bengali.to_bengali_digits(b["year"].cast("string")), F.lit(" বঙ্গাব্দ"))
+    calendar = lambda when: F.when(when.isNotNull(), bengali.bind(bengali.bangabda(when), said))
+    day_of = lambda p: F.try_to_date(F.concat_ws("-", p["y"], F.lpad(p["m"].cast("string"), 2, "0"), F.lpad(p["d"], 2, "0")))
+    change = lambda m: bengali.bind(parts(m), lambda p: F.when(p["m"].isNotNull(), bengali.bind(day_of(p), calendar)))
     return _rewrite(F.coalesce(text, F.lit("")), _GREGORIAN, change)
 
 
 def dates_to_gregorian(text: Column) -> Column:
     """Dates of the Bengali calendar in a text as Gregorian dates; those without a known month stay."""
 
-    def change(m: Column) -> Column:
+    def parts(m: Column) -> Column:
         day, name, year = (F.regexp_extract(m, _BANGABDA, g) for g in (1, 2, 3))
-        when = bengali.gregorian(bengali.to_ascii_digits(day).cast("int"), _month_of_bangabda(name), bengali.to_ascii_digits(year).cast("int"))
-        names = F.array(*[F.lit(x) for x in GREGORIAN_BN])
-        said = F.concat_ws(" ", bengali.to_bengali_digits(F.dayofmonth(when).cast("string")), F.element_at(names, F.coalesce(F.month(when), F.lit(1))), bengali.to_bengali_digits(F.year(when).cast("string")), F.lit("খ্রিষ্টাব্দ"))
-        return F.when(_month_of_bangabda(name).isNotNull(), said)
+        return F.struct(bengali.to_ascii_digits(day).cast("int").alias("d"), _month_of_bangabda(name).alias("m"), bengali.to_ascii_digits(year).cast("int").alias("y"))
 
+    names = F.array(*[F.lit(x) for x in GREGORIAN_BN])
+    said = lambda when: F.concat_ws(" ", bengali.to_bengali_digits(F.dayofmonth(when).cast("string")), F.element_at(names, F.coalesce(F.month(when), F.lit(1))), bengali.to_bengali_digits(F.year(when).cast("string")), F.lit("খ্রিষ্টাব্দ"))
+    change = lambda m: bengali.bind(parts(m), lambda p: F.when(p["m"].isNotNull(), bengali.bind(bengali.gregorian(p["d"], p["m"], p["y"]), said)))
     return _rewrite(F.coalesce(text, F.lit("")), _BANGABDA, change)
 
 

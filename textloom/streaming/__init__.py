@@ -49,21 +49,17 @@ def first_seen(events: DataFrame, key: str = "event_id", late: str = "10 minutes
 
 
 def running_totals(events: DataFrame) -> DataFrame:
-    """user_id, n, total after each micro-batch: state kept by user, updated in Arrow batches, dropped after an hour without events."""
+    """user_id, n, total after each micro-batch: state kept by user for good, updated in Arrow batches."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, total = state.get if state.exists else (0, 0.0)
         for pdf in batches:
             n, total = n + len(pdf), total + float(pdf["value"].fillna(0).sum())
         state.update((n, total))
-        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def convert_batches(spark: SparkSession, folder: str, each, checkpoint: str) -> StreamingQuery:
