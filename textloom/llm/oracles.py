@@ -109,3 +109,29 @@ c(doc_id, component) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, c.compon
 m AS (SELECT doc_id, min(component) AS component_id FROM c GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN m USING (doc_id)
 """
+
+ORACLES["op13_click_sessions"] = """
+WITH RECURSIVE once AS (
+  SELECT click_id, client_id, epoch_us(ts) AS ts, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 3600000000, false) AS late,
+    coalesce(kind = 'purchase' AND value >= 60, false) AS final, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents
+  FROM clicks WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY client_id, ts) = 1),
+o AS (SELECT *, row_number() OVER w AS i, lag(final) OVER w AS pf, ts - lag(ts) OVER w AS pause FROM once WHERE NOT late WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id)),
+h AS (SELECT *, CASE WHEN pf THEN 'end' WHEN pause >= 1800000000 THEN 'gap' END AS reason FROM o),
+r AS (
+  SELECT client_id, i, ts AS start, 'first' AS why, true AS fresh FROM h WHERE i = 1
+  UNION ALL
+  SELECT h.client_id, h.i, CASE WHEN reason IS NOT NULL OR h.ts - r.start > 7200000000 THEN h.ts ELSE r.start END,
+    coalesce(reason, 'length'), reason IS NOT NULL OR h.ts - r.start > 7200000000
+  FROM r JOIN h ON h.client_id = r.client_id AND h.i = r.i + 1),
+n AS (SELECT h.*, r.why, r.fresh, count(*) FILTER (r.fresh) OVER (PARTITION BY client_id ORDER BY i) AS session FROM h JOIN r USING (client_id, i)),
+s AS (
+  SELECT client_id, session, arg_min(click_id, i) AS session_id, min(ts) AS start_us, max(ts) AS end_us, count(*) AS n_clicks, CAST(sum(cents) AS BIGINT) AS value_cents,
+    arg_min(why, i) AS why, arg_max(final, i) AS final, sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY i)) AS path_sha256
+  FROM n GROUP BY 1, 2),
+t AS (SELECT *, lead(start_us) OVER w AS until, lead(why) OVER w AS after FROM s WINDOW w AS (PARTITION BY client_id ORDER BY session))
+SELECT client_id, session_id, start_us, end_us, n_clicks,
+  (SELECT count(*) FROM once l WHERE l.late AND l.client_id = t.client_id AND l.ts >= t.start_us AND (t.until IS NULL OR l.ts < t.until)) AS n_late,
+  value_cents, coalesce(after, CASE WHEN final THEN 'end' ELSE 'none' END) AS closed_by, path_sha256
+FROM t
+"""

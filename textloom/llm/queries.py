@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import attn_lm, decontam, embed_dedup, html_crf, licenses, mixing, ngram_join, pii, toxicity, warc
+from textloom.llm import attn_lm, decontam, embed_dedup, html_crf, licenses, mixing, ngram_join, pii, sessions, toxicity, warc
 from textloom.llm._spark import table
 
 
@@ -64,10 +64,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_click_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all clicks."""
+    return sessions.sessionise(table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_revisits, op2_pii_semi_crf, op3_embedding_dedup, op4_ngram_jaccard_join, op5_license_scan, op6_decontamination,
-        op7_attention_lm, op8_curriculum_mix, op9_toxicity, op10_html_extraction,
+        op7_attention_lm, op8_curriculum_mix, op9_toxicity, op10_html_extraction, op13_click_sessions,
     )
 }
