@@ -110,6 +110,51 @@ m AS (SELECT doc_id, min(component) AS component_id FROM c GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN m USING (doc_id)
 """
 
+ORACLES["op11_chat_formatting"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]|<</?SYS>>|\\[/?ROLE\\]|\\[TEXT\\]'))
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17
+      ELSE 23 + length(role) + len(regexp_extract_all(role, '</?s>|\\[/?INST\\]|<</?SYS>>|\\[/?ROLE\\]|\\[TEXT\\]')) END AS size
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+
+def _codes() -> str:
+    """Four rounds of assigning and moving, written out: each is a nearest-entry query and a mean by entry."""
+    ctes = ["""k AS (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, p, q[p * (len(q) // 4) + 1 : (p + 1) * (len(q) // 4)] AS x FROM k, range(4) r(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256))"""]
+    for i in range(5):
+        ctes.append(f"""d{i} AS (
+  SELECT v.vec_id, v.p, b.e, CAST(list_sum(list_transform(list_zip(v.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v JOIN b{i} b USING (p)),
+a{i} AS MATERIALIZED (
+  SELECT vec_id, p, CAST(min(d * 256 + e) % 256 AS BIGINT) AS e, CAST(min(d * 256 + e) // 256 AS BIGINT) AS d FROM d{i} GROUP BY vec_id, p)""")
+        if i < 4:
+            ctes.append(f"""m{i} AS (
+  SELECT p, e, j, CAST(floor_div AS BIGINT) AS c FROM (
+    SELECT p, e, j, (s - ((s % n) + n) % n) // n AS floor_div FROM (
+      SELECT a.p, a.e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN v USING (vec_id, p), range(1, (SELECT max(len(x)) FROM v) + 1) r(j) GROUP BY a.p, a.e, j))),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (SELECT p, e, list(c ORDER BY j) AS c FROM m{i} GROUP BY p, e) m USING (p, e))""")
+    return "WITH " + ",\n".join(ctes) + """,
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b4),
+r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+s AS (SELECT r.*, label FROM r JOIN k USING (vec_id))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM book) AS codebooks_sha256 FROM s
+"""
+
+
+ORACLES["op12_yinyang_codes"] = _codes()
+
 ORACLES["op13_click_sessions"] = """
 WITH RECURSIVE once AS (
   SELECT click_id, client_id, epoch_us(ts) AS ts, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 3600000000, false) AS late,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import attn_lm, decontam, embed_dedup, html_crf, licenses, mixing, ngram_join, pii, sessions, toxicity, warc
+from textloom.llm import attn_lm, chat, decontam, embed_dedup, html_crf, licenses, mixing, ngram_join, pii, sessions, toxicity, warc, yinyang
 from textloom.llm._spark import table
 
 
@@ -64,6 +64,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted; digests of what is read back from the result."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    words = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-1, 0, "user", words), (-1, 1, "assistant", words)], turns.schema)
+    return chat.digest(chat.format_conversations(turns.unionByName(hard)))
+
+
+def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings after four rounds."""
+    return yinyang.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_click_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of all clicks."""
     return sessions.sessionise(table(spark, sf_dir, "clicks"))
@@ -73,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_revisits, op2_pii_semi_crf, op3_embedding_dedup, op4_ngram_jaccard_join, op5_license_scan, op6_decontamination,
-        op7_attention_lm, op8_curriculum_mix, op9_toxicity, op10_html_extraction, op13_click_sessions,
+        op7_attention_lm, op8_curriculum_mix, op9_toxicity, op10_html_extraction, op11_chat_formatting, op12_yinyang_codes,
+        op13_click_sessions,
     )
 }
