@@ -75,35 +75,6 @@ def grapheme_diff(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def suspects(text: str | None, vocabulary: list[str]) -> list[dict]:
-    """Bengali words outside the vocabulary with their place (from 1) and at most four near words; inflected known words pass."""
-    known, out = set(vocabulary), []
-    for n, line in enumerate((text or "").split("\n"), 1):
-        for m in re.finditer("[ঀ-৿]+", line):
-            word = unicodedata.normalize("NFC", m[0])
-            if len(m[0]) <= 1 or all("০" <= c <= "৯" for c in m[0]) or word in known:
-                continue
-            near = difflib.get_close_matches(word, vocabulary, 4, 0.6)
-            if not near and len(m[0]) > 2:
-                stem = SUFFIX.sub("", word)
-                if stem in known:
-                    continue
-                near = difflib.get_close_matches(stem, vocabulary, 4, 0.55)
-            out.append({"line": n, "col": m.start() + 1, "word": m[0], "suggestions": near})
-    return out
-
-
-def spelling(c: Column, vocabulary: list[str]) -> Column:
-    """suspects() of a column; the vocabulary is sorted, so ties fall the same way each time."""
-    words = sorted(set(vocabulary))
-
-    @pandas_udf("array<struct<line: long, col: long, word: string, suggestions: array<string>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([suspects(t, words) for t in texts])
-
-    return run(c)
-
-
 def type_phonetic(text: str, scheme: str = "avro", own: dict[str, str] | None = None) -> str:
     """Bengali letters for Latin typing: a whole text in own wins; else the first rule that fits at each place; other characters stay."""
     if own and text in own:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom import streaming
 from textloom.functions import bengali, text
 from textloom.operators import layout, memory
-from textloom.plans import conversion, language  # noqa: F401  (they register their queries)
+from textloom.plans import conversion, language, terms  # noqa: F401  (they register their queries)
 from textloom.plans._registry import ORACLES, QUERIES, query, table  # noqa: F401
 from textloom.sources import files
 
@@ -289,13 +288,3 @@ def ordered_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments joined in order."""
     parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: F.concat(p["role"], F.lit(": "), p["text"])), "\n").alias("script"), F.count("*").alias("turns"))
-
-
-@query(
-    """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders
-    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 4"""
-)
-def close_matches_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best four of each key."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 4")
