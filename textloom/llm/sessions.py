@@ -141,7 +141,7 @@ def _cut(con, rows: pa.Table, query: str) -> pa.Table:
 
 def _sessions(batches: Iterator[pa.RecordBatch], query: str, chunk: int) -> Iterator[pa.RecordBatch]:
     """Sessions of rows sorted by client_id, grp, ts, click_id, a chunk at a time."""
-    con = duckdb.connect(config={"threads": 1})
+    con = duckdb.connect(config={"threads": 1, "temp_directory": ""})  # what it holds is bounded, and no local folder is used
     held: list[pa.RecordBatch] = []
     n = 0
 
