@@ -42,3 +42,21 @@ def test_each_stage_keeps_the_columns(spark, tmp_path):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_each_stage_scores_each_row_once(spark, tmp_path, monkeypatch):
+    sf = write_tables(spark, str(tmp_path))
+    seen = spark.sparkContext.accumulator(0)
+    stage = C.STAGES[0][1]
+
+    def counted(spark, docs, sf_dir):
+        def rows(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return stage(spark, docs, sf_dir).mapInArrow(rows, docs.schema)
+
+    monkeypatch.setattr(C, "STAGES", [("toxicity", counted), *C.STAGES[1:]])
+    C.run(spark, sf).collect()
+    assert seen.value == stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()

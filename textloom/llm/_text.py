@@ -34,6 +34,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(0x319642B2D24D8EC3)
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(0x96DE1B173F119089)
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def joined(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Hashes of words a and b written as one, from their hashes and sizes in bytes."""
+    powers = np.ones(int(a_size.max(initial=0)) + 1, np.uint64)
+    powers[1:] = _BASE
+    powers = np.cumprod(powers, dtype=np.uint64)
+    left, right = (unmix(h) - n.astype(np.uint64) for h, n in ((a, a_size), (b, b_size)))
+    return mix(left + powers[a_size] * right + (a_size + b_size).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """The words of texts lo..hi of a column: byte bounds, hashes, and per text the first word's index."""

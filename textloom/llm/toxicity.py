@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._spark import checkpoint, small_batches
-from textloom.llm._text import hash_pieces, words
+from textloom.llm._text import hash_pieces, joined, words
 
 #: Bound on the labelled rows the classifier learns from (those of smallest hash of doc_id).
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4_000
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
-#: Features stand in at least MIN_ROWS labelled rows, and have log-odds of a toxic row over TOXIC_ODDS or under CLEAN_ODDS.
-MIN_ROWS, TOXIC_ODDS, CLEAN_ODDS, PRIOR = 3, 3.0, -3.0, 0.2
+#: Features stand in at least MIN_ROWS labelled rows. How far their log-odds of a toxic row must be from 0 (ODDS), and the
+#: inverse variance of the weights' prior (PRIORS), are chosen by folds of the training rows.
+MIN_ROWS, ODDS, PRIORS, CHOICE_FOLDS = 3, (3.0, 2.0, 4.0), (0.2, 0.05, 1.0), 4
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -46,6 +48,8 @@ _GAPS = set(".-_*~'^,/ ")
 _SIGN_COST, _GAP_COST, _REPEAT_COST, _SAME_COST, _DOUBT_COST = 1.0, 0.4, 0.3, 0.05, 2.0
 #: Paths kept in a state, and readings taken of a disguised token.
 KEPT, N_BEST = 3, 8
+#: Doubled letters of a word up to which all ways to drop them are looked up before it is decoded.
+SUBSETS = 4
 
 
 # ---- language model ---------------------------------------------------------------------------
@@ -195,29 +199,47 @@ def _strange(w) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _plain_hits(w, idx: np.ndarray, classifier: Classifier) -> np.ndarray:
-    """Which of the words idx would be telling words, or start like one, as letters alone: as they are, or without all, the first or the last of their doubled letters."""
+    """Which of the words idx may be read as telling words, or as words that start like one, by their letters with any of their doubled ones single.
+
+    Every way to drop doubled letters is hashed, for words with up to SUBSETS of them; words with more may be read in any way, and pass.
+    """
     size = w.end[idx] - w.start[idx]
     begin = np.cumsum(size) - size
     flat = np.repeat(w.start[idx] - begin, size) + np.arange(int(size.sum()))
     owner = np.repeat(np.arange(len(idx)), size)
     byte = w.data[flat]
     letter = ~_NOT_LETTER[byte]
+    byte, owner = byte[letter], owner[letter]
     low = byte | 0x20
-    twice = np.zeros(len(flat), bool)
-    twice[1:] = letter[1:] & (byte[1:] < 128) & (low[1:] == low[:-1]) & (owner[1:] == owner[:-1])
-    nth = np.cumsum(twice)
-    before = np.concatenate([[0], nth])[begin]
-    nth = nth - before[owner]
+    twice = np.zeros(len(byte), bool)
+    twice[1:] = (byte[1:] < 128) & (low[1:] == low[:-1]) & (owner[1:] == owner[:-1])
     many = np.bincount(owner, weights=twice, minlength=len(idx)).astype(np.int64)
-    out = np.zeros(len(idx), bool)
-    for kept in (letter, letter & ~twice, letter & ~(twice & (nth == 1)), letter & ~(twice & (nth == many[owner]))):
-        h, long, prefixes = hash_pieces(byte[kept], owner[kept], len(idx), PREFIXES)
-        out |= classifier.hits(h) >= 0
+    seen = np.cumsum(twice) - twice
+    first = np.searchsorted(owner, np.arange(len(idx)))
+    nth = seen - np.concatenate([seen, [0]])[first][owner]
+    out = many > SUBSETS
+    for dropped in range(1 << min(SUBSETS, int(many.max(initial=0)))):
+        some = (many[owner] <= SUBSETS) & (1 << many[owner] > dropped) & ~(twice & (dropped >> np.minimum(nth, 62) & 1 == 1))
+        h, long, prefixes = hash_pieces(byte[some], owner[some], len(idx), PREFIXES)
+        real = (many <= SUBSETS) & (1 << many > dropped)
+        out |= real & (classifier.hits(h) >= 0)
         for at, x in zip(long, prefixes):
-            out[at[classifier.hits(x) >= 0]] = True
+            out[at[real[at] & (classifier.hits(x) >= 0)]] = True
     return out
 
 
+def _split_words(w, classifier: Classifier) -> list[tuple[int, str]]:
+    """(text, both parts with a space) of neighbouring letter words, one sign apart, that are a telling word if written as one. w: letter words."""
+    if len(w.hash) < 2:
+        return []
+    owner = np.searchsorted(w.first, np.arange(len(w.hash)), "right") - 1
+    near = np.flatnonzero((w.start[1:] == w.end[:-1] + 1) & (owner[1:] == owner[:-1]))
+    size = w.end - w.start
+    hit = near[classifier.hits(joined(w.hash[near], size[near], w.hash[near + 1], size[near + 1])) >= 0]
+    text = lambda i: bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace")
+    return [(int(owner[i]) + w.lo, f"{text(i)} {text(i + 1)}") for i in hit.tolist()]
+
+
 def _spaced(w) -> list[tuple[int, int, int]]:
     """(text, first word, last word + 1) of runs of at least three one-letter words."""
     one = (w.end - w.start) == 1
@@ -247,7 +269,8 @@ class Reader:
     """Telling features of disguised words, found by decoding their lattices; remembered per word.
 
     Words of signs or long repeats give their N_BEST readings. Words with just a doubled letter or one separator are as
-    often plain, so they are decoded only if without those they would be a telling word, and give the best reading alone.
+    often plain, so they are decoded only if some way to read their letters is a telling word, and give their N_BEST readings then.
+    Neighbouring words that are a telling word if written as one are decoded as one.
     """
 
     def __init__(self, lm: CharModel, classifier: Classifier):
@@ -260,7 +283,7 @@ class Reader:
         if core:
             return readings(self.lm, core, N_BEST)
         core = doubtful(token)
-        return readings(self.lm, core) if core else []
+        return readings(self.lm, core, N_BEST) if core else []
 
     def _hits(self, texts: list[str]) -> list[tuple[int, ...]]:
         """The telling features of each word."""
@@ -282,6 +305,13 @@ class Reader:
             if hits:
                 self.known[h] = tuple(sorted({*self.known[h], *hits}))
 
+    def rejoined(self, pairs: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(text indexes, features) of words split in two, each decoded as one."""
+        read = {t: restore(self.lm, t) for t in {t for _, t in pairs}}
+        hits = dict(zip(read, self._hits(list(read.values())) if read else ()))
+        both = [(o, x) for o, t in pairs for x in hits[t]]
+        return np.array([o for o, _ in both], np.int64), np.array([x for _, x in both], np.int64)
+
     def restored(self, arr) -> tuple[np.ndarray, np.ndarray]:
         """(text indexes, features) of all disguised words of a column."""
         owners, hits = [], []
@@ -393,20 +423,58 @@ def _present(features: np.ndarray, labels: dict[int, int]):
     return present
 
 
-def fit_logistic(rows: list[tuple[int, list[int]]], width: int, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient steps with momentum, each weight at the pace of its count; a normal prior of variance 1 / PRIOR."""
-    y = np.array([r[0] for r in rows], float)
+def log_odds(pos: np.ndarray, neg: np.ndarray, toxic: int, rest: int) -> np.ndarray:
+    """Log-odds of a toxic row, by feature, from the toxic and other rows that hold it."""
+    return np.log((pos + 0.5) / (toxic + 1.0)) - np.log((neg + 0.5) / (rest + 1.0))
+
+
+def choose(rows: list[tuple[int, int, list[int]]], width: int) -> tuple[float, float]:
+    """(odds, prior) of the least log loss over CHOICE_FOLDS folds of the training rows (doc_id, label, features).
+
+    Each fold's features are chosen and weighed by the other folds alone. Ties, and rows too few to tell, take the first of ODDS and PRIORS.
+    """
+    fold = np.array([zlib.crc32(str(r[0]).encode()) // FOLDS % CHOICE_FOLDS for r in rows], np.int64)
+    label = np.array([r[1] for r in rows], np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]).astype(np.int64)
+    col = np.array([x for r in rows for x in r[2]], np.int64)
+    best = (math.inf, ODDS[0], PRIORS[0])
+    if not label.any() or label.all():
+        return best[1:]
+    counts = [[np.bincount(col[(fold[owner] != k) & (label[owner] == y)], minlength=width) for y in (1, 0)] for k in range(CHOICE_FOLDS)]
+    for odds in ODDS:
+        for prior in PRIORS:
+            loss = 0.0
+            for k, (pos, neg) in enumerate(counts):
+                ours, theirs = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                toxic = int(label[ours].sum())
+                use = (np.abs(log_odds(pos, neg, toxic, len(ours) - toxic)) > odds) & (pos + neg >= MIN_ROWS)
+                has = use[col]
+                w, b = fit_columns(label[ours], np.searchsorted(ours, owner[has & (fold[owner] != k)]), col[has & (fold[owner] != k)], width, prior, 100)
+                mine = has & (fold[owner] == k)
+                z = b + np.bincount(np.searchsorted(theirs, owner[mine]), weights=w[col[mine]], minlength=len(theirs))
+                loss += float(np.logaddexp(0, np.where(label[theirs] == 1, -z, z)).sum())
+            if loss < best[0] - 1e-9:
+                best = (loss, odds, prior)
+    return best[1:]
+
+
+def fit_logistic(rows: list[tuple[int, list[int]]], width: int, prior: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """fit_columns of rows (label, features); without rows all texts are clean."""
+    if not rows:
+        return np.zeros(width), -3.0
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]).astype(np.int64)
-    col = np.array([x for r in rows for x in r[1]], np.int64)
-    w, v, b, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    if not len(rows):
-        return w, -3.0
+    return fit_columns(np.array([r[0] for r in rows]), owner, np.array([x for r in rows for x in r[1]], np.int64), width, prior, rounds)
+
+
+def fit_columns(y: np.ndarray, owner: np.ndarray, col: np.ndarray, width: int, prior: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of rows owner that hold features col, by full-batch gradient steps with momentum, each weight at the pace of its count; a normal prior of variance 1 / prior."""
+    w, v, vb = np.zeros(width), np.zeros(width), 0.0
     count = np.bincount(col, minlength=width) + 1.0
     b = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for _ in range(rounds):
-        z = b + np.bincount(owner, weights=w[col], minlength=len(rows))
+        z = b + np.bincount(owner, weights=w[col], minlength=len(y))
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, weights=e[owner], minlength=width) / count + PRIOR * w / count
+        g = np.bincount(col, weights=e[owner], minlength=width) / count + prior * w / count
         v = 0.9 * v - 0.3 * g
         w += v
         vb = 0.9 * vb - 0.3 * e.mean()
@@ -429,6 +497,11 @@ class ToxicityModel:
             hit = self.classifier.hits(h)
             owners.append(owner[hit >= 0] + w.lo)
             hits.append(hit[hit >= 0])
+            split = _split_words(w, self.classifier)
+            if split:
+                o, x = reader.rejoined(split)
+                owners.append(o)
+                hits.append(x)
         if len(self.classifier.features):
             more, which = reader.restored(arr)
             owners.append(more)
@@ -467,12 +540,17 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         trigrams[r.key] = r.pos
     toxic, rest = sum(label.values()), len(label) - sum(label.values())
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("neg") + 0.5) / (rest + 1.0))
-    telling = counts.where(f"kind = 1 and pos + neg >= {MIN_ROWS}").withColumn("odds", odds).where(f"odds > {TOXIC_ODDS} or odds < {CLEAN_ODDS}")
+    telling = counts.where(f"kind = 1 and pos + neg >= {MIN_ROWS}").withColumn("odds", odds).where(F.abs("odds") > min(ODDS))
     telling = telling.orderBy(F.desc(F.abs("odds") * F.sqrt(F.greatest("pos", F.col("neg") * (toxic + 1.0) / (rest + 1.0)))), "key").limit(MAX_FEATURES).collect()
-    features = np.sort(np.array([r.key for r in telling], np.int64).view(np.uint64)) if telling else np.zeros(0, np.uint64)
+    telling.sort(key=lambda r: r.key % 2**64)
+    features = np.array([r.key for r in telling], np.int64).view(np.uint64)
     has = d.mapInArrow(_present(features, label), "doc_id long, label long, has array<long>").groupBy("doc_id").agg(F.first("label").alias("label"), F.max("has").alias("has"))
-    rows = sorted((r.label, r.has) for r in has.collect())  # at most MAX_LABELLED: of a repeated id, one row
-    weights, bias = fit_logistic(rows, len(features))
+    rows = sorted((r.doc_id, r.label, r.has) for r in has.collect())  # at most MAX_LABELLED: of a repeated id, one row
+    least, prior = choose(rows, len(features))
+    use = np.array([abs(r.odds) > least for r in telling], bool)
+    place = np.cumsum(use) - 1
+    weights, bias = fit_logistic([(y, [int(place[x]) for x in has if use[x]]) for _, y, has in rows], int(use.sum()), prior)
+    features = features[use]
     return ToxicityModel(CharModel(trigrams), Classifier(features, weights, bias))
 
 
