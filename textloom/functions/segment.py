@@ -25,6 +25,7 @@ SHORT = "Mr Dr Ms Prof e.g i.e vs Fig Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov De
 
 _STOP = re.compile(r"[।!?\n]|\.(?:\s+|$)")
 _WORD = re.compile(r"\w")
+_WORDS, _BENGALI = re.compile("[\\w\u0980-\u09ff]+"), re.compile("[\u0980-\u09ff]")
 
 
 def _stops(text: str, at: int) -> bool:
@@ -52,8 +53,10 @@ def sentences(text: str) -> list[str]:
 
 def label(text: str, floor: float = 0.8) -> str:
     """bn, en or mixed: the script that has at least floor of the words, en for text without letters."""
+    if not _BENGALI.search(text):
+        return "en"
     bn = en = 0.0
-    for word in text.split():
+    for word in _WORDS.findall(text):
         b, e = any("ঀ" <= c <= "৿" for c in word), any(c.isascii() and c.isalpha() for c in word)
         bn += 0.5 if b and e else b
         en += 0.5 if b and e else e
