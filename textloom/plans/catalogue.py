@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom import streaming
 from textloom.functions import bengali, text
 from textloom.operators import layout, memory
-from textloom.plans import conversion, language, terms  # noqa: F401  (they register their queries)
+from textloom.plans import conversion, flows, language, terms  # noqa: F401  (they register their queries)
 from textloom.plans._registry import ORACLES, QUERIES, query, table  # noqa: F401
 from textloom.sources import files
 
