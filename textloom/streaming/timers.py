@@ -113,10 +113,13 @@ def quiet_runs(events: DataFrame, quiet_minutes: int = 30, allowed_minutes: int
     if events.isStreaming:
         return rows.groupBy("user_id").transformWithStateInPandas(_Quiet(quiet, allowed), RUN, "append", "EventTime")
     once = rows.where(~F.col("late")).groupBy("event_id", "user_id").agg(F.min(F.struct("arrived_us", "us", "value")).alias("e")).select("event_id", "user_id", "e.us", "e.value")
-    before = Window.partitionBy("user_id").orderBy("us", "event_id")
-    cut = once.withColumn("new", F.coalesce(F.col("us") - F.lag("us").over(before) >= quiet, F.lit(True)).cast("int"))
+    # events of one slice of time as long as the pause never part, so runs are cut between the slices' first and last events:
+    # what a busy user sends to one task grows with the time covered and not with the events
+    slices = once.groupBy("user_id", F.floor(F.col("us") / F.lit(quiet)).alias("slice")).agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    before = Window.partitionBy("user_id").orderBy("slice")
+    cut = slices.withColumn("new", F.coalesce(F.col("start_us") - F.lag("last_us").over(before) >= quiet, F.lit(True)).cast("int"))
     numbered = cut.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = numbered.groupBy("user_id", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    runs = numbered.groupBy("user_id", "run").agg(F.min("start_us").alias("start_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"), F.sum("total").alias("total"))
     side = rows.where("late").select("user_id", "late", F.col("us").alias("start_us"), F.col("us").alias("last_us"), F.lit(1).cast("long").alias("n"), F.col("value").alias("total"))
     return runs.select("user_id", F.lit(False).alias("late"), "start_us", "last_us", "n", "total").unionByName(side)
 
