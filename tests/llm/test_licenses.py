@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from textloom.llm import licenses as L
 
@@ -119,3 +123,29 @@ def test_non_commercial_and_open_data(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.labels for r in L.scan(df).orderBy("doc_id").collect()] == ["cc-by-nc-sa", "cc-by-nc", "odbl-1"]
     assert [brute(t)[5] for t in texts] == ["cc-by-nc-sa", "cc-by-nc", "odbl-1"]
+
+
+def test_blocks_of_hits(spark, monkeypatch):
+    """Nested, equal and repeated hits over many small blocks equal the brute force."""
+    rnd = random.Random(3)
+    parts = ["under the mit license", "apache license version 2", "gnu general public license version 2", "cc by nc", "mit license", "licensed under the apache license version 2 0", "word", "the"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(n)) for n in (0, 1, 3, 4, 40, 150)]
+    monkeypatch.setattr(L, "BLOCK", 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.scan(df).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(texts[r.doc_id])
+        assert list(r.hits) == sorted(r.hits)
+
+
+def test_many_hits_in_one_text(spark):
+    """Forty thousand hits in one text, all found."""
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "under the mit license now " * n)], "doc_id long, text string")
+        begin = time.perf_counter()
+        (r,) = L.scan(df).select("n_base", "labels", F.size("hits").alias("n")).collect()
+        assert (r.n_base, r.labels, r.n) == (n, "mit", n)
+        return time.perf_counter() - begin
+
+    seconds(1)
+    assert seconds(40_000) < 90

@@ -130,6 +130,21 @@ def rules() -> list[tuple[int, str, int, float, str, str]]:
     return [(i, *r[:4], f"(?<= ){r[4]}(?= )") for i, r in enumerate(out)]
 
 
+#: Hits of a text are kept in sorted blocks of this many; work on n hits grows with n * n / BLOCK at most, and no array is built by appending beyond one block.
+BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(a: Column) -> Column:
+    """An array in slices of BLOCK; one empty slice for an empty array."""
+    last = F.greatest(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK)))
+
+
 def _count(c: Column) -> Column:
     """Words in a piece between two matches (or between a match and an end), which starts and ends with a space."""
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) - 1
@@ -172,12 +187,23 @@ def scan(docs: DataFrame) -> DataFrame:
         """The rule's intervals: a running word count over the pieces between matches."""
         pieces = F.transform(F.split(F.col("norm"), r["regex"], F.lit(-1)), _count)
         spans = F.transform(F.regexp_extract_all(F.col("norm"), r["regex"], F.lit(0)), lambda x: _count(x) + 2)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-        walk = F.aggregate(
-            F.arrays_zip(F.slice(pieces, 1, F.size(spans)).alias("gap"), spans.alias("len")), start,
-            lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).cast("int").alias("s"), (acc["at"] + x["gap"] + x["len"]).cast("int").alias("e")))).alias("out")),
-        )
-        return F.transform(walk["out"], lambda i: F.struct(i["s"].alias("start"), i["e"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["sure"].alias("sure"), r["rule"].alias("rule")))
+        zipped = F.arrays_zip(F.slice(pieces, 1, F.size(spans)).alias("gap"), spans.alias("len"))
+        taken = lambda x: x["gap"] + x["len"]
+
+        def places(block: Column, at: Column) -> Column:
+            """Start and end of the matches of one block, whose words begin at `at`."""
+            begin = F.struct(at.alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+            one = lambda acc, x: F.array(F.struct((acc["at"] + x["gap"]).cast("int").alias("s"), (acc["at"] + taken(x)).cast("int").alias("e")))
+            return F.aggregate(block, begin, lambda acc, x: F.struct((acc["at"] + taken(x)).alias("at"), F.concat(acc["out"], one(acc, x)).alias("out")))["out"]
+
+        def begins(blocks: Column) -> Column:
+            """The word at which each block begins."""
+            sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + taken(x)))
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(sizes, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+        walk = _let(zipped, lambda z: _let(_blocks(z), lambda bs: F.flatten(F.zip_with(bs, begins(bs), places))))
+        return F.transform(walk, lambda i: F.struct(i["s"].alias("start"), i["e"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["sure"].alias("sure"), r["rule"].alias("rule")))
 
     d = d.withColumn("gated", gated)
     some = F.size("gated") > 0
@@ -190,7 +216,14 @@ def scan(docs: DataFrame) -> DataFrame:
             (g["priority"] > h["priority"]) | ((g["priority"] == h["priority"]) & ((longer > 0) | ((longer == 0) & (g["rule"] < h["rule"]))))
         )
 
-    d = d.withColumn("hits", F.array_sort(F.filter("raw", lambda h: ~F.exists("raw", lambda g: beats(g, h)))))
+    def bounds(b: Column) -> Column:
+        """A block of sorted hits with its first start and its last end: only a block that holds an interval between them can suppress it."""
+        return F.struct(F.get(b, F.lit(0))["start"].alias("first"), F.array_max(F.transform(b, lambda g: g["end"])).alias("last"), b.alias("hits"))
+
+    def beaten(h: Column, blocks: Column) -> Column:
+        return F.exists(blocks, lambda b: (b["first"] <= h["start"]) & (b["last"] >= h["end"]) & F.exists(b["hits"], lambda g: beats(g, h)))
+
+    d = d.withColumn("hits", _let(F.array_sort("raw"), lambda hs: _let(F.transform(_blocks(hs), bounds), lambda bs: F.filter(hs, lambda h: ~beaten(h, bs)))))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*names))))
     return d.select(
         "doc_id", "n_words", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"),
