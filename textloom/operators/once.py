@@ -26,7 +26,7 @@ def answer_once(rows: DataFrame, content: str, answer: Callable[[list], list], k
     the result asks again. Contents that many rows share meet their answers without a shuffle of these rows. A column of that name is replaced.
     """
     own = [c for c in rows.columns if c.lower() != name.lower()]
-    digest = F.struct(F.sha2(F.col(content).cast("binary"), 256).alias("h"), F.octet_length(content).alias("size"), *[F.col(c) for c in within])
+    digest = F.struct(F.unhex(F.sha2(F.col(content).cast("binary"), 256)).alias("h"), F.octet_length(content).alias("size"), *[F.col(c) for c in within])
     held = rows.select(*own, F.when(F.col(content).isNotNull(), digest).alias("_asked"))
     asked = held.where("_asked IS NOT NULL").groupBy("_asked").agg(F.any_value(content).alias("c"), F.count("*").alias("n"))
     key = asked.schema["_asked"].dataType.simpleString()
