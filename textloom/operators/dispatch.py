@@ -15,8 +15,6 @@ Reader = Callable[[list], list[tuple[str | None, str | None]]]
 
 #: A registry up to this many readers is sent to the tasks.
 MAX_READERS = 10_000
-#: Into how many parts the rows of one reader are dealt.
-SALTS = 32
 
 
 def registry(spark: SparkSession, readers: Iterable[tuple[str, float, list[str], list[str]]]) -> DataFrame:
@@ -44,8 +42,8 @@ def candidates(guesses: DataFrame, readers: DataFrame, key: str) -> DataFrame:
 def rounds(rows: DataFrame, order: DataFrame, readers: dict[str, Reader], key: str, content: str = "content") -> DataFrame:
     """key, reader, success, text, tries, errors: each row's content read by the first reader of its order (candidates()) that succeeds.
 
-    Each round tries one reader a row, with the rows of a reader brought together and dealt over tasks, and is written before
-    the next, so that no reader sees a row twice; rows that fail go on, and fewer are left each time. A reader that raises, or
+    Each round tries one reader a row, all rows of a reader in a batch with one call, and is written before the next, so that no
+    reader sees a row twice. Contents move once, to meet their order; those that failed are written for the next round. A reader that raises, or
     gives back another number of answers, fails all rows of that call one by one. Rows without a reader, and those that all fail, come back
     with success = false and all errors. Keys must be unique; a null content is read as null.
     """
@@ -83,6 +81,7 @@ def rounds(rows: DataFrame, order: DataFrame, readers: dict[str, Reader], key: s
                     said[i] = answer
             row["text"], row["success"] = [t for t, _ in said], [e is None for _, e in said]
             row["errors"] = [[*old, *([f"{n}: {e}"] if e is not None else [])] for old, n, (_, e) in zip(row["errors"], tried, said)]
+            row[content] = [c if e is not None else None for c, (_, e) in zip(row[content], said)]  # needed no more
             row["tries"] = [t + 1 for t in row["tries"]]
             out = batch.schema.append(pa.field("success", pa.bool_())).append(pa.field("text", pa.string()))
             yield pa.RecordBatch.from_pydict(row, schema=out)
@@ -90,13 +89,12 @@ def rounds(rows: DataFrame, order: DataFrame, readers: dict[str, Reader], key: s
     start = rows.select(key, content).join(order, key, "left")
     start = start.select(key, content, F.coalesce("readers", F.array().cast("array<string>")).alias("readers"), F.lit(0).alias("tries"), F.array().cast("array<string>").alias("errors"))
     final = lambda d: d.select(key, F.when(F.col("success"), F.get("readers", F.col("tries") - 1)).alias("reader"), "success", "text", "tries", "errors")
-    start = written(start)
     more = F.col("tries") < F.size("readers")
     out = final(start.where(~more).select("*", F.lit(False).alias("success"), F.lit(None).cast("string").alias("text")))
-    left = start.where(more)
-    while not left.isEmpty():
-        dealt = left.repartition(F.get("readers", F.col("tries")), F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        done = written(dealt.mapInArrow(run, result))
+    left, empty = start.where(more), False
+    while not empty:
+        done = written(left.mapInArrow(run, result))
         out = out.unionByName(final(done.where(F.col("success") | ~more)))
         left = done.where(~F.col("success") & more).select(key, content, "readers", "tries", "errors")
+        empty = left.isEmpty()
     return out
