@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,11 @@ def test_too_many_terms(spark, monkeypatch):
     entries = spark.range(3).select(F.col("id").cast("string").alias("term"), F.lit("x").alias("translation"), F.lit(False).alias("case_sensitive"))
     with pytest.raises(ValueError):
         glossary.override(spark.createDataFrame([("1",)], "text string"), entries)
+
+
+def test_a_task_holds_a_slice_of_its_batch(spark):
+    size = glossary.SLICE_CHARS // 8
+    df = spark.range(40).coalesce(1).select("id", F.repeat(F.lit("x"), size).alias("text"))
+    sent = spark.sparkContext.broadcast(None)
+    rows = glossary._with_texts(df, "text", sent, "held long", lambda _, texts: (None, pa.array([sum(map(len, texts))] * len(texts), pa.int64())))
+    assert [r.id for r in rows.select("id").collect()] == list(range(40)) and rows.agg(F.max("held")).first()[0] <= glossary.SLICE_CHARS

@@ -1,10 +1,10 @@
 """Glossary overrides and kept terms: one multi-pattern automaton for all terms, sent to the tasks that read the texts.
 
-Terms are matched by an Aho-Corasick automaton held in numpy arrays. A task lays the texts of an Arrow batch end to end, cuts
+Terms are matched by an Aho-Corasick automaton held in numpy arrays. A task lays texts of an Arrow batch end to end, SLICE_CHARS at once, cuts
 the line into lanes that overlap by the longest term, and advances all lanes one character at a time, so the
-cost is that of the characters and not of the terms. There is no shuffle.
+cost is that of the characters and not of the terms, and its arrays are those of a slice and not of a batch. There is no shuffle.
 
-The glossary is counted before it is collected: more than MAX_TERMS rows raise. Up to DENSE cells the automaton is a full table
+At most MAX_TERMS rows of a glossary are collected; more raise. Up to DENSE cells the automaton is a full table
 of states by letters, beyond that sorted keys that are searched.
 """
 
@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.slices import slices
+
 MAX_TERMS = 200_000
 DENSE = 1 << 23
 LANES = 4096
+SLICE_CHARS = 1 << 20  # of the texts that are laid end to end at once; a longer text is a slice of its own
+CODES = 0x110000
 SPANS = "array<struct<start:long,end:long,term:long>>"
 
 
@@ -37,24 +41,18 @@ def _codes(text: str) -> np.ndarray:
 
 
 class _Letters:
-    """What is known of each character met so far: its folded form, and whether it belongs to words."""
+    """What is known of each character met so far, by its code: its folded form, and whether it belongs to words."""
 
     def __init__(self):
-        self.codes = np.zeros(0, np.uint32)
-        self.folded = np.zeros(0, np.uint32)
-        self.word = np.zeros(0, bool)
+        self.met, self.word = np.zeros(CODES, bool), np.zeros(CODES, bool)
+        self.folded = np.zeros(CODES, np.uint32)
 
     def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(folded codes, whether \\w) of codes."""
-        new = np.setdiff1d(np.unique(codes), self.codes, assume_unique=True)
-        if len(new):
-            order = np.argsort(every := np.concatenate([self.codes, new]), kind="stable")
-            chars = [chr(c) for c in new.tolist()]
-            self.folded = np.concatenate([self.folded, np.array([ord(fold(c)) for c in chars], np.uint32)])[order]
-            self.word = np.concatenate([self.word, np.array([c.isalnum() or c == "_" for c in chars], bool)])[order]
-            self.codes = every[order]
-        at = np.searchsorted(self.codes, codes)
-        return self.folded[at], self.word[at]
+        for code in np.unique(codes[~self.met[codes]]).tolist():
+            c = chr(code)
+            self.met[code], self.folded[code], self.word[code] = True, ord(fold(c)), c.isalnum() or c == "_"
+        return self.folded[codes], self.word[codes]
 
 
 class Automaton:
@@ -65,7 +63,8 @@ class Automaton:
         self.longest = int(self.lengths.max(initial=1))
         folded = ["".join(map(fold, t)) for t in terms]
         letters = sorted(set("".join(folded)))
-        self.alphabet = np.array([ord(c) for c in letters], np.uint32)  # class 0 is any other letter
+        self.letter = np.zeros(CODES, np.int32)  # class 0 is any other letter
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         number = {c: i + 1 for i, c in enumerate(letters)}
         children: list[dict[int, int]] = [{}]
         ends: list[list[int]] = [[]]
@@ -114,9 +113,7 @@ class Automaton:
     def scan(self, folded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, term) of every match in one line of folded codes, by end; terms may overlap."""
         n = len(folded)
-        at = np.searchsorted(self.alphabet, folded)
-        at[at == len(self.alphabet)] = 0
-        letter = np.where(self.alphabet[at] == folded, at + 1, 0) if len(self.alphabet) else np.zeros(n, np.int64)
+        letter = self.letter[folded]
         size = max(-(-n // LANES), 1)
         lanes = -(-n // size)
         before = min(self.longest - 1, n)  # a lane warms up on what stands before it
@@ -140,6 +137,17 @@ class Automaton:
         return (end - self.lengths[term])[order], end[order], term[order]
 
 
+def laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as one line of codes, parted by a sign that is in no word, and where each starts; one start more closes the last."""
+    return _codes("\x00" + "".join(t + "\x00" for t in texts)), np.cumsum([1] + [len(t) + 1 for t in texts])
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place in it) of the members of groups of these sizes."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 class Matcher:
     """Matches of a list of terms in a batch of texts: whole words or anywhere, with or without case for each term."""
 
@@ -147,24 +155,30 @@ class Matcher:
         self.terms, self.exact, self.whole = terms, np.array(exact, bool), whole_words
         self.plain = np.array(["".join(map(fold, t)) == t for t in terms], bool)
         self.automaton, self.letters = Automaton(terms, dense), _Letters()
+        self.codes, self.begin = _codes("".join(terms)), np.cumsum([0] + [len(t) for t in terms])
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end, term) of all matches; places are code points of their text. In no order but that of ends within a text."""
-        line = _codes("\x00" + "".join(t + "\x00" for t in texts))  # texts are parted by a sign that is in no word
-        starts = np.cumsum([1] + [len(t) + 1 for t in texts])
+        line, starts = laid(texts)
+        text, start, end, term = self.find_laid(line, starts)
+        return text, start - starts[text], end - starts[text], term
+
+    def find_laid(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """find() in texts that were laid(); places are those of the line."""
         folded, word = self.letters.look(line)
         start, end, term = self.automaton.scan(folded)
         text = np.searchsorted(starts, start, "right") - 1
-        keep = (text >= 0) & (end < starts[np.minimum(text + 1, len(texts))])  # a term with the parting sign in it does not reach over
+        keep = (text >= 0) & (end < starts[np.minimum(text + 1, len(starts) - 1)])  # a term with the parting sign in it does not reach over
         if self.whole:
             keep &= (word[start] != word[start - 1]) & (word[end - 1] != word[np.minimum(end, len(line) - 1)])
         changed = np.concatenate([[0], np.cumsum(line != folded)])
         keep &= ~(self.exact[term] & self.plain[term] & (changed[end] > changed[start]))
         text, start, end, term = text[keep], start[keep], end[keep], term[keep]
-        start, end = start - starts[text], end - starts[text]
         unsure = np.flatnonzero(self.exact[term] & ~self.plain[term])  # terms with capitals, to be met as they are written
-        wrong = [i for i in unsure.tolist() if texts[text[i]][start[i] : end[i]] != self.terms[term[i]]]
-        if wrong:
+        owner, inside = _spread(end[unsure] - start[unsure])
+        other = line[start[unsure][owner] + inside] != self.codes[self.begin[term[unsure]][owner] + inside]
+        wrong = unsure[np.bincount(owner[other], minlength=len(unsure)) > 0]
+        if len(wrong):
             text, start, end, term = (np.delete(x, wrong) for x in (text, start, end, term))
         return text, start, end, term
 
@@ -191,6 +205,8 @@ class Overrides:
         self.exact = [bool(e[2]) for e in ordered]
         self.matcher = Matcher(self.source, self.exact, True, dense)
         self.risky = self._risky()
+        self.sizes = np.array([len(t) for t in self.target], np.int64)
+        self.codes, self.begin = _codes("".join(self.target)), np.cumsum(self.sizes) - self.sizes
 
     def _risky(self) -> np.ndarray:
         """Whether a target holds a term, is part of one, begins or ends as one ends or begins, or has other edges than its term."""
@@ -217,36 +233,68 @@ class Overrides:
             count += n
         return text, count
 
+    def _replaced(self, line: np.ndarray, start: np.ndarray, end: np.ndarray, term: np.ndarray, marks: np.ndarray) -> tuple[str, np.ndarray]:
+        """The line with its matches (ascending, apart) replaced, and where the places in marks, none inside a match, have moved."""
+        size = self.sizes[term]
+        shift = np.concatenate([[0], np.cumsum(size - (end - start))])  # of what stands behind so many matches
+        stay = np.ones(len(line), bool)
+        owner, inside = _spread(end - start)
+        stay[start[owner] + inside] = False
+        place = np.flatnonzero(stay)
+        out = np.empty(len(line) + int(shift[-1]), np.uint32)
+        out[place + shift[np.searchsorted(end, place, "right")]] = line[place]
+        owner, inside = _spread(size)
+        out[(start + shift[:-1])[owner] + inside] = self.codes[self.begin[term[owner]] + inside]
+        return out.tobytes().decode("utf-32-le", "surrogatepass"), marks + shift[np.searchsorted(end, marks, "right")]
+
     def apply(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """(replaced texts, replacements in each)."""
-        out, counts = [], []
-        for text, found in zip(texts, self.matcher.spans(texts)):
-            if any(self.risky[k] for _, _, k in found):
-                text, n = self._one_by_one(text)
-            else:
-                taken = bytearray(len(text))
-                kept = []
-                for a, b, k in sorted(found, key=lambda m: (m[2], m[0])):
-                    if not any(taken[a:b]):
-                        taken[a:b] = b"\x01" * (b - a)
-                        kept.append((a, b, k))
-                pieces, at, n = [], 0, len(kept)
-                for a, b, k in sorted(kept):
-                    pieces += [text[at:a], self.target[k]]
-                    at = b
-                text = "".join([*pieces, text[at:]])
-            out.append(text)
-            counts.append(n)
+        if not texts or not self.source:
+            return list(texts), [0] * len(texts)
+        line, starts = laid(texts)
+        text, start, end, term = self.matcher.find_laid(line, starts)
+        risky = np.bincount(text[self.risky[term]], minlength=len(texts)) > 0
+        sure = ~risky[text]
+        start, end, term = _first_held(start[sure], end[sure], term[sure])
+        counts = np.bincount(np.searchsorted(starts, start, "right") - 1, minlength=len(texts)).tolist()
+        new, moved = self._replaced(line, start, end, term, starts)
+        out = [new[a : b - 1] for a, b in zip(moved[:-1].tolist(), moved[1:].tolist())]
+        for i in np.flatnonzero(risky).tolist():
+            out[i], counts[i] = self._one_by_one(texts[i])
         return out, counts
 
+def _first_held(start: np.ndarray, end: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches in order of their start without those that meet one of an earlier term, or of the same term further left, that stays."""
+    order = np.lexsort((term, start))
+    start, end, term = start[order], end[order], term[order]
+    if not len(start):
+        return start, end, term
+    past = np.maximum.accumulate(end)
+    meets = np.concatenate([[False], start[1:] < past[:-1]])  # begins inside one before it
+    held = ~(meets | np.concatenate([meets[1:], [False]]))  # alone
+    group = np.cumsum(~meets)
+    some = np.flatnonzero(~held)
+    own: list[tuple[int, list]] = []
+    for g, k, a, b, i in zip(group[some].tolist(), term[some].tolist(), start[some].tolist(), end[some].tolist(), some.tolist()):
+        if not own or own[-1][0] != g:
+            own.append((g, []))
+        own[-1][1].append((k, a, b, i))
+    for _, members in own:
+        taken: list[tuple[int, int]] = []
+        for _, a, b, i in sorted(members):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                held[i] = True
+    return start[held], end[held], term[held]
+
 
 def _collected(entries: DataFrame, *columns: str) -> list:
     """The rows of a glossary, at most MAX_TERMS; in the order of seq where it has one, else of its columns."""
-    n = entries.count()
-    if n > MAX_TERMS:
-        raise ValueError(f"a glossary of {n} rows; at most {MAX_TERMS} are sent to tasks")
     order = ["seq", *columns] if "seq" in entries.columns else list(columns)
-    return entries.orderBy(*order).select(*columns).collect()
+    rows = entries.orderBy(*order).select(*columns).limit(MAX_TERMS + 1).collect()  # one pass over what the entries are made from
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a glossary of more than {MAX_TERMS} rows; at most so many are sent to tasks")
+    return rows
 
 
 def override(df: DataFrame, entries: DataFrame, column: str = "text", reverse: bool = False) -> DataFrame:
@@ -290,18 +338,19 @@ def term_spans(df: DataFrame, terms: DataFrame, column: str = "text") -> DataFra
 
 
 def _with_texts(df: DataFrame, column: str, sent, more: str, run) -> DataFrame:
-    """df with one more column, and maybe new texts, made by run(sent value, texts) a batch at a time."""
+    """df with one more column, and maybe new texts, made by run(sent value, texts) a slice of a batch at a time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     place = [f.name for f in df.schema.fields].index(column)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = sent.value
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            new, extra = run(value, [t or "" for t in texts])
-            arrays = list(batch.columns)
-            if new is not None:
-                arrays[place] = pa.array([None if old is None else t for old, t in zip(texts, new)], batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays([*arrays, extra], names=[*batch.schema.names, more.split()[0]])
+            for part in slices(batch, place, SLICE_CHARS):
+                texts = part.column(place).to_pylist()
+                new, extra = run(value, [t or "" for t in texts])
+                arrays = list(part.columns)
+                if new is not None:
+                    arrays[place] = pa.array([None if old is None else t for old, t in zip(texts, new)], part.schema.field(place).type)
+                yield pa.RecordBatch.from_arrays([*arrays, extra], names=[*part.schema.names, more.split()[0]])
 
     return df.mapInArrow(rows, f"{schema}, {more}")
