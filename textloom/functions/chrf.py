@@ -5,8 +5,8 @@ from __future__ import annotations
 import functools
 import math
 import string
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 CHARS, WORDS, BETA = 6, 2, 2.0
+ORDERS = 4  # of BLEU
+CELLS = 1 << 18  # of a table of n-grams; beyond it they are searched
 
 
 def _tokens(text: str) -> list[str]:
@@ -29,24 +31,78 @@ def _tokens(text: str) -> list[str]:
     return out
 
 
-def _grams(seq, n: int) -> Counter:
-    return Counter(tuple(seq[i : i + n]) for i in range(len(seq) - n + 1))
-
-
-def _chrf_grams(text: str) -> list[Counter]:
-    """Counts of character n-grams (white space left out) for orders 1 to 6, then of word n-grams for 1 and 2."""
-    chars, tokens = "".join(text.split()), _tokens(text)
-    return [Counter(chars[i : i + n] for i in range(len(chars) - n + 1)) for n in range(1, CHARS + 1)] + [_grams(tokens, n) for n in range(1, WORDS + 1)]
-
-
-_reference_grams = functools.lru_cache(32)(_chrf_grams)  # references repeat from row to row
+class _Places:
+    """n-grams of a reference up to an order as numbers from 1; an n-gram's is found from that of its first n - 1 members and its last one.
+
+    Equal n-grams have equal numbers, and 0 is any that the reference lacks, so that shared counts are exact.
+    """
+
+    def __init__(self, ids: np.ndarray, size: int, orders: int):
+        self.size, self.length, self.levels, at = size + 1, len(ids), [], ids
+        for n in range(1, orders + 1):
+            if n > 1:
+                at = at[: max(len(ids) - n + 1, 0)] * self.size + ids[n - 1 :]
+            keys, at, count = np.unique(at, return_inverse=True, return_counts=True)
+            at = at.reshape(-1) + 1
+            cells = (self.levels[-1][0].size + 1 if n > 1 else 1) * self.size
+            table = None
+            if cells <= CELLS:
+                table = np.zeros(cells, np.int32)
+                table[keys] = np.arange(1, len(keys) + 1)
+            self.levels.append((keys, np.concatenate([[0], count]), table))
+
+    def shared(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(n-grams of ids, of the reference, shared) for each order; ids are 0 where the reference has no such member."""
+        out, at = [], ids
+        for n, (keys, count, table) in enumerate(self.levels, 1):
+            if n > 1:
+                at = at[: max(len(ids) - n + 1, 0)].astype(np.int64) * self.size + ids[n - 1 :]
+            if table is not None:
+                got = table[at]
+            elif len(keys):
+                got = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                got = np.where(keys[got] == at, got + 1, 0)
+            else:
+                got = np.zeros(len(at), np.int64)
+            if n > 1:
+                got = got * (last[: len(got)] > 0)  # a key of prefix 0 is none
+            seen = np.bincount(got, minlength=len(count))
+            out.append((len(got), max(self.length - n + 1, 0), int(np.minimum(seen, count)[1:].sum())))
+            at = last = got
+        return out
+
+
+def _numbered(members) -> tuple[dict, np.ndarray]:
+    number = {m: i for i, m in enumerate(dict.fromkeys(members), 1)}
+    return number, np.array([number[m] for m in members], np.int64)
+
+
+def _codes(chars: str) -> np.ndarray:
+    return np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@functools.lru_cache(32)  # references repeat from row to row
+def _reference(ref: str) -> tuple:
+    """Of a reference: its distinct characters, and places of characters, of tokens, and of words."""
+    letters, ids = np.unique(_codes("".join(ref.split())), return_inverse=True)
+    chars = _Places(ids.reshape(-1).astype(np.int64) + 1, len(letters), CHARS)
+    (tokens, token_ids), (words, word_ids) = _numbered(_tokens(ref)), _numbered(ref.split())
+    return letters, chars, tokens, _Places(token_ids, len(tokens), WORDS), words, _Places(word_ids, len(words), ORDERS)
+
+
+def _ids(number: dict, members: list[str]) -> np.ndarray:
+    return np.array([number.get(m, 0) for m in members], np.int64)
 
 
 def chrf_counts(hyp: str, ref: str) -> list[int]:
     """(n-grams of hyp, of ref, shared) for each order: characters 1 to 6, then words 1 and 2."""
+    letters, chars, tokens, pairs, *_ = _reference(ref)
+    codes = _codes("".join(hyp.split()))
+    at = np.minimum(np.searchsorted(letters, codes), max(len(letters) - 1, 0))
+    ids = np.where(letters[at] == codes, at + 1, 0) if len(letters) else np.zeros(len(codes), np.int64)
     out = []
-    for x, y in zip(_chrf_grams(hyp), _reference_grams(ref)):
-        out += [x.total() if y else 0, y.total(), sum(min(c, y[g]) for g, c in x.items() if g in y)]
+    for x, y, shared in [*chars.shared(ids), *pairs.shared(_ids(tokens, _tokens(hyp)))]:
+        out += [x if y else 0, y, shared]
     return out
 
 
@@ -86,21 +142,14 @@ def drift(original: Column, back: Column, floor: float = 40.0) -> Column:
 
 def bleu_counts(hyp: str, ref: str) -> list[int]:
     """Lengths of hyp and ref, then (shared, all) n-grams of hyp for orders 1 to 4, over white-space tokens."""
+    *_, words, places = _reference(ref)
     a = hyp.split()
-    size, grams = _reference_words(ref)
-    out = [len(a), size]
-    for n, y in enumerate(grams, 1):
-        x = _grams(a, n)
-        out += [sum(min(c, y[g]) for g, c in x.items() if g in y), x.total()]
+    out = [len(a), places.length]
+    for n, _, shared in places.shared(_ids(words, a)):
+        out += [shared, n]
     return out
 
 
-@functools.lru_cache(32)
-def _reference_words(ref: str) -> tuple[int, list[Counter]]:
-    b = ref.split()
-    return len(b), [_grams(b, n) for n in range(1, 5)]
-
-
 def bleu_score(counts) -> float:
     """Geometric mean of the four precisions (an order without a match halves 1/n each time) with the brevity penalty, in percent."""
     hyp, ref, logs, halves = counts[0], counts[1], 0.0, 1.0

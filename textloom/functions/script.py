@@ -5,13 +5,19 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
+from textloom.operators.slices import parts
+
+SLICE_BYTES = 1 << 20  # of texts that are Python objects at once
+
 # Classes of characters and typing rules in the order in which they are tried; fixed values.
 GRAPHEME = "[অ-হৎড়-য়](?:্[অ-হড়-য়])*[া-ৌৗ]?[ঁ-ঃ]?|[^\n]"
 ORPHAN = "(?<![ক-হড়-য়])্|্(?![ক-হড়-য়])"
@@ -41,9 +47,13 @@ def broken(c: Column) -> Column:
     return F.flatten(F.transform(lines, lambda x: F.concat(*[found(x, *k) for k in kinds])))
 
 
-@pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in texts])
+@arrow_udf(StringType())
+def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for part in parts(texts, SLICE_BYTES):
+            own = part.to_pylist()
+            composed = all(t is None or unicodedata.is_normalized("NFC", t) for t in own)
+            yield part if composed else pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in own], pa.string())
 
 
 def normalize(c: Column) -> Column:

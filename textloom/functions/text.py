@@ -35,12 +35,23 @@ def reading_minutes(word_count: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes as B, KB (one decimal), MB or GB (two)."""
+    """Bytes as B, KB (one decimal), MB or GB (two); a half goes to the even digit, as in C; null for null."""
+    n = n.cast("long")
+
+    def scaled(shift: int, digits: int, unit: str) -> Column:
+        whole = F.shiftright(n, shift)
+        part = (n - F.shiftleft(whole, shift)) * 10**digits
+        low = F.shiftright(part, shift)
+        rest, half = part - F.shiftleft(low, shift), F.lit(1 << (shift - 1))
+        low = low + F.when((rest > half) | ((rest == half) & (low % 2 == 1)), 1).otherwise(0)
+        whole, low = whole + F.floor(low / 10**digits), low % 10**digits
+        return F.concat(whole.cast("string"), F.lit("."), F.lpad(low.cast("string"), digits, "0"), F.lit(unit))
+
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.concat(F.format_string("%.1f", n / F.lit(1024.0)), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_string("%.2f", n / F.lit(1024.0**2)), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.2f", n / F.lit(1024.0**3)), F.lit(" GB")))
+        .when(n < 1024**2, scaled(10, 1, " KB"))
+        .when(n < 1024**3, scaled(20, 2, " MB"))
+        .otherwise(scaled(30, 2, " GB"))
     )
 
 

@@ -9,12 +9,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batch: pa.RecordBatch, place: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in order, in parts whose texts (column `place`) have at most so many bytes; a longer text is a part of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def parts(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts in order, in parts of at most so many bytes; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
-    while lo < batch.num_rows:
+    while lo < len(texts):
         past = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, past + size, "right")))
-        yield batch.slice(lo, hi - lo)
+        yield texts.slice(lo, hi - lo)
         lo = hi
+
+
+def slices(batch: pa.RecordBatch, place: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in the parts of its texts, column `place`."""
+    lo = 0
+    for part in parts(batch.column(place), size):
+        yield batch.slice(lo, len(part))
+        lo += len(part)
+
+
+def structs(counts: list[int], **fields: pa.Array) -> pa.Array:
+    """An array of lists of structs, so many in each, from flat fields."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))

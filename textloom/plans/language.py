@@ -108,7 +108,8 @@ def segment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.lit("# "), marked, F.lit("\n| a1 | b. c |\n|---|---|"))
     docs = table(spark, sf_dir, "documents").where("text != ''").repartition(spark.sparkContext.defaultParallelism)  # a file of one row group is one task
     d = docs.select("doc_id", marked.alias("text")).withColumn("s", segment.segments(F.col("text")))
-    rows = d.select("doc_id", (segment.rejoin(F.col("s")) == F.col("text")).alias("whole"), F.explode("s").alias("s"))
+    d = d.select((segment.rejoin(F.col("s")) == F.col("text")).alias("whole"), "s")  # once a document, not beside each of its segments
+    rows = d.select("whole", F.explode("s").alias("s"))
     return rows.groupBy("s.label", "s.kind").agg(F.count("*").alias("segments"), F.sum(F.length("s.text")).alias("chars"), F.bool_and("whole").alias("lossless"))
 
 

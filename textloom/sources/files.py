@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.slices import slices
 from textloom.sources import formats, info, registry
 
+SLICE_BYTES = 1 << 20  # of pages that are held as Python objects at once
 SCHEMA = "path string, name string, size long, markdown string, title string, success boolean, error string"
 
 
@@ -45,14 +48,17 @@ def convert(files: DataFrame, readers: registry.Registry | None = None, **option
 def html_to_markdown(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with markdown and title of an HTML column; null stays null. Columns of these names are replaced."""
     own = [f for f in pages.schema if f.name.lower() not in ("markdown", "title")]
+    names = [f.name for f in own]
 
     def run(batches):
-        for pdf in batches:
-            got = [(None, None) if h is None else formats.read_html(h.encode()) for h in pdf[column]]
-            yield pdf[[f.name for f in own]].assign(markdown=[formats.normalize(m) if m is not None else None for m, _ in got], title=[t for _, t in got])
+        for batch in batches:
+            for part in slices(batch, batch.schema.names.index("__html"), SLICE_BYTES):
+                got = [(None, None) if h is None else formats.read_html(h.encode()) for h in part.column("__html").to_pylist()]
+                made = [pa.array([formats.normalize(m) if m is not None else None for m, _ in got], pa.string()), pa.array([t for _, t in got], pa.string())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, "markdown", "title"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", markdown string, title string"
-    return pages.mapInPandas(run, schema)
+    return pages.select(*[F.col(f"`{c}`") for c in names], F.col(column).cast("string").alias("__html")).mapInArrow(run, schema)
 
 
 def route(names: DataFrame) -> DataFrame:
