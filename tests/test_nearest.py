@@ -91,3 +91,10 @@ def test_places(spark):
     got = df.orderBy("id").select(places.places(F.col("text"), "[0-9]+").alias("p")).collect()
     assert [(p.line, p.col, p.text) for p in got[0].p] == [(1, 2, "1"), (3, 3, "22"), (3, 6, "3"), (4, 2, "4"), (5, 1, "5")]
     assert all(text[p.start : p.end] == p.text for p in got[0].p) and got[1].p == [] == got[2].p
+
+
+def test_subsequence_bound():
+    vocabulary = nearest.Vocabulary(["abcd", "dcba", "xabxcd", "a" * 70, "zz"])  # sorted
+    assert vocabulary.words[1:] == ["abcd", "dcba", "xabxcd", "zz"]
+    every = nearest.np.arange(5)
+    assert vocabulary._common("abcd", every).tolist() == [nearest.BITS, 4, 1, 4, 0] and vocabulary._common("b" * 64, every[1:]).tolist() == [1, 1, 1, 0]

@@ -4,8 +4,8 @@ The ratio of two words of a and b letters is 2m / (a + b), m the letters in thei
 have no more of a letter than both words, so m is at most the common letters. And m letters in j blocks share m - j pairs of
 neighbours, while each of the j - 1 gaps costs one of the a + b - 2m letters left over: with p common pairs, 3m is at most p + 1 + a + b.
 A word is a row of zeros and ones over (letter, occurrence) and (pair, occurrence), pairs hashed, which only raises p; matrix
-products of a block of words with the vocabulary give both bounds for all of it, and pairs of words are
-compared best bound first, until no bound left reaches the cutoff or the k-th ratio found.
+products of a block of words with the vocabulary give both bounds for all of it. What they leave gets a third: the blocks are a
+common subsequence, so m is at most the longest one, found for all these words at once. Pairs of words are compared best bound first, until no bound left reaches the cutoff or the k-th ratio found.
 
 The vocabulary is counted before it is collected and sent: more than MAX_WORDS distinct words raise. Words of the corpus are made
 distinct first, so each is looked up once however often it stands there; nothing else is shuffled.
@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import places, script
+from textloom.operators.written import written
 
 MAX_WORDS = 500_000
 BLOCK = 128  # words looked up at once
 SLICE = 20_000  # of the vocabulary compared at once: a product has BLOCK * SLICE cells
+BITS = 64
 BUCKETS, TIMES = 256, 2  # of pairs of neighbours; a pair that stands more often counts as common as often as it does
 NEAREST = "word string, match string, ratio double, rank long"
 
@@ -43,6 +45,8 @@ class Vocabulary:
                     self.columns.setdefault((c, k), len(self.columns))
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self._slices: list[tuple] = []
+        self.number = {c: i for i, c in enumerate(sorted({c for c, _ in self.columns}), 1)}
+        self._grid: np.ndarray | None = None
 
     def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letters, pairs, pairs beyond TIMES) of words."""
@@ -73,6 +77,26 @@ class Vocabulary:
             m = np.minimum(letters @ theirs.T.astype(np.float32), np.floor((p + 1 + both) / 3))
             yield at, np.where(both > 0, 2.0 * m / np.maximum(both, 1), 1.0)
 
+    def _common(self, word: str, options: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of a word of up to BITS letters and some vocabulary words (BITS for longer ones): a bit for each
+        letter of the word, all vocabulary words advance one letter at a time."""
+        if self._grid is None:
+            width = min(int(self.sizes.max(initial=0)), BITS)
+            self._grid = np.zeros((len(self.words), width), np.int32)
+            for i, w in enumerate(self.words):
+                if len(w) <= BITS:
+                    self._grid[i, : len(w)] = [self.number[c] for c in w]
+        masks = np.zeros(len(self.number) + 1, np.uint64)
+        for i, c in enumerate(word):
+            if c in self.number:
+                masks[self.number[c]] |= np.uint64(1 << i)
+        own = masks[self._grid[options]]
+        left = np.full(len(options), np.iinfo(np.uint64).max, np.uint64)  # bits not yet matched
+        for j in range(min(int(self.sizes[options].max(initial=0)), own.shape[1])):
+            met = left & own[:, j]
+            left = (left + met) | (left - met)
+        return np.where(self.sizes[options] > BITS, BITS, 64 - np.bitwise_count(left).astype(np.int64))
+
     def nearest(self, words: list[str], k: int, cutoff: float) -> tuple[list[list[tuple[str, float]]], int]:
         """For each word at most k (match, ratio) of cutoff at least, highest ratio first and of equal ones the greater word; and how many pairs were compared."""
         parts = list(self.bounds(words))
@@ -80,6 +104,10 @@ class Vocabulary:
         out, compared = [], 0
         for word, bound in zip(words, upper):
             options = np.flatnonzero(bound >= cutoff - 1e-9)
+            if 0 < len(word) <= BITS and len(options):
+                bound = bound.copy()
+                bound[options] = np.minimum(bound[options], 2.0 * self._common(word, options) / (len(word) + self.sizes[options]))
+                options = options[bound[options] >= cutoff - 1e-9]
             options = options[np.argsort(-bound[options], kind="stable")]
             matcher = difflib.SequenceMatcher()
             matcher.set_seq2(word)
@@ -141,14 +169,15 @@ def spelling(docs: DataFrame, vocabulary: DataFrame, k: int = 4, pattern: str =
     composed form. Suggestions are the k nearest of ratio 0.6, else of 0.55 to the word without its ending; a word of more than
     two letters that has no suggestion and whose stem is known is none of the report. Null texts have no words.
     """
+    vocabulary = written(vocabulary.select("word").distinct())  # this and the words' forms are read several times: else each reader's plan holds all of the others'
     known = vocabulary_of(vocabulary)
     words = docs.select("doc_id", F.explode(places.places(F.col("text"), pattern)).alias("p")).select("doc_id", "p.line", "p.col", F.col("p.text").alias("word"))
     words = words.where((F.length("word") > 1) & ~F.col("word").rlike("^[০-৯]+$")).withColumn("form", script.nfc("word"))
     forms = words.select("form", (F.length("word") > 2).alias("long")).groupBy("form").agg(F.max("long").alias("long"))
-    forms = forms.join(vocabulary.select(F.col("word").alias("form")).distinct(), "form", "left_anti")
+    forms = written(forms.join(vocabulary.select(F.col("word").alias("form")), "form", "left_anti"))
     stem = F.regexp_replace("form", endings, "")
     first = _suggested(_lookup(forms.select(F.col("form").alias("word")), known, k, 0.6), "form", "direct")
-    forms = forms.join(first, "form", "left").withColumn("stem", F.when(F.col("direct").isNull() & F.col("long"), stem))
+    forms = written(forms.join(first, "form", "left")).withColumn("stem", F.when(F.col("direct").isNull() & F.col("long"), stem))
     missed = forms.where("stem IS NOT NULL").select(F.col("stem").alias("word")).distinct()
     second = _suggested(_lookup(missed, known, k, 0.55), "stem", "retried")
     stems = vocabulary.select(F.col("word").alias("stem"), F.lit(True).alias("is_known")).where("stem != ''").distinct()
