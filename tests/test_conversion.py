@@ -50,6 +50,16 @@ def test_form_page(spark):
     assert one(spark, forms.join_numbering(F.lit(".1\n\n a\nb\n.2\n"))) == ".1 a\nb\n.2\n"
 
 
+def test_form_pages_are_made_once(spark):
+    """One shuffle and no join back: a page without a name keeps its Markdown; rows of the same height and unsorted words stand in order."""
+    w = [(None, 1, f"c{r}{c}", float(x), float(x + 30), r * 12.0) for r in (3, 1, 0, 2) for c, x in ((2, 400), (0, 50), (1, 200))] + [(None, 1, "between", 50.0, 90.0, 18.0)]
+    out = forms.form_pages(spark.createDataFrame(w, "doc string, page int, text string, x0 double, x1 double, top double"))
+    head = ["| --- | --- | --- |", "| c10 | c11 | c12 |"]
+    assert [r.markdown.split("\n") for r in out.collect()] == [["| c00 | c01 | c02 |", *head, "between", "| c20 | c21 | c22 |", "| --- | --- | --- |", "| c30 | c31 | c32 |"]]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+
+
 def test_calibration_edges(spark):
     none = spark.createDataFrame([], "score double, good boolean")
     r = quality.calibrate(none).first()

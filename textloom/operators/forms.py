@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.bengali import bind
 from textloom.operators.layout import clusters
 
 #: Points, shares and counts of the form rules; fixed values.
@@ -18,20 +19,21 @@ NUMBERING = "^\\.\\d+$"
 
 def cell_of(x: Column, columns: Column) -> Column:
     """Range join of a place with its columns: the first whose next column begins more than EDGE beyond x, else the last."""
-    before = F.filter(F.sequence(F.lit(0), F.size(columns) - 1), lambda i: x < F.coalesce(F.get(columns, i + 1), F.lit(float("inf"))) - EDGE)
-    return F.when(F.size(columns) > 0, F.coalesce(F.get(before, F.lit(0)), F.size(columns) - 1))
+    later = F.array_position(F.transform(F.slice(columns, 2, F.greatest(F.size(columns) - 1, F.lit(0))), lambda c: x < F.coalesce(c, F.lit(float("inf"))) - EDGE), F.lit(True))
+    return F.when(F.size(columns) > 0, F.coalesce(F.nullif(later, F.lit(0)), F.size(columns)).cast("int") - 1)
 
 
 def aligned(xs: Column, columns: Column) -> Column:
     """How many columns are the first within NEAR of some x."""
-    first = F.transform(xs, lambda x: F.get(F.filter(F.sequence(F.lit(0), F.size(columns) - 1), lambda i: F.abs(x - F.get(columns, i)) < NEAR), F.lit(0)))
+    first = F.transform(xs, lambda x: F.nullif(F.array_position(F.transform(columns, lambda c: F.abs(x - c) < NEAR), F.lit(True)), F.lit(0)))
     return F.when(F.size(columns) > 0, F.size(F.array_distinct(F.array_compact(first)))).otherwise(0)
 
 
 def tolerance(xs: Column) -> Column:
     """Gap that parts columns of sorted places: the 70th percentile of gaps over 5, held within 25 to 50; 35 under three gaps."""
-    gaps = F.array_sort(F.filter(F.zip_with(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), lambda a, b: a - b), lambda g: g > 5))
-    return F.when(F.size(gaps) < 3, F.lit(35.0)).otherwise(F.least(F.greatest(F.get(gaps, F.floor(F.size(gaps) * 0.7).cast("int")), F.lit(25.0)), F.lit(50.0)))
+    later, earlier = F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0)))
+    wide = F.sort_array(F.filter(F.zip_with(later, earlier, lambda a, b: a - b), lambda g: g > 5))
+    return bind(wide, lambda gaps: F.when(F.size(gaps) < 3, F.lit(35.0)).otherwise(F.least(F.greatest(F.get(gaps, F.floor(F.size(gaps) * 0.7).cast("int")), F.lit(25.0)), F.lit(50.0))))
 
 
 def is_form(columns: Column, width: Column) -> Column:
@@ -64,12 +66,19 @@ def aligned_table(rows: Column, separator: bool = True) -> Column:
 
 
 def page_rows(words: DataFrame) -> DataFrame:
-    """doc, page, rows: a page's rows by height, each with its words in x order, text, starts of word groups and kind."""
+    """doc, page, rows: a page's rows by height, each with its words in x order, text and starts of word groups. One shuffle."""
     y = F.bround(F.col("top") / ROW_HEIGHT) * ROW_HEIGHT
-    w = words.withColumn("y", y).groupBy("doc", "page", "y").agg(F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x0"), "text", F.col("x1").cast("double").alias("x1")))).alias("words"))
-    xs = F.transform("words", lambda t: t["x0"])
-    w = w.withColumn("text", F.array_join(F.transform("words", lambda t: t["text"]), " ")).withColumn("groups", clusters(xs, GROUP_GAP))
-    return w.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("y", "words", "text", "groups"))).alias("rows"))
+    w = words.select("doc", "page", F.struct(y.alias("y"), F.col("x0").cast("double").alias("x0"), "text", F.col("x1").cast("double").alias("x1")).alias("w"))
+    w = w.groupBy("doc", "page").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    begins = lambda i: (i == 0) | ~F.get("w", i)["y"].eqNullSafe(F.get("w", i - 1)["y"])
+    line = lambda t: F.struct(t.alias("words"), F.array_join(F.transform(t, lambda x: x["text"]), " ").alias("text"), clusters(F.transform(t, lambda x: x["x0"]), GROUP_GAP).alias("groups"))
+    rows = bind(F.filter(F.sequence(F.lit(0), F.size("w") - 1), begins), lambda at: _pieces(at, F.size("w"), lambda i, j: bind(F.slice("w", i + 1, j - i), line)))
+    return w.select("doc", "page", rows.alias("rows"))
+
+
+def _pieces(starts: Column, n: Column, f) -> Column:
+    """f of first place and end of each piece of n places; a piece ends where the next one starts."""
+    return F.zip_with(starts, F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n)), f)
 
 
 def form_pages(words: DataFrame, width: float = PAGE_WIDTH) -> DataFrame:
@@ -77,45 +86,46 @@ def form_pages(words: DataFrame, width: float = PAGE_WIDTH) -> DataFrame:
 
     A page is one if its rows of three groups or more give form-like columns and a fifth of its rows are table rows: neither
     paragraphs nor numbered items, and with words at two columns or more. Words tie by text. Pages without words are absent.
+    What an inner function needs of the page is bound outside it, so that it is made once a page, not once a word.
     """
     p = page_rows(words)
-    kind = lambda r: F.struct(
-        r["words"].alias("words"), r["text"].alias("text"), r["groups"].alias("groups"),
-        ((F.element_at(r["words"], -1)["x1"] - F.element_at(r["words"], 1)["x0"] > width * PARAGRAPH_SHARE) & (F.length(r["text"]) > PARAGRAPH_CHARS)).alias("paragraph"),
-        F.trim(F.element_at(r["words"], 1)["text"]).rlike(NUMBERING).alias("numbered"),
-    )
-    p = p.withColumn("rows", F.transform("rows", kind))
-    p = p.withColumn("xs", F.array_sort(F.flatten(F.transform(F.filter("rows", lambda r: (F.size(r["groups"]) >= 3) & ~r["paragraph"]), lambda r: r["groups"]))))
-    p = p.withColumn("gap", tolerance(F.col("xs"))).withColumn("columns", _clusters_by("xs", "gap"))
+    paragraph = lambda r: (F.element_at(r["words"], -1)["x1"] - F.element_at(r["words"], 1)["x0"] > width * PARAGRAPH_SHARE) & (F.length(r["text"]) > PARAGRAPH_CHARS)
+    starts = F.sort_array(F.flatten(F.transform(F.filter("rows", lambda r: (F.size(r["groups"]) >= 3) & ~paragraph(r)), lambda r: r["groups"])))
+    p = p.withColumn("columns", bind(starts, lambda xs: bind(tolerance(xs), lambda gap: _clusters_by(xs, gap))))
     form = is_form(F.col("columns"), F.lit(width))
-    flag = lambda r: ~r["paragraph"] & ~r["numbered"] & (aligned(F.transform(r["words"], lambda t: t["x0"]), F.col("columns")) >= 2)
+    numbered = lambda r: F.trim(F.element_at(r["words"], 1)["text"]).rlike(NUMBERING)
+    flag = lambda r: F.coalesce(~paragraph(r) & ~numbered(r) & (aligned(F.transform(r["words"], lambda t: t["x0"]), F.col("columns")) >= 2), F.lit(False))
     p = p.withColumn("flags", F.transform("rows", flag)).withColumn("table_rows", F.size(F.filter("flags", lambda x: x)))
     p = p.withColumn("form", F.coalesce(form & (F.col("table_rows") >= TABLE_SHARE * F.size("rows")), F.lit(False)))
-    n = F.size("columns")
-    cells = lambda r: F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.array_join(F.transform(F.filter(r["words"], lambda t: cell_of(t["x0"], F.col("columns")) == c), lambda t: t["text"]), " "))
-    p = p.withColumn("cells", F.when(F.col("form"), F.transform("rows", cells)))
-    # regions: a running number of each run of table rows, null outside
-    runs = F.aggregate("flags", F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct(
-        F.when(x & ~a["inside"], a["n"] + 1).otherwise(a["n"]).alias("n"), x.alias("inside"), F.concat(a["out"], F.array(F.when(x, F.when(a["inside"], a["n"]).otherwise(a["n"] + 1)))).alias("out")), lambda a: a["out"])
-    lines = p.select("doc", "page", F.posexplode(F.when(F.col("form"), F.arrays_zip(F.col("cells").alias("cells"), F.transform("rows", lambda r: r["text"]).alias("text"), runs.alias("run")))).alias("at", "x"))
-    tables = lines.where("x.run is not null").groupBy("doc", "page", "x.run").agg(F.min("at").alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x.cells"))), lambda r: r["cells"]).alias("rows"))
-    parts = tables.select("doc", "page", "at", _form_table(F.col("rows")).alias("text")).unionByName(lines.where("x.run is null").select("doc", "page", "at", "x.text"))
-    text = parts.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), "\n").alias("markdown"))
-    return p.select("doc", "page", "columns", "table_rows", F.size("rows").alias("rows")).join(text, ["doc", "page"], "left")
-
-
-def _clusters_by(xs: str, gap: str) -> Column:
+    # a part is a plain row, or a run of table rows
+    begins = F.filter(F.sequence(F.lit(0), F.size("flags") - 1), lambda i: (i == 0) | ~F.get("flags", i) | ~F.get("flags", i - 1))
+    part = lambda i, j: F.when(F.get("flags", i), bind(F.transform(F.slice("rows", i + 1, j - i), lambda r: _cells(r["words"], F.col("columns"))), _form_table)).otherwise(F.get("rows", i)["text"])
+    markdown = bind(begins, lambda at: F.array_join(_pieces(at, F.size("flags"), part), "\n"))
+    p = p.withColumn("markdown", F.when(F.col("form"), markdown))
+    return p.select("doc", "page", "columns", "table_rows", F.size("rows").alias("rows"), "markdown")
+
+
+def _cells(words: Column, columns: Column) -> Column:
+    """The text of a row's words by column; each word's column is looked up once."""
+    placed = F.transform(words, lambda t: F.struct(cell_of(t["x0"], columns).alias("c"), t["text"].alias("text")))
+    return bind(placed, lambda w: F.transform(F.sequence(F.lit(0), F.size(columns) - 1), lambda c: F.array_join(F.transform(F.filter(w, lambda t: t["c"] == c), lambda t: t["text"]), " ")))
+
+
+def _clusters_by(xs: Column, gap: Column) -> Column:
     empty = F.array().cast("array<double>")
-    return F.aggregate(xs, empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) > F.col(gap)), F.concat(a, F.array(x))).otherwise(a))
+    return F.aggregate(xs, empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.get(a, F.size(a) - 1) > gap), F.concat(a, F.array(x))).otherwise(a))
 
 
 def _form_table(rows: Column) -> Column:
     n = F.size(F.element_at(rows, 1))
     widths = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.lit(3), F.array_max(F.transform(rows, lambda r: F.length(F.get(r, i))))))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, widths, lambda c, w: F.rpad(c, w, " ")), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
-    lines = F.transform(rows, line)
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+
+    def table(widths: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, widths, lambda c, w: F.rpad(c, w, " ")), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
+        return bind(F.transform(rows, line), lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))), "\n"))
+
+    return bind(widths, table)
 
 
 def join_numbering(text: Column) -> Column:

@@ -17,7 +17,7 @@ def rows(words: DataFrame) -> DataFrame:
 def clusters(xs: Column, tolerance: float) -> Column:
     """Starts of 1-d clusters of a sorted array: a new one begins farther than tolerance from the last start."""
     empty = F.array().cast("array<double>")
-    return F.aggregate(xs, empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(F.concat(F.array(F.lit(0.0)), a), -1) > tolerance), F.concat(a, F.array(x))).otherwise(a))
+    return F.aggregate(xs, empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.get(a, F.size(a) - 1) > tolerance), F.concat(a, F.array(x))).otherwise(a))
 
 
 def nearest_column(words: DataFrame, columns: DataFrame) -> DataFrame:
