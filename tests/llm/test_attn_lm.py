@@ -140,6 +140,23 @@ def test_windows_grow_with_the_texts_and_reach_all_of_them():
     assert (ids[-25:] >= 0).all()  # inside a long text a window has its whole past
 
 
+def test_every_id_is_learned_from_once():
+    """The targets of all windows are the ids of the training texts, each with the ids before it."""
+    rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(7 * i))) for i in range(60)] + [(60, ""), (61, "long tail " * 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    sub = A.Subwords(A.default_vocabulary())
+    got, want = [], []
+    for part in range(A.ROUNDS):
+        for out in A._windower(A.default_vocabulary(), part)([batch]):
+            for line in np.frombuffer(b"".join(out.column(1).to_pylist()), np.int32).reshape(-1, 2 * A.STRIDE + 1).tolist():
+                got += [tuple(min(x, sub.end) for x in line[n - A.STRIDE : n + 1] if x >= 0) for n in range(A.STRIDE + 1, len(line)) if 0 <= line[n] <= sub.end]
+    for i, t in rows:
+        if not A.is_held_out(i):
+            ids = [sub.end, *sub.sequences(A._chunk_words(pa.array([t])))[0].tolist()]
+            want += [tuple(ids[max(0, n - A.STRIDE) : n + 1]) for n in range(1, len(ids))]
+    assert sorted(got) == sorted(want)
+
+
 def test_a_late_source_is_learned(spark, monkeypatch):
     """Texts that the bounded sample lacks change the weights."""
     monkeypatch.setattr(A, "SAMPLE_TEXTS", 3)

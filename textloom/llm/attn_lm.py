@@ -9,8 +9,8 @@ Model. A public tokenizer's vocabulary gives subword ids (words with a space bef
 lowered, and an end id). One attention layer with relative position biases reads the previous ids and predicts the
 next one's class; an id's share of its class comes from counts over all training texts, so the
 probabilities of all ids sum to 1. It is trained in numpy by Adam: a first fit on a bounded sample of
-passages gives a common start, then windows drawn from every training text, their number in proportion to
-its length, are dealt into groups of equal size that are learned from side by side and averaged. Scoring takes windows of 2 * STRIDE ids that overlap by half: each id is scored once, with STRIDE to
+passages gives a common start, then every id of every training text is learned from once: a task cuts the windows of its
+texts, with a past of STRIDE to 2 * STRIDE - 1 ids as in scoring, into groups that are learned from side by side and averaged. Scoring takes windows of 2 * STRIDE ids that overlap by half: each id is scored once, with STRIDE to
 2 * STRIDE - 1 ids of context where the text has them, in masked batches.
 """
 
@@ -39,9 +39,9 @@ SAMPLE_TEXTS, PASSAGE, SAMPLE_IDS = 1500, 4000, 160_000  # training texts, chara
 WIDTH, ROWS, CLASSES, STRIDE = 16, 4096, 64, 16
 STEPS, BATCH = 260, 96
 
-#: Windows of all training texts: one in each started STRETCH characters, cut from a piece of PIECE characters. Groups of
-#: GROUP windows are learned from side by side, and their changes averaged, ROUNDS times.
-STRETCH, PIECE, GROUP, ROUNDS, PARTS = 4000, 400, BATCH * STEPS, 2, 16
+#: Windows of all training texts: each id is a target once; those of a started STRETCH characters are a row. A text is learned from in
+#: one of ROUNDS rounds. Groups of GROUP windows, LESSON at once, are learned from side by side, and their changes averaged.
+STRETCH, LESSON, GROUP, ROUNDS, PARTS = 4000, 512, 512 * STEPS // 2, 2, 16
 
 
 def is_held_out(doc_id) -> bool:
@@ -137,6 +137,20 @@ def _ones(n: int) -> np.ndarray:
     return np.ones((n, 1), np.float32)
 
 
+def _row_sums(rows: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
+    """Tables of ROWS sums of the vectors of each part by row; the vectors are put in order of rows first."""
+    rows = rows.ravel().astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out = []
+    for d in parts:
+        table = np.zeros((ROWS, d.shape[-1]), d.dtype)
+        table[rows[first]] = np.add.reduceat(d.reshape(-1, d.shape[-1]).take(order, 0), first, axis=0)
+        out.append(table)
+    return out
+
+
 class AttentionModel:
     """One causal self-attention layer over id embeddings; a softmax over classes, and unigram shares within them."""
 
@@ -166,48 +180,48 @@ class AttentionModel:
         self.gap = np.clip(s - t, 0, 2 * STRIDE - 1)
         self.future = t > s
 
-    def forward(self, x: np.ndarray, valid: np.ndarray):
-        """x: rows of ids (B, 2 * STRIDE), valid: which are there. Log-probabilities of classes after the last STRIDE of them."""
-        p = self.p
-        q, k, v = p["q"][x[:, STRIDE:]], p["k"][x], p["v"][x]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(WIDTH)) + p["dist"][self.gap]
-        s[:, self.future] = -1e9
-        s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(2, keepdims=True)
-        ctx = np.matmul(a, v)
-        h = ctx + p["h"][x[:, STRIDE:]]
-        z = h @ p["out"] + p["bias"]
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return z, (q, k, v, a, h)
-
     def gradient(self, x, valid, y, scored):
-        """Mean negative log-likelihood of classes y where scored, and its gradient."""
-        z, (q, k, v, a, h) = self.forward(x, valid)
-        p, n = self.p, max(1, int(scored.sum()))
-        b, s = np.nonzero(scored)
-        loss = -z[b, s, y[b, s]].mean() if len(b) else 0.0
-        dz = np.exp(z) * scored[:, :, None]
-        dz[b, s, y[b, s]] -= 1
-        dz /= n
-        g = {"out": np.einsum("bsd,bsc->dc", h, dz), "bias": dz.sum((0, 1))}
-        dh = dz @ p["out"].T
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dh)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["dist"] = np.bincount(np.broadcast_to(self.gap, ds.shape).ravel(), weights=ds.ravel(), minlength=2 * STRIDE)
-        ds = ds * (1 / math.sqrt(WIDTH))
-        for name, rows, d in (("q", x[:, STRIDE:], np.matmul(ds, k)), ("k", x, np.matmul(ds.transpose(0, 2, 1), q)), ("v", x, dv), ("h", x[:, STRIDE:], dh)):
-            out = np.zeros((ROWS, WIDTH))
-            np.add.at(out, rows.ravel(), d.reshape(-1, WIDTH))
-            g[name] = out
+        """Mean negative log-likelihood of classes y where scored, and its gradient.
+
+        x: rows of ids (B, 2 * STRIDE), valid: which are there; the classes after the last STRIDE of them are predicted.
+        """
+        p, n, last = self.p, max(1, int(scored.sum())), x[:, STRIDE:]
+        q, k, v = p["q"].take(last, 0), p["k"].take(x, 0), p["v"].take(x, 0)
+        scale = q.dtype.type(1 / math.sqrt(WIDTH))
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= scale
+        a += self._bias()
+        some = np.flatnonzero(~valid.all(1))
+        a[some] += np.where(valid[some], np.float32(0), np.float32(-1e9))[:, None, :]
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        a /= np.matmul(a, _ones(a.shape[2]))
+        ctx = np.matmul(a, v)
+        h = (ctx + p["h"].take(last, 0)).reshape(-1, WIDTH)
+        z = h @ p["out"]
+        z += p["bias"]
+        z -= z.max(1, keepdims=True)
+        spot = np.arange(len(z)) * z.shape[1] + y.ravel()
+        got = z.take(spot)
+        np.exp(z, out=z)
+        total = z @ _ones(z.shape[1])
+        loss = float(((np.log(total[:, 0]) - got) * scored.ravel()).sum()) / n
+        z *= scored.reshape(-1, 1) / (total * total.dtype.type(n))
+        z.ravel()[spot] -= scored.ravel() / z.dtype.type(n)
+        g = {"out": h.T @ z, "bias": z.sum(0)}
+        dh = (z @ p["out"].T).reshape(ctx.shape)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= (dh * ctx).sum(2, keepdims=True)
+        ds *= a
+        g["dist"] = np.bincount(self.gap.ravel(), weights=ds.sum(0).ravel(), minlength=2 * STRIDE)
+        ds *= scale
+        g["k"], g["v"] = _row_sums(x, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh))
+        g["q"], g["h"] = _row_sums(last, np.matmul(ds, k), dh)
         return loss, g
 
     def _bias(self) -> np.ndarray:
         """Distance biases, the future masked."""
-        out = self.p["dist"][self.gap].astype(np.float32)
+        out = self.p["dist"][self.gap]
         out[self.future] = -1e9
         return out
 
@@ -283,30 +297,35 @@ class AttentionModel:
         return self
 
     def learn(self, seq: np.ndarray, end: int, part: int) -> None:
-        """Adam once over the rows of part `part` of ROUNDS: 2 * STRIDE + 1 ids, -1 where there is none; the last STRIDE are scored."""
-        seq = seq[part::ROUNDS]
-        batches = [seq[i : i + BATCH] for i in range(0, len(seq), BATCH)]
+        """Adam once over the rows, those of part `part` of ROUNDS: 2 * STRIDE + 1 ids, -1 where there is none, end + 1 before a text's first; the last STRIDE are scored."""
+        batches = [seq[i : i + LESSON] for i in range(0, len(seq), LESSON)]
 
         def draw(rows):
             inp, goal = rows[:, :-1], rows[:, STRIDE + 1 :]
-            valid = inp >= 0
-            valid[:, STRIDE:] = goal >= 0
-            valid[:, STRIDE] = True
-            return self.row[np.where(inp >= 0, inp, end)], valid, self.klass[np.maximum(goal, 0)], goal >= 0
+            scored = (goal >= 0) & (goal <= end)
+            return self.row.take(np.where((inp >= 0) & (inp <= end), inp, end)), inp >= 0, self.klass.take(np.where(scored, goal, end)), scored
 
         turns = len(batches) * ROUNDS
         self._adam([functools.partial(draw, x) for x in batches], lambda step: 0.01 * (1 - (part * len(batches) + step) / (turns + 1)))
 
     def _adam(self, draws: list, pace) -> None:
-        m = {k: np.zeros(v.shape) for k, v in self.p.items()}
-        s = {k: np.zeros(v.shape) for k, v in self.p.items()}
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step, draw in enumerate(draws, 1):
             _, g = self.gradient(*draw())
-            rate = pace(step)
+            rate, late, wide = pace(step), 1 - 0.9**step, math.sqrt(1 - 0.98**step)
             for k, x in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * x
-                s[k] = 0.98 * s[k] + 0.02 * x * x
-                self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+                x = x.astype(np.float32, copy=False)
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * x
+                s[k] *= np.float32(0.98)
+                s[k] += np.float32(0.02) * x * x
+                move = np.sqrt(s[k])
+                move *= np.float32(1 / wide)
+                move += np.float32(1e-8)
+                np.divide(m[k], move, out=move)
+                move *= np.float32(rate / late)
+                self.p[k] -= move
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float32)
@@ -329,6 +348,7 @@ class AttentionModel:
             source = np.clip((begin[t] + a)[:, None] + steps[None, :] - 1, 0, top)
             x = rows.take(source)
             x[a == 0, STRIDE] = self.row[end]
+            x[a == STRIDE, 0] = self.row[end]  # stands before a text's first id
             got = self.target_log(x, a == 0, klass.take(goal)) / math.log(10) + share.take(goal)
             there = a[:, None] + steps[None, STRIDE:] < length[t][:, None]
             out += np.bincount(t, weights=(got * there).sum(1), minlength=len(length))
@@ -485,81 +505,97 @@ def _sample(d: DataFrame, texts: int) -> list[str]:
         share = min(1.0, 8 * share)
 
 
-def _windower(path: str):
-    """One window in each started STRETCH characters of the training texts: order (a hash), ids as int32."""
+def _windower(path: str, part: int | None = None):
+    """All windows of the training texts (of one of ROUNDS parts of the texts): every id is a target of one window.
+
+    Blocks of STRIDE targets are laid from a text's end, so that only its first window can lack ids. A row has the windows of one
+    started STRETCH characters: order (a hash), ids as int32.
+    """
 
     def cut(batches):
         subwords = _shared_subwords(path)
         for batch in batches:
-            pieces, ends, key = [], [], []
+            texts, seeds = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if is_held_out(i):
                     continue
-                r = np.random.default_rng([zlib.crc32(str(i).encode()), zlib.crc32(t[:PASSAGE].encode("utf-8", "replace"))])
-                for lo in range(0, max(1, len(t)), STRETCH):
-                    room = min(STRETCH, len(t) - lo) - PIECE
-                    at = lo + int(r.integers(0, room + 1)) if room > 0 else max(0, min(lo, len(t) - PIECE))
-                    piece, first, last = t[at : at + PIECE], at == 0, at + PIECE >= len(t)
-                    if not first:  # without the words that are cut
-                        piece = piece[piece.find(" ") + 1 :]
-                    if not last and " " in piece:
-                        piece = piece[: piece.rfind(" ")]
-                    pieces.append(piece)
-                    ends.append((first, last))
-                    key.append((int(r.integers(0, 1 << 62)), float(r.random())))
-            if not pieces:
+                seed = zlib.crc32(t[:PASSAGE].encode("utf-8", "replace"), zlib.crc32(str(i).encode()))
+                if part is None or seed % ROUNDS == part:
+                    texts.append(t)
+                    seeds.append(seed)
+            if not texts:
                 continue
-            ids, begin = subwords.sequences(_chunk_words(pa.array(pieces)))
-            out = np.full((len(pieces), 2 * STRIDE + 1), -1, np.int32)
-            for n, ((first, last), (_, u)) in enumerate(zip(ends, key)):
-                own = ids[begin[n] : begin[n + 1]]
-                if not last:
-                    own = own[:-1]  # the end id stands at a text's end only
-                if first:  # a block of the text, as in scoring
-                    at = int(u * -(-len(own) // STRIDE)) * STRIDE
-                else:  # the last STRIDE ids of a window with its whole past
-                    at = min(STRIDE + 1 + int(u * max(1, len(own) - 2 * STRIDE)), max(0, len(own) - STRIDE))
-                row = own[max(0, at - STRIDE - 1) : at + STRIDE]
-                lead = max(0, STRIDE + 1 - at)
-                out[n, lead : lead + len(row)] = row
-                if first and at == STRIDE:
-                    out[n, 0] = subwords.end  # stands before a text's first id
-            keep = (out[:, STRIDE + 1 :] >= 0).any(1)
-            rows = [x.tobytes() for x in out[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), y in zip(key, keep.tolist()) if y], pa.int64()), pa.array(rows, pa.binary())], names=["key", "ids"])
+            for w in words(pa.array(texts, pa.string())):
+                ids, begin = subwords.sequences(w)
+                length = np.diff(begin)
+                blocks = -(-length // STRIDE)
+                text = np.repeat(np.arange(len(length)), blocks)
+                turn = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                place = (length[text] - STRIDE * (blocks[text] - turn))[:, None] + np.arange(-STRIDE - 1, STRIDE)[None, :]
+                out = np.where(place >= 0, ids.take(np.maximum(begin[text][:, None] + place, 0)), -1).astype(np.int32)
+                out[place == -1] = subwords.end + 1  # before a text's first id stands the end id, which is no target there
+                stretches = np.minimum(blocks, np.maximum(1, [-(-len(t) // STRETCH) for t in texts[w.lo : w.hi]]))
+                owner = np.repeat(np.arange(len(length)), stretches)
+                turn = np.arange(int(stretches.sum())) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+                first = (np.cumsum(blocks) - blocks)[owner] + turn * blocks[owner] // stretches[owner]
+                ends = np.append(first[1:], len(out))
+                key = mix((np.array(seeds[w.lo : w.hi], np.uint64)[owner] << np.uint64(32)) + turn.astype(np.uint64)) >> np.uint64(1)
+                rows = [out[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(rows, pa.binary())], names=["key", "ids"])
 
     return cut
 
 
-def _learner(model: AttentionModel, start: np.ndarray, part: int, end: int):
-    def learn(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("key", "ascending"), ("ids", "ascending")])
-        seq = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.int32).reshape(-1, 2 * STRIDE + 1).astype(np.int64)
-        model.unflat(start)
-        model.learn(seq, end, part)
-        change = [x.tobytes() for x in np.array_split(model.flat() - start, PARTS)]
-        return pa.table({"part": pa.array(range(PARTS), pa.int32()), "g": pa.array([rows.column("g")[0].as_py()] * PARTS, pa.int64()), "change": pa.array(change, pa.binary())})
+def _learner(model: AttentionModel, start: np.ndarray, part: int, end: int, path: str):
+    """A task's texts of one part: each group of windows changes a copy of the model; sums of the changes and of the windows behind them, by part of the weights."""
+
+    def learn(batches):
+        change, weight = np.zeros(len(start)), np.zeros(len(start))
+
+        def group(seq):
+            seq = seq[np.random.default_rng(len(seq)).permutation(len(seq))]
+            model.unflat(start)
+            model.learn(seq, end, part)
+            moved = model.flat() - start
+            change[:] += moved * float(len(seq))
+            weight[:] += (moved != 0) * float(len(seq))
+
+        kept, size = [], 0
+        for batch in _windower(path, part)(batches):
+            for line in batch.column(1):
+                kept.append(np.frombuffer(line.as_buffer(), np.int32).reshape(-1, 2 * STRIDE + 1))
+                size += len(kept[-1])
+                if size >= GROUP:
+                    group(np.concatenate(kept))
+                    kept, size = [], 0
+        if kept:
+            group(np.concatenate(kept))
+        task = TaskContext.get()
+        g = np.full(PARTS, task.partitionId() if task else 0)
+        lines = lambda x: pa.array([y.tobytes() for y in np.array_split(x, PARTS)], pa.binary())
+        if weight.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(g.astype(np.int64)), lines(change), lines(weight)], names=["part", "g", "change", "weight"])
 
     return learn
 
 
 def _mean_change(group: pa.Table) -> pa.Table:
-    """Of one part of the weights, over the groups that changed each."""
-    total, n = 0.0, 0
-    for x in group.sort_by("g").column("change"):
-        x = np.frombuffer(x.as_py(), np.float32)
-        total, n = total + x.astype(float), n + (x != 0)
+    """Of one part of the weights, over the windows that changed each."""
+    total, n = 0.0, 0.0
+    rows = group.sort_by("g")
+    for x, w in zip(rows.column("change"), rows.column("weight")):
+        total, n = total + np.frombuffer(x.as_py()), n + np.frombuffer(w.as_py())
     return pa.table({"part": group.column("part").slice(0, 1), "change": pa.array([(total / np.maximum(n, 1)).astype(np.float32).tobytes()], pa.binary())})
 
 
-def _teach(model: AttentionModel, windows: DataFrame, groups: int, end: int) -> None:
-    """ROUNDS times: every group of windows changes a copy of the model; each weight moves by the mean of its changes."""
-    dealt = windows.select(F.pmod("key", F.lit(groups)).alias("g"), "key", "ids").repartition(groups, "g")
+def _teach(model: AttentionModel, docs: DataFrame, end: int, path: str) -> None:
+    """ROUNDS times: every group of windows of a part of the texts changes a copy of the model; each weight moves by the mean of its changes."""
     for part in range(ROUNDS):
         start = model.flat()
-        moved = dealt.groupBy("g").applyInArrow(_learner(model, start, part, end), "part int, g long, change binary")
+        moved = docs.mapInArrow(_learner(model, start, part, end, path), "part int, g long, change binary, weight binary")
         got = moved.groupBy("part").applyInArrow(_mean_change, "part int, change binary").collect()
-        model.unflat(start + np.concatenate([np.frombuffer(r.change, np.float32) for r in sorted(got, key=lambda r: r.part)]))
+        if got:
+            model.unflat(start + np.concatenate([np.frombuffer(r.change, np.float32) for r in sorted(got, key=lambda r: r.part)]))
 
 
 def lm_scores(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -585,8 +621,7 @@ def lm_scores(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         ids, begin = Subwords(path).sequences(_chunk_words(pa.array(texts)))
         last = max(1, int(np.searchsorted(begin, SAMPLE_IDS, "right")) - 1)
         model.fit(ids[: begin[last]], begin[: last + 1], end)
-        windows = checkpoint(d.mapInArrow(_windower(path), "key long, ids binary"))
-        _teach(model, windows, max(1, round(windows.count() / GROUP)), end)
+        _teach(model, d, end, path)
     common = counts.where("kind = 0").where(F.col("c") > int(total) // HEAD).select("key", "c").collect()  # fewer than HEAD
     head, head_counts = np.array([r.key for r in common], np.int64).view(np.uint64), np.array([r.c for r in common], np.int64)
     order = np.argsort(head)
