@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -62,3 +63,17 @@ def test_turns_hold_all_text(spark):
     assert "".join("".join(t) for t in turns) + rest == "# One two. Three\n\nআমি যাই।  `x` last  \n" and n == len(parts_)
     docs = spark.createDataFrame([(1, None), (1, ""), (1, "আমি।"), (None, "আমি।")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text, r.segments) for r in translate.translate(docs, "bn").collect()) == [(0, "আমি।", 1), (1, "", 0), (1, "", 0), (1, "আমি।", 1)]
+
+
+def test_sentence_ends_are_those_of_the_plain_rule():
+    def stops(t: str, at: int) -> bool:
+        before = t[:at]
+        short = re.search(r"(?:^|\W)(?:" + "|".join(map(re.escape, segment.SHORT)) + r")\Z", before)
+        return not (short or before[-1:].isdecimal() or t[at] == "." and not (re.search(r"\w\Z", before) and (at + 1 == len(t) or t[at + 1].isspace())))
+
+    r = random.Random(5)
+    for _ in range(3000):
+        t = "".join(r.choices(["Mr", "e.g", "p", "No", "Prof", ".", ".", "!", "?", "।", "\n", " ", " ", "1", "২", "ab", "আমি", "é", "(", "\x85"], k=r.randrange(14)))
+        marks = [m.start() for m in segment._STOP.finditer(t)]
+        assert marks == [i for i, c in enumerate(t) if c in "।!?\n." and stops(t, i) and not (c == "\n" and any(m < i and t[m] == "." and t[m + 1 : i + 1].isspace() for m in marks))]
+        assert "".join(segment.sentences(t)) == t
