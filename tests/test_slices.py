@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import chrf, places, script, segment, text
 from textloom.operators import translate
-from textloom.operators.slices import parts
+from textloom.operators.slices import BATCH_BYTES, parts
+from textloom.plans._registry import table
 from textloom.sources import files
 
 
@@ -77,3 +78,10 @@ def test_sentence_ends_are_those_of_the_plain_rule():
         marks = [m.start() for m in segment._STOP.finditer(t)]
         assert marks == [i for i, c in enumerate(t) if c in "।!?\n." and stops(t, i) and not (c == "\n" and any(m < i and t[m] == "." and t[m + 1 : i + 1].isspace() for m in marks))]
         assert "".join(segment.sentences(t)) == t
+
+
+def test_tables_come_to_python_in_batches_of_bounded_bytes(spark, tmp_path):
+    spark.range(3000).coalesce(1).select("id", F.repeat(F.lit("ab "), 3000).alias("t")).write.parquet(f"{tmp_path}/wide.parquet")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    got = [r.n for r in table(spark, str(tmp_path), "wide").coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 27_000_000 and max(got) < 2 * BATCH_BYTES

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+BATCH_BYTES = 4 << 20  # of an Arrow batch that is sent to Python
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """The session's Arrow batches held to BATCH_BYTES: a batch is held several times over in the JVM and in Python, and grows with the
+    rows of a task up to 64 MB else. Spark has this setting for a session only; it is lowered, never raised."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch("(-?[0-9]+)([bkmg]?)b?", spark.conf.get(key).lower()).groups()
+    if not 0 < int(number) * _UNITS[unit] <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def parts(texts: pa.Array, size: int) -> Iterator[pa.Array]:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.operators.slices import byte_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,4 +25,5 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    byte_batches(spark)  # any query may send its texts to Python
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
