@@ -96,3 +96,12 @@ def test_a_task_holds_a_slice_of_its_batch(spark):
     sent = spark.sparkContext.broadcast(None)
     rows = glossary._with_texts(df, "text", sent, "held long", lambda _, texts: (None, pa.array([sum(map(len, texts))] * len(texts), pa.int64())))
     assert [r.id for r in rows.select("id").collect()] == list(range(40)) and rows.agg(F.max("held")).first()[0] <= glossary.SLICE_CHARS
+
+
+def test_totals_are_those_of_the_spans(spark):
+    docs = spark.createDataFrame([(1, "abc ab bc"), (2, ""), (3, None), (4, "😀 xabcabc AB")], "id int, text string")
+    terms = spark.createDataFrame([("ab",), ("bc",), ("abc",), ("",)], "term string")
+    spans = {r.id: r.spans for r in glossary.term_spans(docs, terms).collect()}
+    want = {i: (len(s), sum(x.end - x.start for x in s), min((x.start for x in s), default=None)) for i, s in spans.items()}
+    assert {r.id: tuple(r.totals) for r in glossary.term_totals(docs, terms).collect()} == want and want[4] == (6, 14, 3) and want[3] == (0, 0, None)
+    assert {tuple(r.totals) for r in glossary.term_totals(docs, terms.where("term = ''")).collect()} == {(0, 0, None)}

@@ -26,6 +26,7 @@ LANES = 4096
 SLICE_CHARS = 1 << 20  # of the texts that are laid end to end at once; a longer text is a slice of its own
 CODES = 0x110000
 SPANS = "array<struct<start:long,end:long,term:long>>"
+TOTALS = "struct<n:long,covered:long,first:long>"
 
 
 def fold(c: str) -> str:
@@ -320,10 +321,14 @@ def _applied(overrides: Overrides, texts: list[str]) -> tuple[list[str], pa.Arra
     return new, pa.array(counts, pa.int64())
 
 
+def _kept(terms: DataFrame) -> list[str]:
+    return sorted({t for (t,) in _collected(terms.select("term").where("term != ''").distinct(), "term")}, key=lambda t: (-len(t), t))
+
+
 def term_spans(df: DataFrame, terms: DataFrame, column: str = "text") -> DataFrame:
     """df with spans: every place of the terms (column term) in a text, as they are written and inside words too: start and end in
     code points, the end exclusive, and the term's place among the distinct terms, longest first and then in alphabetical order. Null texts have none."""
-    found = sorted({t for (t,) in _collected(terms.select("term").where("term != ''").distinct(), "term")}, key=lambda t: (-len(t), t))
+    found = _kept(terms)
     if not found:
         return df.withColumn("spans", F.array().cast(SPANS))
     sent = df.sparkSession.sparkContext.broadcast(Matcher(found, [True] * len(found), False))
@@ -337,6 +342,23 @@ def term_spans(df: DataFrame, terms: DataFrame, column: str = "text") -> DataFra
     return _with_texts(df, column, sent, f"spans {SPANS}", lists)
 
 
+def term_totals(df: DataFrame, terms: DataFrame, column: str = "text") -> DataFrame:
+    """df with totals of the places that term_spans() lists: n, covered (sum of their lengths) and first (the smallest start, null without any)."""
+    found = _kept(terms)
+    if not found:
+        return df.withColumn("totals", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("covered"), F.lit(None).cast("long").alias("first")))
+    sent = df.sparkSession.sparkContext.broadcast(Matcher(found, [True] * len(found), False))
+
+    def totals(m: Matcher, texts: list[str]) -> tuple[None, pa.Array]:
+        text, start, end, _ = m.find(texts)
+        n, covered = np.bincount(text, minlength=len(texts)), np.bincount(text, weights=end - start, minlength=len(texts))
+        first = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(first, text, start)
+        return None, pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(covered.astype(np.int64)), pa.array(first, mask=n == 0)], names=["n", "covered", "first"])
+
+    return _with_texts(df, column, sent, f"totals {TOTALS}", totals)
+
+
 def _with_texts(df: DataFrame, column: str, sent, more: str, run) -> DataFrame:
     """df with one more column, and maybe new texts, made by run(sent value, texts) a slice of a batch at a time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
