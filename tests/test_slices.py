@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,36 @@ def test_tables_come_to_python_in_batches_of_bounded_bytes(spark, tmp_path):
     sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
     got = [r.n for r in table(spark, str(tmp_path), "wide").coalesce(1).mapInArrow(sizes, "n long").collect()]
     assert sum(got) > 27_000_000 and max(got) < 2 * BATCH_BYTES
+
+
+def test_a_reference_is_read_once_for_the_rows_of_some_batches():
+    r = random.Random(5)
+    refs = [" ".join(r.choices(["a.", "bc", "আb,", "(d", " ", "x\x1fy", "..", "e"], k=r.randrange(9))) for _ in range(40)] + [None]
+    pairs = [(r.choice(["g", "h", None]), r.choice([*refs, None]), refs[i % 41]) for i in range(600)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs[i : i + 50])], names=["lang", "hyp", "ref"]) for i in range(0, 600, 50)]
+    chrf._reference.cache_clear()
+    got = {k: np.zeros(1 + chrf.COUNTS, int) for k in ("g", "h", None)}
+    for out in chrf._sums(batches):
+        for k, n in zip(out.column("lang").to_pylist(), out.column("n").to_pylist()):
+            got[k] += n
+    assert chrf._reference.cache_info().misses <= len(refs)
+    for k, total in got.items():
+        counts = [[1, *chrf.chrf_counts(a or "", b or ""), *chrf.bleu_counts(a or "", b or "")] for g, a, b in pairs if g == k]
+        assert total.tolist() == np.sum(counts, 0).tolist()
+
+
+def test_tokens_of_words(monkeypatch):
+    """Words as str.split() gives them, one mark at an end split off; equal hashes do not make words equal."""
+    r = random.Random(6)
+    lines = ["".join(r.choices("ab.,( \x1f　আ😀\n", k=r.randrange(12))) for _ in range(300)]
+    cut = lambda w: [w[:-1], w[-1]] if len(w) > 1 and w[-1] in ".,(" else [w[0], w[1:]] if len(w) > 1 and w[0] in ".,(" else [w]
+    texts = chrf._Texts(lines)
+    of = lambda start, end: [texts.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(start, end)]
+    assert of(*texts.words) == [w for t in lines for w in t.split()]
+    assert of(*texts.tokens()) == [x for t in lines for w in t.split() for x in cut(w)]
+    assert texts.sizes(texts.words[0]).tolist() == [len(t.split()) for t in lines]
+    plain = chrf._hashes
+    monkeypatch.setattr(chrf, "_hashes", lambda codes, start, end, seed: np.zeros(len(start), np.uint64) if not seed else plain(codes, start, end, seed))
+    chrf._reference.cache_clear()
+    assert chrf.bleu_counts("ab cd ef", "cd ab xy ab")[2:6] == [2, 3, 0, 2]
+    chrf._reference.cache_clear()

@@ -8,27 +8,20 @@ import string
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from textloom.operators.slices import byte_batches, parts
 
 CHARS, WORDS, BETA = 6, 2, 2.0
 ORDERS = 4  # of BLEU
+COUNTS = 3 * (CHARS + WORDS) + 2 + 2 * ORDERS  # of a pair, for both
 CELLS = 1 << 18  # of a table of n-grams; beyond it they are searched
-
-
-def _tokens(text: str) -> list[str]:
-    """Words with one punctuation mark at an end split off."""
-    out = []
-    for w in text.split():
-        if len(w) > 1 and w[-1] in string.punctuation:
-            out += [w[:-1], w[-1]]
-        elif len(w) > 1 and w[0] in string.punctuation:
-            out += [w[0], w[1:]]
-        else:
-            out.append(w)
-    return out
+HELD, SLICE = 16 << 20, 1 << 17  # bytes of pairs whose rows meet by reference, and of texts counted at once
 
 
 class _Places:
@@ -51,59 +44,169 @@ class _Places:
                 table[keys] = np.arange(1, len(keys) + 1)
             self.levels.append((keys, np.concatenate([[0], count]), table))
 
-    def shared(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(n-grams of ids, of the reference, shared) for each order; ids are 0 where the reference has no such member."""
-        out, at = [], ids
+    def shared(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(n-grams of each row, of the reference, shared with it) for each order.
+
+        ids: the members of rows of these sizes, a 0 after each row, so that no n-gram crosses rows; 0 also where the reference has no such member.
+        """
+        rows, out = len(sizes), []
+        place = np.flatnonzero(ids != 0)  # of n-grams that the reference has
+        row, at = np.repeat(np.arange(rows), sizes + 1).take(place), ids.take(place)
         for n, (keys, count, table) in enumerate(self.levels, 1):
             if n > 1:
-                at = at[: max(len(ids) - n + 1, 0)].astype(np.int64) * self.size + ids[n - 1 :]
+                at = at * self.size + ids.take(place + (n - 1))
             if table is not None:
-                got = table[at]
+                got = table.take(at)
             elif len(keys):
                 got = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
                 got = np.where(keys[got] == at, got + 1, 0)
             else:
                 got = np.zeros(len(at), np.int64)
-            if n > 1:
-                got = got * (last[: len(got)] > 0)  # a key of prefix 0 is none
-            seen = np.bincount(got, minlength=len(count))
-            out.append((len(got), max(self.length - n + 1, 0), int(np.minimum(seen, count)[1:].sum())))
-            at = last = got
+            alive = np.flatnonzero(got != 0)
+            place, at, row = place.take(alive), got.take(alive).astype(np.int64), row.take(alive)
+            spot, cells = row * len(count) + at, rows * len(count)
+            if cells <= 4 * len(spot):
+                both = np.minimum(np.bincount(spot, minlength=cells).reshape(rows, -1), count).sum(1)
+            else:
+                spot, seen = np.unique(spot, return_counts=True)
+                both = np.bincount(spot // len(count), np.minimum(seen, count[spot % len(count)]), rows).astype(np.int64)
+            out.append((np.maximum(sizes - n + 1, 0), max(self.length - n + 1, 0), both))
         return out
 
 
-def _numbered(members) -> tuple[dict, np.ndarray]:
-    number = {m: i for i, m in enumerate(dict.fromkeys(members), 1)}
-    return number, np.array([number[m] for m in members], np.int64)
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # the last is none, and stands for all above
+_MARK = np.zeros(129, bool)
+_MARK[[ord(c) for c in string.punctuation]] = True
 
 
 def _codes(chars: str) -> np.ndarray:
     return np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@functools.lru_cache(32)  # references repeat from row to row
+class _Texts:
+    """Code points of some texts, a line end after each, and the bounds of their words."""
+
+    def __init__(self, texts: list[str]):
+        self.codes = _codes("\n".join(texts) + "\n")
+        self.stops = np.cumsum([len(t) + 1 for t in texts])
+        self.solid = ~_SPACE[np.minimum(self.codes, len(_SPACE) - 1)]
+        edges = np.flatnonzero(np.diff(self.solid, prepend=False))
+        self.words = edges[::2], edges[1::2]
+
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """What is not white space, a line end after each text, and how many of each text."""
+        keep = self.solid.copy()
+        keep[self.stops - 1] = True
+        return self.codes[keep], np.diff(np.cumsum(self.solid)[self.stops - 1], prepend=0)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of words with one punctuation mark at an end split off."""
+        start, end = self.words
+        mark = lambda at: _MARK[np.minimum(self.codes[at], 128)]
+        last = mark(end - 1)
+        cut = np.where(last, end - 1, start + 1)[(end - start > 1) & (last | mark(start))]
+        return np.sort(np.append(start, cut)), np.sort(np.append(end, cut))
+
+    def sizes(self, start: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(start, self.stops), prepend=0)
+
+
+@functools.lru_cache(8)
+def _factors(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
+
+
+def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Of words that follow one another: sums of their characters, each times a factor of its place in the word."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    factors = _factors(1 << int(size.max()).bit_length(), seed)
+    return np.add.reduceat(codes[place + np.repeat(start, size)] * factors[place], first)
+
+
+class _Names:
+    """The distinct words of a text as numbers from 1. They are looked up by hash, and compared."""
+
+    def __init__(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.codes, self.seed = codes, 0
+        while True:
+            self.hashes, first = np.unique(_hashes(codes, start, end, self.seed), return_index=True)
+            self.start, self.size = start[first], (end - start)[first]
+            self.own = self.ids(codes, start, end)
+            if self.own.all():
+                break
+            self.seed += 1  # two words of one hash
+
+    def ids(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each of these words, 0 where it is none."""
+        out = np.zeros(len(start), np.int64)
+        if not len(self.hashes):
+            return out
+        h = _hashes(codes, start, end, self.seed)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        some = np.flatnonzero((self.hashes[at] == h) & (self.size[at] == end - start))
+        if len(some):
+            at, size = at[some], (end - start)[some]
+            first = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(first, size)
+            same = codes[place + np.repeat(start[some], size)] == self.codes[place + np.repeat(self.start[at], size)]
+            out[some] = np.where(np.logical_and.reduceat(same, first), at + 1, 0)
+        return out
+
+
+@functools.lru_cache(4)  # rows come sorted by reference
 def _reference(ref: str) -> tuple:
     """Of a reference: its distinct characters, and places of characters, of tokens, and of words."""
-    letters, ids = np.unique(_codes("".join(ref.split())), return_inverse=True)
+    text = _Texts([ref])
+    letters, ids = np.unique(text.letters()[0][:-1], return_inverse=True)
     chars = _Places(ids.reshape(-1).astype(np.int64) + 1, len(letters), CHARS)
-    (tokens, token_ids), (words, word_ids) = _numbered(_tokens(ref)), _numbered(ref.split())
-    return letters, chars, tokens, _Places(token_ids, len(tokens), WORDS), words, _Places(word_ids, len(words), ORDERS)
+    tokens, words = _Names(text.codes, *text.tokens()), _Names(text.codes, *text.words)
+    return letters, chars, tokens, _Places(tokens.own, len(tokens.hashes), WORDS), words, _Places(words.own, len(words.hashes), ORDERS)
 
 
-def _ids(number: dict, members: list[str]) -> np.ndarray:
-    return np.array([number.get(m, 0) for m in members], np.int64)
+def _letter_ids(letters: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The number of each character, 0 where it is none of these."""
+    if not len(letters):
+        return np.zeros(len(codes), np.int64)
+    table = np.zeros(int(letters[-1]) + 2, np.int64)
+    table[letters] = np.arange(1, len(letters) + 1)
+    return table[np.minimum(codes, len(table) - 1)]
 
 
-def chrf_counts(hyp: str, ref: str) -> list[int]:
-    """(n-grams of hyp, of ref, shared) for each order: characters 1 to 6, then words 1 and 2."""
+def _shared(texts: _Texts, names: _Names, places: _Places, start: np.ndarray, end: np.ndarray) -> list:
+    """Those of the words between these bounds, text by text."""
+    sizes = texts.sizes(start)
+    ids = np.zeros(len(start) + len(sizes), np.int64)
+    ids[np.arange(len(start)) + np.repeat(np.arange(len(sizes)), sizes)] = names.ids(texts.codes, start, end)
+    return places.shared(ids, sizes)
+
+
+def _chrf_rows(ref: str, texts: _Texts) -> np.ndarray:
+    """For each text the (n-grams of it, of ref, shared) of each order."""
     letters, chars, tokens, pairs, *_ = _reference(ref)
-    codes = _codes("".join(hyp.split()))
-    at = np.minimum(np.searchsorted(letters, codes), max(len(letters) - 1, 0))
-    ids = np.where(letters[at] == codes, at + 1, 0) if len(letters) else np.zeros(len(codes), np.int64)
+    codes, sizes = texts.letters()
     out = []
-    for x, y, shared in [*chars.shared(ids), *pairs.shared(_ids(tokens, _tokens(hyp)))]:
-        out += [x if y else 0, y, shared]
-    return out
+    for x, y, shared in [*chars.shared(_letter_ids(letters, codes), sizes), *_shared(texts, tokens, pairs, *texts.tokens())]:
+        out += [x if y else np.zeros_like(x), np.full(len(x), y), shared]
+    return np.stack(out, 1)
+
+
+def _bleu_rows(ref: str, texts: _Texts) -> np.ndarray:
+    """For each text lengths of it and of ref, then (shared, all) n-grams of it for each order."""
+    *_, words, places = _reference(ref)
+    got = _shared(texts, words, places, *texts.words)
+    out = [got[0][0], np.full(len(texts.stops), places.length)]
+    for n, _, shared in got:
+        out += [shared, n]
+    return np.stack(out, 1)
+
+
+def chrf_counts(hyp: str, ref: str) -> list[int]:
+    """(n-grams of hyp, of ref, shared) for each order: characters 1 to 6, then words 1 and 2."""
+    return _chrf_rows(ref, _Texts([hyp]))[0].tolist()
 
 
 def chrf_score(counts) -> float:
@@ -119,11 +222,6 @@ def chrf_score(counts) -> float:
     return 100 * (1 + BETA**2) * precision * recall / (BETA**2 * precision + recall)
 
 
-@pandas_udf(ArrayType(LongType()))
-def _chrf_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([chrf_counts(h or "", r or "") for h, r in zip(hyp, ref)])
-
-
 @pandas_udf(DoubleType())
 def _chrf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([round(chrf_score(chrf_counts(h, r)), 2) if h and r else 0.0 for h, r in zip(hyp, ref)])
@@ -142,12 +240,7 @@ def drift(original: Column, back: Column, floor: float = 40.0) -> Column:
 
 def bleu_counts(hyp: str, ref: str) -> list[int]:
     """Lengths of hyp and ref, then (shared, all) n-grams of hyp for orders 1 to 4, over white-space tokens."""
-    *_, words, places = _reference(ref)
-    a = hyp.split()
-    out = [len(a), places.length]
-    for n, _, shared in places.shared(_ids(words, a)):
-        out += [shared, n]
-    return out
+    return _bleu_rows(ref, _Texts([hyp]))[0].tolist()
 
 
 def bleu_score(counts) -> float:
@@ -161,11 +254,6 @@ def bleu_score(counts) -> float:
     return 100 * math.exp(logs / 4) * (1.0 if hyp >= ref else math.exp(1 - ref / hyp)) if any(counts[2::2]) else 0.0
 
 
-@pandas_udf(ArrayType(LongType()))
-def _bleu_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([bleu_counts(h or "", r or "") for h, r in zip(hyp, ref)])
-
-
 @pandas_udf(DoubleType())
 def _score_chrf(counts: pd.Series) -> pd.Series:
     return pd.Series([round(chrf_score(list(c)), 2) for c in counts])
@@ -176,11 +264,43 @@ def _score_bleu(counts: pd.Series) -> pd.Series:
     return pd.Series([round(bleu_score(list(c)), 2) for c in counts])
 
 
+def _sums(batches):
+    """Rows of groups, hyp, ref: sums of both counts for each group and reference of some batches; a reference is read once for all its rows there."""
+
+    def added(held):
+        rows = pa.Table.from_batches(held)
+        by = rows.column_names[:-2]
+        kinds = rows.append_column("__at", pa.array(np.arange(len(rows)))).group_by([*by, "ref"], use_threads=False).aggregate([("__at", "list")])
+        kinds = kinds.sort_by("ref")  # groups of one reference follow one another
+        hyps, sums = rows.column("hyp"), []
+        for ref, at in zip(kinds.column("ref").to_pylist(), kinds.column("__at_list")):
+            total = np.zeros(1 + COUNTS, np.int64)
+            for part in parts(pc.fill_null(hyps.take(at.values), "").combine_chunks(), SLICE):
+                texts = _Texts(part.to_pylist())
+                total[0] += len(part)
+                total[1:] += np.concatenate([_chrf_rows(ref or "", texts), _bleu_rows(ref or "", texts)], 1).sum(0)
+            sums.append(total)
+        n = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * (1 + COUNTS), pa.int32()), pa.array(np.concatenate(sums)))
+        return pa.RecordBatch.from_arrays([*[kinds.column(k).combine_chunks() for k in by], n], names=[*by, "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= HELD:
+            yield added(held)
+            held, size = [], 0
+    if held:
+        yield added(held)
+
+
 def corpus_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """chrF++ and BLEU of pairs (hyp, ref) for each group: counts of rows are summed, then scored once."""
     by = by or []
-    rows = pairs.select(*by, _chrf_counts("hyp", "ref").alias("c"), _bleu_counts("hyp", "ref").alias("b"))
-    sums = [F.sum(F.col(k)[i]).alias(f"__{k}{i}") for k, n in (("c", 3 * (CHARS + WORDS)), ("b", 10)) for i in range(n)]
-    got = rows.groupBy(*by).agg(F.count("*").alias("pairs"), *sums)
-    array = lambda k, n: F.array(*[F.coalesce(f"__{k}{i}", F.lit(0)) for i in range(n)])
-    return got.select(*by, "pairs", _score_chrf(array("c", 3 * (CHARS + WORDS))).alias("chrf"), _score_bleu(array("b", 10)).alias("bleu"))
+    byte_batches(pairs.sparkSession)
+    rows = pairs.select(*by, "hyp", "ref")
+    rows = rows.mapInArrow(_sums, StructType([*[rows.schema[k] for k in by], StructField("n", ArrayType(LongType()))]))
+    got = rows.groupBy(*by).agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)).alias(f"__{i}") for i in range(1 + COUNTS)])
+    array = lambda a, b: F.array(*[f"__{i}" for i in range(a, b)])
+    return got.select(*by, F.col("__0").alias("pairs"), _score_chrf(array(1, 1 + 3 * (CHARS + WORDS))).alias("chrf"), _score_bleu(array(1 + 3 * (CHARS + WORDS), 1 + COUNTS)).alias("bleu"))
