@@ -54,7 +54,7 @@ class _Places:
         row, at = np.repeat(np.arange(rows), sizes + 1).take(place), ids.take(place)
         for n, (keys, count, table) in enumerate(self.levels, 1):
             if n > 1:
-                at = at * self.size + ids.take(place + (n - 1))
+                at = at * self.size + ids.take(place + (n - 1), mode="clip")
             if table is not None:
                 got = table.take(at)
             elif len(keys):
@@ -62,9 +62,11 @@ class _Places:
                 got = np.where(keys[got] == at, got + 1, 0)
             else:
                 got = np.zeros(len(at), np.int64)
-            alive = np.flatnonzero(got != 0)
-            place, at, row = place.take(alive), got.take(alive).astype(np.int64), row.take(alive)
-            spot, cells = row * len(count) + at, rows * len(count)
+            at, cells = got.astype(np.int64, copy=False), rows * len(count)
+            alive = np.flatnonzero(at)
+            if len(alive) < 0.9 * len(at):
+                place, at, row = place.take(alive), at.take(alive), row.take(alive)
+            spot = row * len(count) + at  # n-gram 0 counts for nothing
             if cells <= 4 * len(spot):
                 both = np.minimum(np.bincount(spot, minlength=cells).reshape(rows, -1), count).sum(1)
             else:
@@ -84,87 +86,61 @@ def _codes(chars: str) -> np.ndarray:
 
 
 class _Texts:
-    """Code points of some texts, a line end after each, and the bounds of their words."""
+    """Code points of some texts without white space, and the bounds of texts and words among them."""
 
     def __init__(self, texts: list[str]):
-        self.codes = _codes("\n".join(texts) + "\n")
-        self.stops = np.cumsum([len(t) + 1 for t in texts])
-        self.solid = ~_SPACE[np.minimum(self.codes, len(_SPACE) - 1)]
-        edges = np.flatnonzero(np.diff(self.solid, prepend=False))
-        self.words = edges[::2], edges[1::2]
-
-    def letters(self) -> tuple[np.ndarray, np.ndarray]:
-        """What is not white space, a line end after each text, and how many of each text."""
-        keep = self.solid.copy()
-        keep[self.stops - 1] = True
-        return self.codes[keep], np.diff(np.cumsum(self.solid)[self.stops - 1], prepend=0)
-
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of words with one punctuation mark at an end split off."""
-        start, end = self.words
+        codes = _codes("\n".join(texts) + "\n")
+        solid = ~_SPACE[np.minimum(codes, len(_SPACE) - 1)]
+        self.codes = codes[solid]
+        before = np.cumsum(solid)
+        self.stops = before[np.cumsum([len(t) + 1 for t in texts]) - 1]
+        self.sizes = np.diff(self.stops, prepend=0)
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        self.words = before[edges[solid[edges]]] - 1  # where one begins
+        if len(codes) and solid[0]:
+            self.words = np.append(0, self.words)
+
+    def tokens(self) -> np.ndarray:
+        """Where words with one punctuation mark at an end split off begin."""
+        start, end = self.words, np.append(self.words, len(self.codes))[1:]
         mark = lambda at: _MARK[np.minimum(self.codes[at], 128)]
         last = mark(end - 1)
         cut = np.where(last, end - 1, start + 1)[(end - start > 1) & (last | mark(start))]
-        return np.sort(np.append(start, cut)), np.sort(np.append(end, cut))
+        return np.sort(np.append(start, cut))
 
-    def sizes(self, start: np.ndarray) -> np.ndarray:
-        return np.diff(np.searchsorted(start, self.stops), prepend=0)
+    def pieces(self, start: np.ndarray) -> pa.Array:
+        """What begins at these places, as bytes."""
+        offsets = np.append(start, len(self.codes)) * 4
+        return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.codes)])
 
 
-@functools.lru_cache(8)
-def _factors(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
+class _Names:
+    """The distinct words of a text as numbers from 1."""
 
+    def __init__(self, words: pa.Array):
+        got = words.dictionary_encode()
+        self.words, self.own = got.dictionary, got.indices.to_numpy().astype(np.int64) + 1
 
-def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Of words that follow one another: sums of their characters, each times a factor of its place in the word."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = end - start
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    factors = _factors(1 << int(size.max()).bit_length(), seed)
-    return np.add.reduceat(codes[place + np.repeat(start, size)] * factors[place], first)
+    def ids(self, words: pa.Array) -> np.ndarray:
+        """The number of each of these words, 0 where it is none."""
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64) + 1
 
 
-class _Names:
-    """The distinct words of a text as numbers from 1. They are looked up by hash, and compared."""
-
-    def __init__(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.codes, self.seed = codes, 0
-        while True:
-            self.hashes, first = np.unique(_hashes(codes, start, end, self.seed), return_index=True)
-            self.start, self.size = start[first], (end - start)[first]
-            self.own = self.ids(codes, start, end)
-            if self.own.all():
-                break
-            self.seed += 1  # two words of one hash
-
-    def ids(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each of these words, 0 where it is none."""
-        out = np.zeros(len(start), np.int64)
-        if not len(self.hashes):
-            return out
-        h = _hashes(codes, start, end, self.seed)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        some = np.flatnonzero((self.hashes[at] == h) & (self.size[at] == end - start))
-        if len(some):
-            at, size = at[some], (end - start)[some]
-            first = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(first, size)
-            same = codes[place + np.repeat(start[some], size)] == self.codes[place + np.repeat(self.start[at], size)]
-            out[some] = np.where(np.logical_and.reduceat(same, first), at + 1, 0)
-        return out
+def _apart(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of rows of these sizes with a 0 after each row."""
+    out = np.zeros(len(ids) + len(sizes), np.int64)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out
 
 
 @functools.lru_cache(4)  # rows come sorted by reference
 def _reference(ref: str) -> tuple:
     """Of a reference: its distinct characters, and places of characters, of tokens, and of words."""
     text = _Texts([ref])
-    letters, ids = np.unique(text.letters()[0][:-1], return_inverse=True)
+    letters, ids = np.unique(text.codes, return_inverse=True)
     chars = _Places(ids.reshape(-1).astype(np.int64) + 1, len(letters), CHARS)
-    tokens, words = _Names(text.codes, *text.tokens()), _Names(text.codes, *text.words)
-    return letters, chars, tokens, _Places(tokens.own, len(tokens.hashes), WORDS), words, _Places(words.own, len(words.hashes), ORDERS)
+    tokens, words = _Names(text.pieces(text.tokens())), _Names(text.pieces(text.words))
+    return letters, chars, tokens, _Places(tokens.own, len(tokens.words), WORDS), words, _Places(words.own, len(words.words), ORDERS)
 
 
 def _letter_ids(letters: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -176,20 +152,18 @@ def _letter_ids(letters: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return table[np.minimum(codes, len(table) - 1)]
 
 
-def _shared(texts: _Texts, names: _Names, places: _Places, start: np.ndarray, end: np.ndarray) -> list:
-    """Those of the words between these bounds, text by text."""
-    sizes = texts.sizes(start)
-    ids = np.zeros(len(start) + len(sizes), np.int64)
-    ids[np.arange(len(start)) + np.repeat(np.arange(len(sizes)), sizes)] = names.ids(texts.codes, start, end)
-    return places.shared(ids, sizes)
+def _shared(texts: _Texts, names: _Names, places: _Places, start: np.ndarray) -> list:
+    """Those of the words that begin at these places, text by text."""
+    sizes = np.diff(np.searchsorted(start, texts.stops), prepend=0)
+    return places.shared(_apart(names.ids(texts.pieces(start)), sizes), sizes)
 
 
 def _chrf_rows(ref: str, texts: _Texts) -> np.ndarray:
     """For each text the (n-grams of it, of ref, shared) of each order."""
     letters, chars, tokens, pairs, *_ = _reference(ref)
-    codes, sizes = texts.letters()
+    of_chars = chars.shared(_apart(_letter_ids(letters, texts.codes), texts.sizes), texts.sizes)
     out = []
-    for x, y, shared in [*chars.shared(_letter_ids(letters, codes), sizes), *_shared(texts, tokens, pairs, *texts.tokens())]:
+    for x, y, shared in [*of_chars, *_shared(texts, tokens, pairs, texts.tokens())]:
         out += [x if y else np.zeros_like(x), np.full(len(x), y), shared]
     return np.stack(out, 1)
 
@@ -197,7 +171,7 @@ def _chrf_rows(ref: str, texts: _Texts) -> np.ndarray:
 def _bleu_rows(ref: str, texts: _Texts) -> np.ndarray:
     """For each text lengths of it and of ref, then (shared, all) n-grams of it for each order."""
     *_, words, places = _reference(ref)
-    got = _shared(texts, words, places, *texts.words)
+    got = _shared(texts, words, places, texts.words)
     out = [got[0][0], np.full(len(texts.stops), places.length)]
     for n, _, shared in got:
         out += [shared, n]
