@@ -114,6 +114,27 @@ def test_gradient_and_learning():
     assert after > before * 0.9  # held-out texts become likelier
 
 
+def test_gradient_without_row_maxima(monkeypatch):
+    """Bounded scores need no maxima; weights that could overflow keep them; places that see no id give no gradient."""
+    m, ids, begin, end = model_and_ids()
+    text, at, length = m.windows(begin, ids, end)
+    x, valid, target, scored = m.batch(ids, begin, text[:64], at[:64], length, end)
+    valid, scored = valid.copy(), scored.copy()
+    valid[3, : A.STRIDE + 5], scored[3, :5] = False, False  # nothing stands before the sixth target of this window
+    y = m.klass[ids[target]]
+    plain = lambda: m.gradient(x, valid, y, scored)
+    loss, got = plain()
+    with monkeypatch.context() as patch:
+        patch.setattr(A.AttentionModel, "_bounded", lambda self: False)
+        patch.setattr(A.AttentionModel, "_bounded_output", lambda self: False)
+        want_loss, want = plain()
+    assert m._bounded() and m._bounded_output() and loss == pytest.approx(want_loss, rel=1e-5)
+    for k in want:
+        assert np.allclose(got[k], want[k], rtol=1e-3, atol=1e-7), k
+    m.p = {k: v * 100 for k, v in m.p.items()}
+    assert not m._bounded() and not m._bounded_output() and all(np.isfinite(v).all() for v in plain()[1].values())
+
+
 def test_sample_is_that_of_the_whole_order(spark, monkeypatch):
     monkeypatch.setattr(A, "SAMPLE_TEXTS", 5)
     rows = [(i, "" if filled < i else f"t{i}") for filled in (300, 3) for i in range(300)]

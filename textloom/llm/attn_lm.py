@@ -137,6 +137,11 @@ def _ones(n: int) -> np.ndarray:
     return np.ones((n, 1), np.float32)
 
 
+def _longest(vectors: np.ndarray, axis: int) -> float:
+    """The largest length of a table's vectors."""
+    return math.sqrt(np.einsum("ij,ij->i" if axis else "ij,ij->j", vectors, vectors).max())
+
+
 def _row_sums(rows: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
     """Tables of ROWS sums of the vectors of each part by row; the vectors are put in order of rows first."""
     rows = rows.ravel().astype(np.uint16)
@@ -186,21 +191,23 @@ class AttentionModel:
         x: rows of ids (B, 2 * STRIDE), valid: which are there; the classes after the last STRIDE of them are predicted.
         """
         p, n, last = self.p, max(1, int(scored.sum())), x[:, STRIDE:]
-        q, k, v = p["q"].take(last, 0), p["k"].take(x, 0), p["v"].take(x, 0)
-        scale = q.dtype.type(1 / math.sqrt(WIDTH))
+        k, v = p["k"].take(x, 0), p["v"].take(x, 0)
+        scale = k.dtype.type(1 / math.sqrt(WIDTH))
+        q = (p["q"] * scale).take(last, 0)
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= scale
         a += self._bias()
         some = np.flatnonzero(~valid.all(1))
         a[some] += np.where(valid[some], np.float32(0), np.float32(-1e9))[:, None, :]
-        a -= a.max(2, keepdims=True)
+        if not self._bounded():
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a /= np.matmul(a, _ones(a.shape[2]))
+        a /= np.maximum(np.matmul(a, _ones(a.shape[2])), np.float32(1e-37))  # an id that is not there may see none
         ctx = np.matmul(a, v)
         h = (ctx + p["h"].take(last, 0)).reshape(-1, WIDTH)
         z = h @ p["out"]
         z += p["bias"]
-        z -= z.max(1, keepdims=True)
+        if not self._bounded_output():
+            z -= z.max(1, keepdims=True)
         spot = np.arange(len(z)) * z.shape[1] + y.ravel()
         got = z.take(spot)
         np.exp(z, out=z)
@@ -214,9 +221,9 @@ class AttentionModel:
         ds -= (dh * ctx).sum(2, keepdims=True)
         ds *= a
         g["dist"] = np.bincount(self.gap.ravel(), weights=ds.sum(0).ravel(), minlength=2 * STRIDE)
-        ds *= scale
         g["k"], g["v"] = _row_sums(x, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh))
         g["q"], g["h"] = _row_sums(last, np.matmul(ds, k), dh)
+        g["q"] *= scale
         return loss, g
 
     def _bias(self) -> np.ndarray:
@@ -250,19 +257,17 @@ class AttentionModel:
         np.exp(z, out=z)
         return (got - np.log(z @ _ones(z.shape[1])[:, 0])).reshape(goal.shape)
 
-    @functools.cached_property
-    def tame(self) -> bool:
+    def _bounded(self) -> bool:
         """No score can overflow exp in single precision."""
         p = self.p
-        norm = lambda a: float(np.sqrt((a.astype(float) ** 2).sum(1)).max())
-        return norm(p["q"]) * norm(p["k"]) / math.sqrt(WIDTH) + float(np.abs(p["dist"]).max()) < 80
+        return _longest(p["q"], 1) * _longest(p["k"], 1) / math.sqrt(WIDTH) + float(np.abs(p["dist"]).max()) < 80
 
-    @functools.cached_property
-    def tame_output(self) -> bool:
+    def _bounded_output(self) -> bool:
         """Nor can a class's."""
         p = self.p
-        norm = lambda a, axis: float(np.sqrt((a.astype(float) ** 2).sum(axis)).max())
-        return (norm(p["v"], 1) + norm(p["h"], 1)) * norm(p["out"], 0) + float(np.abs(p["bias"]).max()) < 80
+        return (_longest(p["v"], 1) + _longest(p["h"], 1)) * _longest(p["out"], 0) + float(np.abs(p["bias"]).max()) < 80
+
+    tame, tame_output = functools.cached_property(_bounded), functools.cached_property(_bounded_output)  # once the weights stay
 
     def windows(self, begin: np.ndarray, ids: np.ndarray, end: int):
         """Blocks of all texts: input rows, which are there, places of the targets and which are there."""
