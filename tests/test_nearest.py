@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import places, script
-from textloom.operators import nearest
+from textloom.operators import nearest, written
 
 
 def all_pairs(word, vocabulary, k, cutoff):
@@ -85,6 +85,20 @@ def test_spelling_equals_a_loop(spark):
     assert any(not s for v in got.values() for *_, s in v) and len({w for v in got.values() for _, _, w, _ in v}) >= 5
 
 
+def test_spelling_sends_forms_only(spark, tmp_path, monkeypatch, capsys):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("ঢাক্কা নদী " * 9).alias("text")).write.parquet(str(tmp_path / "docs"))  # a small file of many words
+    vocabulary = spark.createDataFrame([("ঢাকা",), ("নদী",)], "word string")
+    counts = []
+    for size in (written.SENT_BYTES, 0):
+        monkeypatch.setattr(written, "SENT_BYTES", size)
+        rows = nearest.spelling(spark.read.parquet(str(tmp_path / "docs")), vocabulary)
+        rows.explain()
+        joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x]
+        assert len(joins) == 1 and ("BuildRight" if size else "SortMergeJoin") in joins[0]
+        counts.append(rows.where("suggestions[0] = 'ঢাকা'").count())
+    assert counts == [27000, 27000]
+
+
 def test_places(spark):
     text = "a1\n\nbb22 3\r\n😀4\n5"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")

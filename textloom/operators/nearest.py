@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import places, script
-from textloom.operators.written import written
+from textloom.operators.written import sent, written
 
 MAX_WORDS = 500_000
 BLOCK = 128  # words looked up at once
@@ -182,8 +182,9 @@ def spelling(docs: DataFrame, vocabulary: DataFrame, k: int = 4, pattern: str =
     second = _suggested(_lookup(missed, known, k, 0.55), "stem", "retried")
     stems = vocabulary.select(F.col("word").alias("stem"), F.lit(True).alias("is_known")).where("stem != ''").distinct()
     forms = forms.join(second, "stem", "left").join(stems, "stem", "left").where("is_known IS NULL")
-    forms = forms.select("form", F.coalesce("direct", "retried", F.array().cast("array<string>")).alias("suggestions"))
-    return words.join(forms, "form").select("doc_id", "line", "col", "word", "suggestions")
+    forms = written(forms.select("form", F.coalesce("direct", "retried", F.array().cast("array<string>")).alias("suggestions")))
+    # Spark takes the words of texts for no more than the texts are in their file, and would send them all: only forms are sent, by their own size
+    return words.hint("merge").join(sent(forms), "form").select("doc_id", "line", "col", "word", "suggestions")
 
 
 def _suggested(found: DataFrame, key: str, name: str) -> DataFrame:

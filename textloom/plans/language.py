@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bengali, chrf, legacy, script, segment, templates, text
 from textloom.operators import translate
-from textloom.operators.written import written
+from textloom.operators.written import sent, written
 from textloom.plans._registry import query, table
 
 TEMPLATE = {"fields": [
@@ -165,20 +165,14 @@ def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", chrf.drift(F.col("before"), F.col("text")).alias("d")).select("conv_id", "turn", "d.*")
 
 
-def _sent(df: DataFrame, size: int = 32 << 20) -> DataFrame:
-    """df, for each task to hold where all of it is that small."""
-    held = df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(64)))).first()[0]
-    return F.broadcast(df) if (held or 0) <= size else df
-
-
 @query()
 def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the smallest document of their language and source."""
     d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "text")
     # texts are sorted to be aggregated, and shuffled to be joined: only those of the smallest ids are, unless the sources themselves are many
     low = written(d.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id")))
-    first = d.join(_sent(low), ["lang", "source", "doc_id"], "semi").groupBy("lang", "source").agg(F.min_by("text", "doc_id").alias("ref"))
-    first = _sent(written(low.join(first, ["lang", "source"], "left").select("lang", "source", "ref")))
+    first = d.join(sent(low), ["lang", "source", "doc_id"], "semi").groupBy("lang", "source").agg(F.min_by("text", "doc_id").alias("ref"))
+    first = sent(written(low.join(first, ["lang", "source"], "left").select("lang", "source", "ref")))
     return chrf.corpus_scores(d.join(first, ["lang", "source"]).select("lang", F.col("text").alias("hyp"), "ref"), ["lang"])
 
 
