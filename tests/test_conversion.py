@@ -102,6 +102,22 @@ def test_file_facts():
     assert [g.extension for g in two] == [".csv", ".html"] and info.guesses(b"a,b", info.Info(extension=".csv"))[0].charset == "ascii"
 
 
+def test_pages_that_are_ascii_for_a_whole_sample(spark, tmp_path):
+    page = "<html><body><p>%s</p><footer>%s</footer></body></html>"
+    long = "a " * info.SAMPLE
+    pages = [(i, page % (long if i % 2 else "a", end)) for i, end in enumerate(["é", "é", "e", "日本", "\U0001f600", "é", "é", "é"])]
+    spark.createDataFrame([(i, "https://a.example.com/", h) for i, h in pages], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalogue.QUERIES["batch_totals"](spark, str(tmp_path)).first()
+    assert (got.converted, got.errors, got.files) == (6, 2, 8)  # pages 0 and 5 are no pages
+    assert info.guess_charset((long + "é").encode()) == "utf-8" and info.guess_charset((long + "é").encode("cp1252")) == "cp1252" and info.guess_charset(long.encode()) == "ascii"
+    for end, body in ((b"\xe9", "é" + long), (b"\xe9\x81", long)):
+        data = (page % (body, "X")).encode().replace(b"X", end)
+        text, _, name = registry.default().convert(data, info.of_path("a.html"))
+        assert name == "read_html" and text.endswith("é")
+    with pytest.raises(ValueError):
+        registry.default().convert(("é" + long).encode() + b"\xe9", info.of_path("a.txt"))
+
+
 def test_dispatch_order_and_plugins(recwarn):
     own = registry.Registry(list(registry.default().entries))
     own.register("late", lambda d, i: True, lambda d, **o: ("late", None), 20.0)
