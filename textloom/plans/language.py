@@ -241,9 +241,10 @@ def legacy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def encoding_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that hold text, with the verdict on their encoding and the text in Unicode."""
+    """Paragraphs that hold text as they are, with the verdict on their encoding, the text in Unicode, and whether it is the same."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)  # a file of one row group is one task
     p = docs.select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("n", "text")).where(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
     out = p.withColumn("v", legacy.encoding(F.col("text")))
     converted = F.when(F.col("v.label") == "legacy", legacy.legacy_markdown_column(F.when(F.col("v.label") == "legacy", F.col("text")))).otherwise(F.col("text"))
-    return out.select("doc_id", F.col("n").cast("long").alias("paragraph"), "v.label", "v.confidence", (F.col("text") == converted).alias("kept"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("paragraph"), "v.label", "v.confidence", F.col("text").alias("original"), converted.alias("converted"))
+    return out.withColumn("kept", F.col("original") == F.col("converted"))
